@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this subpackage to the executors once a session, so that workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / "nearspan_llm.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        z.write(here.parent / "__init__.py", "nearspan/__init__.py")
+        for f in sorted(here.glob("*.py")):
+            z.write(f, f"nearspan/llm/{f.name}")
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession) -> None:
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) != BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

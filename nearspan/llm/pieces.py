@@ -2,10 +2,8 @@
 
 A text is first normalised by the model's compiled character map: at each byte the longest
 matching prefix is replaced, and the map from normalised to original bytes is kept. The
-normalised text is cut before every run of the space symbol; no piece of a model with
-leading spaces crosses such a cut (checked when the model is loaded), so each stretch is
-encoded by the library once and remembered. Piece lengths then add up to spans of the
-normalised text, which the kept map projects to byte spans of the original.
+library encodes; piece lengths add up to spans of the normalised text, which the kept map
+projects to byte spans of the original.
 
 Defined cases: a null text counts as empty; an empty text has no pieces and decodes to "";
 ids are those of the library without begin, end or sampling. Rows are independent.
@@ -14,7 +12,6 @@ ids are those of the library without begin, end or sampling. Rows are independen
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 
 import numpy as np
@@ -24,9 +21,6 @@ from pyspark.sql import types as T
 from nearspan.llm.common import map_rows
 
 SPACE = "▁"
-#: Stretches one worker remembers before it starts anew: bounds its memory.
-REMEMBERED = 200_000
-_LONGEST_REMEMBERED = 64
 
 
 class CharMap:
@@ -81,7 +75,7 @@ class CharMap:
 
 
 class PieceCodec:
-    """One model, with what it has encoded so far."""
+    """One model."""
 
     def __init__(self, model: str | bytes):
         import sentencepiece
@@ -103,33 +97,13 @@ class PieceCodec:
         self.lengths = np.array([1 if b else 0 if s else len(p.encode()) for p, s, b in zip(vocabulary, special, byte, strict=True)])
         #: Bytes of a piece in a text where a space stands for each space symbol.
         self.own_lengths = np.array([n if b or s else len(p.replace(SPACE, " ").encode()) for p, n, s, b in zip(vocabulary, self.lengths, special, byte, strict=True)])
-        crossing = any(SPACE in p.lstrip(SPACE) for p, s in zip(vocabulary, special, strict=True) if not s)
-        plain = n.escape_whitespaces and not n.remove_extra_whitespaces and not spec.trainer_spec.treat_whitespace_as_suffix
-        #: Whether stretches may be encoded one by one.
-        self.by_stretch = bool(plain and not crossing and self.prefix and not self.map and spec.trainer_spec.byte_fallback and spec.trainer_spec.model_type == 2 and not any(p.type == 4 for p in spec.pieces))
-        self.known: dict[str, tuple[list[int], str]] = {}
-        self.stretch = re.compile(r"[ ▁]+[^ ▁]*")
+        #: Whether normalisation does nothing but write space symbols.
+        self.plain = bool(n.escape_whitespaces and not n.remove_extra_whitespaces and self.prefix and not self.map and spec.trainer_spec.byte_fallback)
 
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
         """Of each text the ids, and the same ids in decimal joined by commas."""
-        if not self.by_stretch:
-            all_ids = self.library.encode([t or "" for t in texts], num_threads=1)
-            return [(ids, ",".join(map(str, ids))) for ids in all_ids]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        # The library puts a space before a text; so does this, and each stretch then loses its first one again.
-        parts = [self.stretch.findall(" " + t) if t else [] for t in texts]
-        new = list(set().union(*parts).difference(self.known)) if parts else []
-        now, known = {}, self.known
-        for part, ids in zip(new, self.library.encode([p[1:] for p in new], num_threads=1) if new else [], strict=True):
-            # An empty text has no pieces for the library, but a lone space symbol is one.
-            ids = ids if len(part) > 1 else [self.library.piece_to_id(SPACE)]
-            (known if len(part) <= _LONGEST_REMEMBERED else now)[part] = (ids, ",".join(map(str, ids)))
-        out = []
-        for own in parts:
-            got = [known.get(p) or now[p] for p in own]
-            out.append(([i for ids, _ in got for i in ids], ",".join([joined for _, joined in got])))
-        return out
+        all_ids = self.library.encode([t or "" for t in texts], num_threads=1)
+        return [(ids, ",".join(map(str, ids))) for ids in all_ids]
 
     def spans(self, text: str | None, ids: list[int]) -> np.ndarray:
         """Begin and end byte of each piece in the original text, one row a piece.
@@ -139,7 +113,7 @@ class PieceCodec:
         text = text or ""
         if not ids:
             return np.zeros((0, 2), np.int64)
-        if self.by_stretch and SPACE not in text:
+        if self.plain and SPACE not in text:
             # Nothing is replaced but spaces, one byte for one symbol: lengths add up in the original at once.
             edges = np.concatenate([[0], np.cumsum(self.own_lengths[ids]) - 1])
             return np.stack([edges[:-1], edges[1:]], axis=1)

@@ -1,0 +1,22 @@
+"""The queries of the llm operators: each applies one to its whole table."""
+
+from __future__ import annotations
+
+from nearspan.llm.common import table
+from nearspan.llm.decontaminate import find_leaks
+from nearspan.llm.jaccard_join import jaccard_join
+from nearspan.llm.pieces import digest_pieces
+from nearspan.llm.pii import find_pii
+from nearspan.llm.quality_rules import quality_rules
+from nearspan.llm.secret_scan import scan_secrets
+
+QUERIES = {
+    "op2_decontaminate": lambda spark, sf_dir: find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op5_jaccard_join": lambda spark, sf_dir: jaccard_join(table(spark, sf_dir, "documents")),
+    "op6_pieces": lambda spark, sf_dir: digest_pieces(table(spark, sf_dir, "documents")),
+    "op7_pii": lambda spark, sf_dir: find_pii(table(spark, sf_dir, "documents")),
+    "op9_secret_scan": lambda spark, sf_dir: scan_secrets(table(spark, sf_dir, "documents")),
+    "op10_quality_rules": lambda spark, sf_dir: quality_rules(table(spark, sf_dir, "documents")),
+}
+
+ORACLE_SQL: dict[str, str] = {}
