@@ -106,11 +106,11 @@ def license_sql() -> str:
     """The same scan for DuckDB over the table documents."""
     rows = ", ".join(f"('{a}', '{b}', {k}, {i}, {len(words) - 1}, {str(base).lower()}, '{label}')" for k, label, base, words in phrases() for i, (a, b) in enumerate(zip(words, words[1:], strict=False)))
     return rf"""
-WITH grams(a, b, template, at, grams, base, label) AS (VALUES {rows}),
+WITH grams(a, b, template, "at", grams, base, label) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT r, w, unnest(range(0, greatest(len(w) - 1, 0))) AS pos FROM d),
-h AS (SELECT r, pos, at, pos - at AS diagonal, template, grams, base, label FROM p JOIN grams ON w[pos + 1] = a AND w[pos + 2] = b),
-v AS (SELECT r, template, grams, base, label, diagonal, list(DISTINCT at) AS ats, min(pos) AS low, max(pos) AS high FROM h GROUP BY ALL),
+h AS (SELECT r, pos, "at", pos - "at" AS diagonal, template, grams, base, label FROM p JOIN grams ON w[pos + 1] = a AND w[pos + 2] = b),
+v AS (SELECT r, template, grams, base, label, diagonal, list(DISTINCT "at") AS ats, min(pos) AS low, max(pos) AS high FROM h GROUP BY ALL),
 g AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {SLACK} THEN 1 ELSE 0 END AS gap FROM v),
 s AS (SELECT *, sum(gap) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM g),
 m AS (SELECT r, template, grams, base, label, span, len(list_distinct(flatten(list(ats)))) AS covered, min(low) AS low, max(high) AS high, min(diagonal) AS start FROM s GROUP BY ALL),

@@ -150,7 +150,7 @@ def learn_words(docs: DataFrame, labels: DataFrame, text: str, bound: int = MAX_
     """Weights of words: Wilson's lower bound of the share of toxic texts among those with the word."""
     ids = F.broadcast(training_ids(labels, "toxic", bound))
     words = docs.select("doc_id", text).join(ids, "doc_id").select("label", F.explode(F.array_distinct(F.expr(rf"regexp_extract_all(lower(coalesce(`{text}`, '')), '[\\p{{L}}]+', 0)"))).alias("word"))
-    z = 2.5
+    z = 2.0
     counted = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where("k >= 3")
     low = F.expr(f"(k / n + {z * z / 2} / n - {z} * sqrt(k * (n - k) / n + {z * z / 4}) / n) / (1 + {z * z} / n)")
     rows = counted.select("word", low.alias("low")).where("low > 0.5").orderBy(F.desc("low"), "word").limit(MAX_WORDS).collect()
