@@ -107,13 +107,15 @@ class Matcher:
         for item, diagonals in hits.items():
             item_id, seq, k, masks, back = self.items[item]
             best: tuple[int, int, int] | None = None
-            covered = -1
+            # Diagonals close together share one window, which reaches as far as each alone would.
+            runs: list[list[int]] = []
             for d in sorted(diagonals):
-                if d <= covered:
-                    continue
-                # Diagonals close together share one window.
-                covered = d + k
-                a, b = max(0, d - k), min(len(doc), d + len(seq) + 2 * k)
+                if runs and d <= runs[-1][1] + k:
+                    runs[-1][1] = d
+                else:
+                    runs.append([d, d])
+            for first, last in runs:
+                a, b = max(0, first - k), min(len(doc), last + len(seq) + 2 * k)
                 errors, end = masks.best(doc[a:b])
                 if errors <= k and (best is None or errors < best[0]):
                     end += a
