@@ -1,7 +1,8 @@
 """Distances and other scalar expressions over vectors, all evaluated by the JVM.
 
-With a known dimension a dot product is written out term by term, which whole-stage code
-generation compiles to straight arithmetic; without one it is a higher-order function.
+With a known, small dimension a dot product is written out term by term, which whole-stage
+code generation compiles to straight arithmetic; otherwise it is a higher-order function
+(written out, many terms exceed what the compiler takes, and run several times slower).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Dimensions up to which a dot product is written out.
-UNROLLED = 128
+UNROLLED = 8
 
 
 def as_vector(v: Column | str) -> Column:

@@ -2,22 +2,28 @@
 
 ``brute`` deals both sides over a grid of cells (every pair of records meets in one cell),
 so that the quadratic work of a join without a key is spread evenly and nothing is
-broadcast. ``partitioned`` and ``grouped`` prune with the triangle inequality; they are
+broadcast; a cell is one matrix product. ``partitioned`` and ``grouped`` prune with the triangle inequality; they are
 equi-joins with a residual predicate, open to skew handling at run time. ``auto`` takes
 ``partitioned`` for low dimensions and ``brute`` where the inequality prunes nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearspan.functions.vectors import unit, unit_distance
 from nearspan.operators.grouping import assign_groups
 from nearspan.operators.space import random_centroids, space_partition
+from nearspan.shipping import ship
 
 #: Dimensions from which reference points no longer prune at useful thresholds.
 HIGH_DIMENSION = 16
+#: Records of one block of the grid.
+CELL_ROWS = 2048
 #: Every how manieth failed comparison is kept in sampled mode.
 SAMPLE_EVERY = 10_001
 
@@ -43,20 +49,49 @@ def _distance(dim: int | None) -> Column:
     return unit_distance(F.col("l_unit"), F.col("r_unit"), dim)
 
 
-def grid_join(df: DataFrame, self_join: bool, dim: int | None, cells: int = 8) -> DataFrame:
-    """All pairs of a window, with their distance; a record is sent to ``cells`` cells.
+_PAIRS = T.StructType([T.StructField(n, t) for n, t in (("win", T.LongType()), ("left_id", T.LongType()), ("right_id", T.LongType()), ("distance", T.DoubleType()), ("in_ts", T.LongType()))])
 
-    Rows and columns of the grid are dealt by a hash of the id; a self-join has the
-    cells on and below the diagonal alone.
+
+def _close_pairs(pdf: pd.DataFrame, threshold: float, self_join: bool) -> pd.DataFrame:
+    """The pairs of one cell within the threshold: one matrix product, angles only where they may matter."""
+    diagonal = self_join and pdf["cell_l"].iloc[0] == pdf["cell_r"].iloc[0]
+    l, r = (pdf, pdf) if diagonal else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+    if not len(l) or not len(r):
+        return pd.DataFrame(columns=_PAIRS.names)
+    cos = np.stack(l["unit"].to_numpy()) @ np.stack(r["unit"].to_numpy()).T
+    i, j = np.nonzero(cos >= np.cos(np.pi * min(threshold, 1.0)) - 1e-9)
+    d = np.arccos(np.clip(cos[i, j], -1, 1)) / np.pi
+    a, b = l["id"].to_numpy()[i], r["id"].to_numpy()[j]
+    stay = (d < threshold) & ((a > b) if diagonal else (a != b) if self_join else True)
+    i, j, d, a, b = i[stay], j[stay], d[stay], a[stay], b[stay]
+    left, right = (np.maximum(a, b), np.minimum(a, b)) if self_join else (a, b)
+    in_ts = np.maximum(l["ingest_ts"].to_numpy()[i], r["ingest_ts"].to_numpy()[j])
+    return pd.DataFrame({"win": pdf["win"].iloc[0], "left_id": left, "right_id": right, "distance": d, "in_ts": in_ts})
+
+
+def grid_join(df: DataFrame, self_join: bool, threshold: float, cells: int | None = None) -> DataFrame:
+    """All pairs of a window within the threshold: win, left_id, right_id, distance, in_ts.
+
+    Records are dealt to blocks by a hash of the id, every pair of blocks is one cell of a
+    grid (for a self-join those on and below the diagonal), and a record is sent to the
+    cells of its block. There are so many blocks that one holds ``CELL_ROWS`` records or
+    so, however large the table; no side is broadcast.
     """
+    ship(df.sparkSession)
+    if cells is None:
+        cells = max(4, -(-df.count() // CELL_ROWS))
     df = df.withColumn("unit", unit(F.col("vec"))).where("unit IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("id", "origin"), F.lit(cells)).cast("int"))
-    l, r = _sides(df.select("win", "id", "unit", "at", "ingest_ts"), True) if self_join else _sides(df.select("win", "id", "unit", "at", "ingest_ts", "origin"), False)
-    every = F.expr(f"sequence(0, {cells - 1})")
-    l = l.withColumn("cell_r", F.explode(every)).withColumn("cell_l", F.col("l_at"))
-    r = r.withColumn("cell_l", F.explode(every)).withColumn("cell_r", F.col("r_at"))
-    on = (F.col("l_win") == F.col("r_win")) & (l["cell_l"] == r["cell_l"]) & (l["cell_r"] == r["cell_r"])
-    pairs = l.join(r, on & (F.col("l_id") > F.col("r_id"))) if self_join else l.join(r, on)
-    return pairs.withColumn("distance", _distance(dim))
+    every = F.explode(F.expr(f"sequence(0, {cells - 1})"))
+    one = df.select("win", "id", "unit", "ingest_ts", "at", "origin", every.alias("other"))
+    if self_join:
+        # In its own row of the grid a block is side 0, in another's side 1.
+        dealt = one.withColumn("side", F.when(F.col("other") <= F.col("at"), 0).otherwise(1))
+        dealt = dealt.withColumn("cell_l", F.greatest("at", "other")).withColumn("cell_r", F.least("at", "other"))
+    else:
+        dealt = one.withColumn("side", F.when(F.col("origin") == "left", 0).otherwise(1))
+        dealt = dealt.withColumn("cell_l", F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("other"))).withColumn("cell_r", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("at")))
+    kernel = lambda pdf: _close_pairs(pdf, threshold, self_join)
+    return dealt.select("win", "cell_l", "cell_r", "side", "id", "unit", "ingest_ts").groupBy("win", "cell_l", "cell_r").applyInPandas(kernel, _PAIRS)
 
 
 def _found(pairs: DataFrame, threshold: float, *more: str) -> DataFrame:
@@ -101,7 +136,7 @@ def similarity_join(
     window: int | None = None,
     strategy: str = "auto",
     centroids: int = 10,
-    cells: int = 8,
+    cells: int | None = None,
 ) -> DataFrame:
     """(win, left_id, right_id, distance, in_ts) of every pair within the threshold, exactly once.
 
@@ -111,7 +146,7 @@ def similarity_join(
     if strategy == "auto":
         strategy = "brute" if dim >= HIGH_DIMENSION else "partitioned"
     if strategy == "brute":
-        return _found(grid_join(df, alone, dim, cells), threshold)
+        return grid_join(df, alone, threshold, cells)
     if strategy == "partitioned":
         return _found(partitioned_pairs(df, alone, threshold, dim, centroids), threshold)
     if strategy == "grouped":

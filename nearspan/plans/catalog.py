@@ -8,6 +8,7 @@ coordinates.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -188,10 +189,9 @@ QUERIES = {
     "stream_twoway_join": streamed(True, False),
     "stream_twoway_grouped": streamed(True, True),
     "stream_window_counts": stream_counts,
-    "cosine_distance_join": lambda s, d: grid_join(with_window(tagged(vectors(s, d), None), None), True, DIM)
-    .withColumn("cosine_distance", 1 - F.cos(F.col("distance") * F.pi()))
-    .where("cosine_distance < 0.7")
-    .select("l_id", "r_id", F.round("cosine_distance", 6).alias("cosine_distance")),
+    "cosine_distance_join": lambda s, d: grid_join(with_window(tagged(vectors(s, d), None), None), True, math.acos(1 - 0.7) / math.pi).select(
+        F.col("left_id").alias("l_id"), F.col("right_id").alias("r_id"), F.round(1 - F.cos(F.col("distance") * F.pi()), 6).alias("cosine_distance")
+    ),
     "failed_comparison_sample": lambda s, d: sampled_failures(compared(s, d), LOW, 101).select("l_id", "r_id", F.round("distance", 6).alias("distance")),
     "space_partition": lambda s, d: spaces(s, d).select("id", "home_part", "part", "ptype", "machine"),
     "partition_sizes": lambda s, d: stats.record_counts(spaces(s, d), ["part"]),
