@@ -26,6 +26,7 @@ DIM, HIGH, LOW, PARTS, WINDOW_S = 64, 0.4, 0.002, 10, 86_400
 #: Milliseconds of a time without zone.
 MILLIS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
 MACHINES = stats.machine_labels(PARTS)
+MORE_MACHINES = stats.machine_labels(2 * PARTS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,9 +123,10 @@ def stream_counts(spark, sf_dir):
 
 
 def vocabulary(spark, sf_dir) -> DataFrame:
-    """Pseudo-words: the number of a vector names its word, two letters of base 26 each."""
-    word = F.concat(F.char(97 + F.col("vec_id") % 26), F.char(97 + F.expr("div(vec_id, 26)") % 26))
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 676")
+    """Pseudo-words: the number of a vector names its word, two letters in base 26 and what is left over."""
+    rest = F.expr("CASE WHEN vec_id < 676 THEN '' ELSE CAST(div(vec_id, 676) AS STRING) END")
+    word = F.concat(F.char(97 + F.col("vec_id") % 26), F.char(97 + F.expr("div(vec_id, 26)") % 26), rest)
+    rows = table(spark, sf_dir, "embeddings")
     return rows.select(word.alias("word"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
@@ -157,9 +159,10 @@ def rebalanced(name: str | None):
 
 
 def migrated(spark, sf_dir):
-    """State of the groups after an allocation that moves every third group to the next machine."""
+    """State of the groups after an allocation that names all and moves every third to the next machine."""
     state = group_sizes(spark, sf_dir).drop("gtype")
-    made = state.where("group_id % 3 = 0").select("group_id", "machine", "space_id", F.expr(f"CAST((machine + 13) % 128 AS INT)").alias("new_machine"))
+    moved = F.expr("CASE WHEN group_id % 3 = 0 THEN CAST((machine + 13) % 128 AS INT) ELSE machine END")
+    made = state.select("group_id", "machine", "space_id", moved.alias("new_machine"))
     return balance.rekeyed(state, made)
 
 
@@ -215,7 +218,7 @@ QUERIES = {
     "join_costs": group_costs,
     "input_throughput": lambda s, d: stats.throughput(results(s, d), 3600),
     "load_candidates": lambda s, d: stats.candidate_nodes(stats.record_counts(results(s, d), ["machine"]).withColumnRenamed("n", "load")),
-    "densified_loads": lambda s, d: stats.densified(stats.record_counts(results(s, d).where("part < 7"), ["machine"]).withColumnRenamed("n", "load"), MACHINES),
+    "densified_loads": lambda s, d: stats.densified(stats.record_counts(results(s, d), ["machine"]).withColumnRenamed("n", "load"), MORE_MACHINES),
     "match_counts": lambda s, d: stats.match_counts(results(s, d), ["part", "group_id"]),
     "group_numbers": lambda s, d: stats.group_numbers(results(s, d)),
     "latest_sizes": lambda s, d: stats.latest(stats.record_counts(results(s, d), ["part", "window_start"]), ["part"], "window_start", "n"),
@@ -280,7 +283,7 @@ _P = f"p AS (SELECT window_start, machine, {', '.join(f'CAST(quantile_disc(laten
 _COST = """k AS (SELECT window_start, group_id, machine, part AS space_id, count(*) FILTER (WHERE gtype = 'inner') AS i, count(*) FILTER (WHERE gtype = 'outer') AS o, count(*) FILTER (WHERE gtype = 'outlier') AS l FROM r GROUP BY ALL),
 s AS (SELECT *, coalesce(sum(i) OVER w, 0) AS si, coalesce(sum(o) OVER w, 0) AS so, coalesce(sum(l) OVER w, 0) AS sl FROM k WINDOW w AS (PARTITION BY group_id, machine, space_id ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cost AS (SELECT window_start, group_id, machine, space_id, CAST(l * (so + sl + si) + o * (si + sl) + i * (so + sl) + l * (o + i) + o * i + l * (l - 1) // 2 AS BIGINT) AS cost FROM s)"""
-_VOCABULARY = "voc AS (SELECT chr(CAST(97 + vec_id % 26 AS INTEGER)) || chr(CAST(97 + (vec_id // 26) % 26 AS INTEGER)) AS word, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id < 676)"
+_VOCABULARY = "voc AS (SELECT chr(CAST(97 + vec_id % 26 AS INTEGER)) || chr(CAST(97 + (vec_id // 26) % 26 AS INTEGER)) || CASE WHEN vec_id < 676 THEN '' ELSE CAST(vec_id // 676 AS VARCHAR) END AS word, embedding::DOUBLE[] AS vec FROM embeddings)"
 _RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 ORACLE_SQL = {
@@ -317,7 +320,7 @@ ORACLE_SQL = {
     "join_costs": f"WITH {_RESULTS}, {_COST} SELECT * FROM cost",
     "input_throughput": f"WITH {_RESULTS} SELECT window_start, count(*) // 3600 AS rate FROM r GROUP BY 1",
     "load_candidates": f"WITH {_RESULTS}, l AS (SELECT machine, count(*) AS load FROM r GROUP BY 1), a AS (SELECT CAST(sum(load) AS BIGINT) // count(*) AS average FROM l) SELECT machine, load, average, CASE WHEN load < 0.8 * average THEN 'under' WHEN load > 1.2 * average THEN 'over' ELSE 'even' END AS class FROM l, a",
-    "densified_loads": f"WITH {_RESULTS}, l AS (SELECT machine, count(*) AS load FROM r WHERE part < 7 GROUP BY 1) SELECT CAST(m AS INTEGER) AS machine, CAST(coalesce(load, 0) AS BIGINT) AS load FROM (SELECT unnest({MACHINES}) AS m) x LEFT JOIN l ON l.machine = m",
+    "densified_loads": f"WITH {_RESULTS}, l AS (SELECT machine, count(*) AS load FROM r GROUP BY 1) SELECT CAST(m AS INTEGER) AS machine, CAST(coalesce(load, 0) AS BIGINT) AS load FROM (SELECT unnest({MORE_MACHINES}) AS m) x LEFT JOIN l ON l.machine = m",
     "match_counts": f"WITH {_RESULTS} SELECT part, group_id, count(*) FILTER (WHERE match) AS matches, count(*) FILTER (WHERE NOT match) AS failures FROM r GROUP BY 1, 2",
     "group_numbers": f"WITH {_RESULTS}, g AS (SELECT part, window_start, max(group_id) AS groups FROM r GROUP BY 1, 2) SELECT part, window_start, max(groups) OVER (PARTITION BY part ORDER BY window_start {_RUNNING}) AS groups FROM g",
     "latest_sizes": f"WITH {_RESULTS}, g AS (SELECT part, window_start, count(*) AS n FROM r GROUP BY 1, 2) SELECT part, max_by(n, window_start) AS n FROM g GROUP BY 1",
