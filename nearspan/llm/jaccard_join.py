@@ -302,3 +302,18 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = numbered(docs)
     gone = jaccard_classes(rows, text).where("__row <> class_row").select("__row")
     return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def jaccard_sql() -> str:
+    """The same join for DuckDB over the table documents: all pairs that share a shingle, and their closure."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+k AS (SELECT r, w, least({SHINGLE}, len(w)) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT r, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS g FROM k),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE c >= {THRESHOLD} * (a.n + b.n - c) - 1e-9),
+reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT x, min(doc_id) AS class_id FROM reach JOIN d ON d.r = y GROUP BY x),
+m AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM d JOIN c ON c.x = r LEFT JOIN m ON m.x = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from nearspan.llm.common import table
 from nearspan.llm.decontaminate import find_leaks
 from nearspan.llm.html_extract import extract_html
-from nearspan.llm.jaccard_join import jaccard_join
+from nearspan.llm.jaccard_join import jaccard_join, jaccard_sql
 from nearspan.llm.license_scan import license_scan, license_sql
 from nearspan.llm.pieces import digest_pieces
 from nearspan.llm.pii import find_pii
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_quality_rules": lambda spark, sf_dir: quality_rules(table(spark, sf_dir, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "op5_jaccard_join": jaccard_sql()}
