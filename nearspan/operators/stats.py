@@ -25,10 +25,20 @@ def windowed(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("window_start", window_start(F.col(ts), seconds))
 
 
+def bernoulli(df: DataFrame, p: float, seed: int = 0) -> DataFrame:
+    """Rows kept with probability p, by a hash of the row: the same rows at every run."""
+    return df.where(F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1_000_000)) < int(p * 1_000_000))
+
+
+def result_ticks(results: DataFrame) -> DataFrame:
+    """One (out_ts, machine, 1) for every result, to be summed by the monitor."""
+    return results.select("out_ts", "machine", F.lit(1).alias("n"))
+
+
 def latency_percentiles(df: DataFrame, keys: list[str], latency: str = "latency", sample: float | None = None) -> DataFrame:
     """Nearest-rank percentiles; with ``sample`` of a fixed pseudo-random share of the rows."""
     if sample is not None:
-        df = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) < int(sample * 1_000_000))
+        df = bernoulli(df, sample)
     return df.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {latency})").cast("long").alias(n) for n, p in PERCENTILES.items()])
 
 

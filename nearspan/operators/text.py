@@ -49,3 +49,8 @@ def clean_dataset(rows: DataFrame, vocabulary: DataFrame, title: str, limit: int
     if limit is not None:
         out = out.orderBy("id").limit(limit)
     return with_known_word(out, vocabulary, text=title)
+
+
+def embed_dataset(rows: DataFrame, vocabulary: DataFrame, dim: int, title: str, limit: int | None = None) -> DataFrame:
+    """Cleaned titles that hold a known word, as vectors: id, vec."""
+    return text_vectors(clean_dataset(rows, vocabulary, title, limit), vocabulary, dim, text=title).select("id", "vec")

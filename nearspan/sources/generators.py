@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from nearspan.functions.vectors import skewed
 
@@ -87,10 +86,14 @@ def pareto_topics(spark, rate: int, duration: int, topics: int = 8, seed: int =
 
 
 def jittered(spark, rate: int, duration: int, seed: int = 42) -> DataFrame:
-    """Ticks of a rate that varies between 0.95 and 1.15 times the wanted one: event_ts, id, ingest_ts."""
+    """Ticks of a rate that varies between 0.95 and 1.15 times the wanted one: event_ts, id, ingest_ts.
+
+    Ids rise with time and leave gaps, so that no tick has to know those before it.
+    """
+    most = int(1.15 * rate) + 1
     n = F.floor(uniform(F.col("t"), seed, 0) * (0.2 * rate) + 0.95 * rate).cast("int")
-    rows = spark.range(duration).withColumnRenamed("id", "t").withColumn("k", F.explode(F.sequence(F.lit(1), n)))
-    return rows.select(F.col("t").alias("event_ts"), (F.row_number().over(W.orderBy("t", "k")) - 1).cast("long").alias("id"), (F.col("t") * 1000).alias("ingest_ts"))
+    rows = spark.range(duration).withColumnRenamed("id", "t").withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.select(F.col("t").alias("event_ts"), (F.col("t") * most + F.col("k")).alias("id"), (F.col("t") * 1000).alias("ingest_ts"))
 
 
 def embedding_stream(spark, vectors: DataFrame, rate: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:

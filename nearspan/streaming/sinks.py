@@ -48,8 +48,10 @@ def to_each(df: DataFrame, writes: dict[str, Callable[[DataFrame], DataFrame]],
     """Several outputs of one stream. Each batch overwrites its own folder, so a repeated batch changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
+        batch.persist()  # else each output would read the source anew
         for name, make in writes.items():
             make(batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.unpersist()
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -140,3 +140,36 @@ import __spark_entry__ as e
 assert e.queries() and not [q for q in e.queries() if q.startswith("op")] and e.oracle_sql()
 """
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_messages_and_job_manager(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from nearspan.streaming import sinks
+
+    df = spark.createDataFrame([(1, 2.5), (2, None)], "machine int, p99 double")
+    sent = sinks.as_messages(df, "job", "latency").unionByName(sinks.as_messages(df, "job", "sizes"))
+    schema = T.StructType([T.StructField("machine", T.IntegerType()), T.StructField("p99", T.DoubleType())])
+    assert sorted(map(tuple, sinks.from_messages(sent, "latency", schema).collect())) == [(1, 2.5), (2, None)]
+    df.write.parquet(str(tmp_path / "in"))
+    stream = lambda: sinks.read_files(spark, str(tmp_path / "in"), schema)
+    jobs = sinks.JobManager(spark)
+    jobs.start("copy", lambda: sinks.to_each(stream(), {"all": lambda b: b, "matches": lambda b: b.where("p99 IS NOT NULL")}, str(tmp_path / "out"), str(tmp_path / "state")))
+    jobs.wait("copy")
+    assert jobs.status() == {"copy": False} and sum(p["rows"] for p in jobs.progress("copy")) == 2
+    assert spark.read.parquet(str(tmp_path / "out/all")).count() == 2 and spark.read.parquet(str(tmp_path / "out/matches")).count() == 1
+    jobs.start("copy", lambda: sinks.to_files(stream(), str(tmp_path / "files"), str(tmp_path / "state2")))
+    jobs.wait("copy")
+    assert spark.read.parquet(str(tmp_path / "files")).count() == 2
+    on_time, late = sinks.late_rows(spark.createDataFrame([(5,), (9,)], "event_ts long"), 7)
+    assert on_time.count() == late.count() == 1
+
+
+def test_sampling_and_datasets(spark):
+    df = spark.range(20000).withColumnRenamed("id", "out_ts").withColumn("machine", F.lit(1))
+    n = stats.bernoulli(df, 0.25).count()
+    assert 4500 < n < 5500 and stats.bernoulli(df, 0.25).count() == n
+    assert stats.result_ticks(df).agg(F.sum("n")).first()[0] == 20000
+    titles = spark.createDataFrame([(1, "A, b!"), (2, "zz")], "id long, title string")
+    words = spark.createDataFrame([("b", [1.0, 2.0])], "word string, vec array<double>")
+    assert [tuple(r) for r in text.embed_dataset(titles, words, 2, "title").collect()] == [(1, [1.0, 2.0])]
