@@ -41,6 +41,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_OPENING = re.compile(r"<[A-Za-z/!?]")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
@@ -64,6 +65,9 @@ class Node:
 
 def parse(page: str) -> Node:
     """The tree of block elements; runs of inline content are #text nodes."""
+    # A tag that the page ends in the middle of is dropped, with what follows it.
+    cut = _OPENING.search(page, page.rfind(">") + 1)
+    page = page[: cut.start()] if cut else page
     root = node = Node("#root", None)
     run: Node | None = None
     in_link, at = 0, 0
