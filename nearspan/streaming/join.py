@@ -35,7 +35,7 @@ def routed(df: DataFrame, dim: int, threshold: float, window_s: int, centroids:
     return space_partition(df, random_centroids(centroids, dim), threshold).withColumn("unit", unit(F.col("vec")))
 
 
-def stream_partitioned(left: DataFrame, right: DataFrame | None, *, threshold: float, dim: int, window_s: int = 60, centroids: int = 10) -> DataFrame:
+def stream_partitioned(left: DataFrame, right: DataFrame | None = None, *, threshold: float, dim: int, window_s: int = 60, centroids: int = 10) -> DataFrame:
     """Pairs within a tumbling window, each once: win, left_id, right_id, in_ts.
 
     For a self-join pass no right side; the stream is then read twice.
@@ -92,21 +92,26 @@ class GroupedJoin(StatefulProcessor):
         leaders = [{"id": x[0], "event_ts": x[1], "vec": list(x[2]), "machine": x[3]} for x in self.leaders.get()]
         members = [dict(zip(names, x, strict=True)) for x in self.members.get()]
         outers = [dict(zip(names, x, strict=True)) for x in self.outers.get()]
-        g, known, out = Grouper(self.threshold, leaders, outers), len(leaders), []
+        g, known, out = Grouper(self.threshold, leaders, outers), (len(leaders), len(members), len(outers)), []
+        pruned = False
         for row in new.to_dict("records"):
             row["machine"] = int(row["machine"])
             if members and row["win"] > members[-1]["win"] or g.outers and row["win"] > g.outers[-1]["win"]:
                 members = [m for m in members if m["win"] >= row["win"]]
                 g.outers = [m for m in g.outers if m["win"] >= row["win"]]
+                pruned = True
             for rec, gid, kind, _ in g.add(row):
                 member = {"win": rec["win"], "group_id": gid, "gtype": kind, "id": rec["id"], "origin": rec["origin"], "ingest_ts": rec["ingest_ts"], "vec": rec["vec"]}
                 out += self._probe(member, members, part)
                 members.append(member)
-        if len(g.leaders) > known:
-            self.leaders.put([(int(x["id"]), int(x["event_ts"]), [float(v) for v in x["vec"]], int(x["machine"])) for x in g.leaders])
+        lead = lambda x: (int(x["id"]), int(x["event_ts"]), [float(v) for v in x["vec"]], int(x["machine"]))
         pack = lambda m: (int(m["win"]), int(m.get("group_id") or 0), str(m.get("gtype") or ""), int(m["id"]), str(m["origin"]), int(m["ingest_ts"]), [float(v) for v in m["vec"]])
-        self.members.put([pack(m) for m in members]) if members else self.members.clear()
-        self.outers.put([pack(m) for m in g.outers]) if g.outers else self.outers.clear()
+        # Only what is new is written, unless a new window has made room.
+        for state, rows_, before, form in ((self.leaders, g.leaders, known[0], lead), (self.members, members, known[1], pack), (self.outers, g.outers, known[2], pack)):
+            if pruned and state is not self.leaders:
+                state.put([form(x) for x in rows_]) if rows_ else state.clear()
+            elif len(rows_) > before:
+                state.appendList([form(x) for x in rows_[before:]])
         yield pd.DataFrame(out, columns=["win", "part", "group_id", "left_id", "right_id", "in_ts"])
 
     def _probe(self, a: dict, members: list[dict], part: int) -> list[tuple]:

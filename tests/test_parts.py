@@ -173,3 +173,21 @@ def test_sampling_and_datasets(spark):
     titles = spark.createDataFrame([(1, "A, b!"), (2, "zz")], "id long, title string")
     words = spark.createDataFrame([("b", [1.0, 2.0])], "word string, vec array<double>")
     assert [tuple(r) for r in text.embed_dataset(titles, words, 2, "title").collect()] == [(1, [1.0, 2.0])]
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_stream_of_several_batches_equals_the_batch_join(spark, tmp_path, grouped):
+    from nearspan.operators.join import similarity_join
+    from nearspan.streaming.join import stream_grouped, stream_partitioned, with_state_store
+
+    with_state_store(spark)
+    r, schema = random.Random(6), "event_ts long, ingest_ts long, id long, vec array<double>"
+    rows = [(i * 1000, i, i, [r.gauss(0, 1), r.gauss(0, 1)]) for i in range(60)]
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = (stream_grouped if grouped else stream_partitioned)(source, threshold=0.1, dim=2, window_s=15, centroids=4)
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((x["left_id"], x["right_id"]) for x in spark.read.schema("left_id long, right_id long").parquet(str(tmp_path / "out")).collect())
+    want = similarity_join(spark.createDataFrame(rows, schema), threshold=0.1, dim=2, window=15_000, strategy="brute")
+    assert got == sorted((x["left_id"], x["right_id"]) for x in want.collect()) and got
