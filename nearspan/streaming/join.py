@@ -29,8 +29,12 @@ def with_state_store(spark: SparkSession) -> None:
 
 
 def routed(df: DataFrame, dim: int, threshold: float, window_s: int, centroids: int, origin: str) -> DataFrame:
-    """A stream with its watermark, window number, and the router's columns."""
-    df = df.withColumn("ts", F.timestamp_millis("event_ts")).withWatermark("ts", "0 seconds")
+    """A stream with its watermark, window number, and the router's columns.
+
+    Times ascend, but equal ones may come in different batches, and the first may be 0: rows
+    at or below the watermark are dropped, so it stays a millisecond behind.
+    """
+    df = df.withColumn("ts", F.timestamp_millis(F.col("event_ts") + 1)).withWatermark("ts", "1 millisecond")
     df = df.withColumn("win", F.floor(F.col("event_ts") / (window_s * 1000)).cast("long")).withColumn("origin", F.lit(origin))
     return space_partition(df, random_centroids(centroids, dim), threshold).withColumn("unit", unit(F.col("vec")))
 
