@@ -134,6 +134,11 @@ def texts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
 
 
+def coordinates(df: DataFrame, *own: str) -> DataFrame:
+    """The whole vector, a column v0, v1, ... for each rounded coordinate."""
+    return df.select("id", *own, *[F.round(F.get("vec", F.lit(i)), 6).alias(f"v{i}") for i in range(DIM)])
+
+
 def group_sizes(spark, sf_dir) -> DataFrame:
     r = results(spark, sf_dir)
     return stats.group_bytes(r.withColumn("space_id", F.col("part")), ["group_id", "machine", "space_id"])
@@ -241,6 +246,7 @@ QUERIES = {
     "rebalance_best": rebalanced(None),
     "migrated_state": migrated,
     "text_embedding_mean": lambda s, d: text.text_vectors(texts(s, d), vocabulary(s, d), 4).select("id", "n_known", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"v{i}") for i in range(4)]),
+    "text_embedding_whole": lambda s, d: coordinates(text.text_vectors(texts(s, d), vocabulary(s, d), DIM), "n_known"),
     "vocab_filter": lambda s, d: text.with_known_word(texts(s, d), vocabulary(s, d), ignored="is").select("id"),
     "clean_dataset": lambda s, d: text.clean_dataset(texts(s, d), vocabulary(s, d), "text", limit=500).select("id", F.length("text").cast("long").alias("n_chars")),
     "clean_dataset_whole": lambda s, d: text.clean_dataset(texts(s, d), vocabulary(s, d), "text").select("id", F.length("text").cast("long").alias("n_chars")),
@@ -334,6 +340,7 @@ ORACLE_SQL = {
     "lb_input": f"WITH {_RESULTS}, {_COST} SELECT machine, group_id, machine AS origin_machine, part AS space_id, CAST(sum(cost) AS BIGINT) AS load, any_value(size) AS size FROM (SELECT group_id, machine, part, CAST(sum(bytes) AS BIGINT) AS size FROM r GROUP BY ALL) JOIN (SELECT group_id, machine, space_id AS part, cost FROM cost) USING (group_id, machine, part) GROUP BY 1, 2, 3, 4",
     "migrated_state": f"WITH {_RESULTS} SELECT group_id, CASE WHEN group_id % 3 = 0 THEN CAST((machine + 13) % 128 AS INTEGER) ELSE machine END AS machine, part AS space_id, CAST(sum(bytes) AS BIGINT) AS bytes FROM r GROUP BY r.group_id, r.machine, r.part",
     "text_embedding_mean": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS word FROM documents), m AS (SELECT id, count(*) AS n, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(4))} FROM t JOIN voc USING (word) GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_known, {', '.join(f'round(coalesce(v{i}, 0), 6) AS v{i}' for i in range(4))} FROM documents LEFT JOIN m ON id = doc_id",
+    "text_embedding_whole": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS word FROM documents), m AS (SELECT id, count(*) AS n, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(DIM))} FROM t JOIN voc USING (word) GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_known, {', '.join(f'round(coalesce(v{i}, 0), 6) AS v{i}' for i in range(DIM))} FROM documents LEFT JOIN m ON id = doc_id",
     "vocab_filter": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) SELECT DISTINCT id FROM t JOIN voc USING (word) WHERE word <> 'is'",
     "clean_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents ORDER BY doc_id LIMIT 500), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",
     "clean_dataset_whole": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",

@@ -29,3 +29,9 @@ def test_cleaning_looks_at_every_document(spark, duck):
     got = agrees(spark, duck, "clean_dataset_whole")
     first = duck.sql("SELECT max(doc_id) FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500)").fetchall()[0][0]
     assert (got["id"] > first).any()
+
+
+def test_mean_vectors_have_all_coordinates(spark, duck):
+    got = agrees(spark, duck, "text_embedding_whole")
+    assert [c for c in got.columns if c[0] == "v"] == [f"v{i}" for i in range(64)]
+    assert len(got) == 1000 and all(got[f"v{i}"].any() for i in range(64))
