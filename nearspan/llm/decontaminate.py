@@ -5,11 +5,13 @@ k + 1 pieces; an occurrence with at most k edits holds one piece unchanged, so e
 of pieces (one Aho-Corasick pass over a document's normalised words) find every place.
 Each place is verified with Myers' bit-parallel distance over words.
 
-Defined cases: null and empty texts and items match nothing, nor do items of fewer than
-``MIN_WORDS`` words; null ids stay; repeated items are matched once each; words are runs
-of letters and digits in lower case. The item table is read in slices of at most
-``SLICE_BYTES`` of text, one automaton each: a larger table takes more passes, never
-more memory.
+Items of fewer than ``MIN_WORDS`` words may differ by no word: such an item is its own
+single piece.
+
+Defined cases: null texts and items, and those without words, match nothing; null ids
+stay; repeated items are matched once each; words are runs of letters and digits in lower
+case. The item table is read in slices of at most ``SLICE_BYTES`` of text, one automaton
+each: a larger table takes more passes, never more memory.
 """
 
 from __future__ import annotations
@@ -72,9 +74,9 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             item = words(text)
-            if len(item) < MIN_WORDS:
+            if not item:
                 continue
-            k = int(MAX_ERRORS * len(item))
+            k = int(MAX_ERRORS * len(item)) if len(item) >= MIN_WORDS else 0
             n = len(self.items)
             self.items.append((item_id, item, k, Masks(item), Masks(item[::-1])))
             cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
