@@ -9,7 +9,7 @@ decisions never contradict each other. The trees learn from pages written by
 
 Defined cases: a null or empty page, or one without text to keep, gives the empty string;
 broken markup is closed where the next block begins or the page ends; what stands in
-scripts, styles, form controls, titles and comments is never text; ids and urls may be null
+scripts, styles, form controls, templates, titles, frames and comments is never text; ids and urls may be null
 or repeated. White space inside a block is one space, blocks are joined by a line break.
 """
 
@@ -28,9 +28,12 @@ from pyspark.sql import types as T
 from nearspan.llm.common import Booster, map_rows
 
 # How elements behave.
-RAW = ("script", "style", "template", "noscript", "iframe", "svg", "textarea", "select", "button", "title", "object", "canvas", "math")
+RAW = ("script", "style", "iframe", "textarea", "title")
+DROPPED = ("button", "select", "template")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-INLINE = ("a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "img", "wbr")
+#: What holds text but makes no block: fallbacks, formulas, drawings.
+TRANSPARENT = ("noscript", "object", "param", "canvas", "svg", "g", "path", "circle", "ellipse", "rect", "line", "polyline", "polygon", "text", "tspan", "defs", "use", "symbol", "desc", "math", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mstyle", "mpadded", "semantics", "annotation")
+INLINE = ("a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "img", "wbr", *TRANSPARENT)
 CLOSES_P = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
 KINDS = ("#text", "p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "li", "h1", "h2", "h3", "table", "tr", "td", "figure", "blockquote", "body", "html", "head")
 BAD = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "comment", "comments", "cookie", "discussion", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "replies", "respond", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
@@ -43,6 +46,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _OPENING = re.compile(r"<[A-Za-z/!?]")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_SAME = {t: re.compile(rf"<(/?){t}(?![A-Za-z0-9:-])", re.I) for t in DROPPED}
 
 
 class Node:
@@ -71,10 +75,12 @@ def parse(page: str) -> Node:
     root = node = Node("#root", None)
     run: Node | None = None
     in_link, at = 0, 0
+    # The dropped element that is open, how often, whether it is closed by a tag, and the blocks in it.
+    muted, times, ends, inner = "", 0, False, []
     while at < len(page):
         m = _TOKEN.search(page, at)
         data = page[at : m.start() if m else len(page)]
-        if data:
+        if data and not muted:
             if run is None:
                 run = Node("#text", node)
             run.text.append(data)
@@ -97,6 +103,29 @@ def parse(page: str) -> Node:
             elif tag == "br" and run is not None:
                 run.text.append(" ")
             continue
+        if tag in DROPPED:
+            if closing:
+                times -= muted == tag
+            elif not m[3].endswith("/") and (not muted or muted == tag):
+                again = _SAME[tag].search(page, at)
+                nested = muted == tag == "template"
+                muted, times, inner = tag, times + 1 if nested else 1, inner if nested else []
+                ends = again is not None and (bool(again[1]) or tag == "template")
+            if not times:
+                muted = ""
+            continue
+        if muted and (ends or tag in ("option", "optgroup")):
+            above = node
+            while above is not root and above.tag != tag:
+                above = above.parent
+            if closing and tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                continue
+            if not closing or above is root:
+                if not closing and tag not in VOID:
+                    inner.append(tag)
+                continue
+        muted, times = "", 0
         run = None
         if closing:
             up = node

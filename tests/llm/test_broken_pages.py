@@ -1,0 +1,32 @@
+"""Pages whose markup is not closed or quoted as it should be."""
+
+import pytest
+
+from nearspan.llm.html_extract import describe, parse
+
+
+def texts(page):
+    return [t for t in describe(parse(page))[3] if t]
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "math", "noscript", "canvas", "template"])
+def test_unclosed_elements_do_not_end_the_page(tag):
+    assert texts(f"<article><p>One</p><{tag}><p>Two</p><p>Three</p></article><p>Four</p>")[-3:] == ["Two", "Three", "Four"]
+
+
+@pytest.mark.parametrize("tag", ["math", "object", "noscript", "svg", "canvas"])
+def test_text_of_closed_elements_stays(tag):
+    assert texts(f"<p>One <{tag}>two</{tag}> three</p>") == ["One two three"]
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "template", "textarea", "script", "style", "title", "iframe"])
+def test_what_is_no_text_is_dropped(tag):
+    assert texts(f"<p>One <{tag}>no</{tag}> two</p><p>three</p>") == ["One two", "three"]
+
+
+def test_dropped_elements_hold_blocks_and_end_with_their_parent():
+    assert texts("<p>a</p><button><div>no</div></button><p>b</p>") == ["a", "b"]
+    assert texts("<div><button>no</div><p>b</p><button>no</button><p>c</p>") == ["b", "c"]
+    assert texts("<form><select><option>x<option>y</form><p>b</p>") == ["b"]
+    assert texts("<template><p>x</p><template>y</template>z</template><p>b</p>") == ["b"]
+    assert texts("<article><button>no<div>in</div></article><p>b</p><button>no</button>") == ["in", "b"]
