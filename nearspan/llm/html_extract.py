@@ -40,7 +40,8 @@ BAD = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "comment"
 GOOD = ("article", "body", "content", "entry", "main", "post", "story", "text")
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A quote delimits a value only right after "="; else a tag ends at the first ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+>|[^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -91,9 +92,9 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[2] is None:
             continue
-        closing, tag = m[1], m[2].lower()
+        closing, tag, attributes = m[1], m[2].lower(), m[3][:-1]
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -106,7 +107,7 @@ def parse(page: str) -> Node:
         if tag in DROPPED:
             if closing:
                 times -= muted == tag
-            elif not m[3].endswith("/") and (not muted or muted == tag):
+            elif not attributes.endswith("/") and (not muted or muted == tag):
                 again = _SAME[tag].search(page, at)
                 nested = muted == tag == "template"
                 muted, times, inner = tag, times + 1 if nested else 1, inner if nested else []
@@ -142,8 +143,8 @@ def parse(page: str) -> Node:
             node = node.parent
         if tag == "body" and node.tag == "head":
             node = node.parent
-        node = Node(tag, node, m[3])
-        if m[3].endswith("/"):
+        node = Node(tag, node, attributes)
+        if attributes.endswith("/"):
             node = node.parent
     return root
 

@@ -30,3 +30,11 @@ def test_dropped_elements_hold_blocks_and_end_with_their_parent():
     assert texts("<form><select><option>x<option>y</form><p>b</p>") == ["b"]
     assert texts("<template><p>x</p><template>y</template>z</template><p>b</p>") == ["b"]
     assert texts("<article><button>no<div>in</div></article><p>b</p><button>no</button>") == ["in", "b"]
+
+
+def test_stray_quotes_do_not_join_tags():
+    assert texts("<p title=Bob's>One</p><p>Two</p><p>It's three</p><p>Four</p>") == ["One", "Two", "It's three", "Four"]
+    assert texts("<p title=Bob's>One</p><p 5\" x>Two</p>") == ["One", "Two"]
+    assert texts("<p title=\"a > b\" id = 'c > d'>One</p>") == ["One"]
+    assert texts("<p title=\"open>One</p><p>Two</p>") == ["One", "Two"]
+    assert texts("<p a=\"x>y\"" + " b=\"y\"" * 5000)
