@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding with offsets into the original bytes.
 
-A text is first normalised by the model's compiled character map: at each byte the longest
-matching prefix is replaced, and the map from normalised to original bytes is kept. The
-library encodes; piece lengths add up to spans of the normalised text, which the kept map
-projects to byte spans of the original.
+The library encodes. Where a model's normalisation only writes space symbols, piece lengths
+add up to byte spans at once; for any other model (a character map, removed spaces, unknown
+or user-defined pieces) the library's own offsets are taken.
 
 Defined cases: a null text counts as empty; an empty text has no pieces and decodes to "";
 ids are those of the library without begin, end or sampling. Rows are independent.
@@ -93,7 +92,7 @@ class PieceCodec:
         self.prefix = n.add_dummy_prefix
         vocabulary = [p.piece for p in spec.pieces]
         special = [p.type != 1 for p in spec.pieces]
-        byte = [p.type == 6 for p in spec.pieces]
+        byte = self.byte = [p.type == 6 for p in spec.pieces]
         self.lengths = np.array([1 if b else 0 if s else len(p.encode()) for p, s, b in zip(vocabulary, special, byte, strict=True)])
         #: Bytes of a piece in a text where a space stands for each space symbol.
         self.own_lengths = np.array([n if b or s else len(p.replace(SPACE, " ").encode()) for p, n, s, b in zip(vocabulary, self.lengths, special, byte, strict=True)])
@@ -108,7 +107,8 @@ class PieceCodec:
     def spans(self, text: str | None, ids: list[int]) -> np.ndarray:
         """Begin and end byte of each piece in the original text, one row a piece.
 
-        Consecutive pieces meet; the space put before a text has no bytes of its own.
+        The space put before a text has no bytes of its own. Pieces meet unless the model drops
+        what lies between them.
         """
         text = text or ""
         if not ids:
@@ -117,18 +117,21 @@ class PieceCodec:
             # Nothing is replaced but spaces, one byte for one symbol: lengths add up in the original at once.
             edges = np.concatenate([[0], np.cumsum(self.own_lengths[ids]) - 1])
             return np.stack([edges[:-1], edges[1:]], axis=1)
-        replaced, source = self.map.apply(text)
-        data = replaced.encode("utf-8", "replace")
-        # A space is one byte of the text and three of the normalised one.
-        width = np.where(np.frombuffer(data, np.uint8) == 0x20, len(SPACE.encode()), 1)
-        ends = np.concatenate([[0], np.cumsum(width)])
-        if self.prefix:
-            ends = np.concatenate([[0], ends + len(SPACE.encode())])
-            source = np.concatenate([[0], source])
-        at = np.concatenate([[0], np.cumsum(self.lengths[ids])])
-        where = np.minimum(np.searchsorted(ends, at, side="left"), len(source) - 1)
-        edges = source[where]
-        return np.stack([edges[:-1], edges[1:]], axis=1)
+        # As a protocol buffer the library gives offsets in bytes.
+        found = self.library.encode(text, return_type="proto").pieces
+        out = np.array([(p.begin, p.end) for p in found], np.int64)
+        # The library gives all bytes of a character to the last of its byte pieces.
+        first = 0
+        for i, (k, (begin, end)) in enumerate(zip(ids, out.tolist(), strict=True)):
+            if not self.byte[k]:
+                first = i + 1
+            elif end > begin:
+                n = i + 1 - first
+                if n == end - begin:
+                    out[first : i + 1, 0] = begin + np.arange(n)
+                    out[first : i + 1, 1] = begin + np.arange(n) + 1
+                first = i + 1
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
