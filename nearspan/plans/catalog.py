@@ -250,6 +250,7 @@ QUERIES = {
     "vocab_filter": lambda s, d: text.with_known_word(texts(s, d), vocabulary(s, d), ignored="is").select("id"),
     "clean_dataset": lambda s, d: text.clean_dataset(texts(s, d), vocabulary(s, d), "text", limit=500).select("id", F.length("text").cast("long").alias("n_chars")),
     "clean_dataset_whole": lambda s, d: text.clean_dataset(texts(s, d), vocabulary(s, d), "text").select("id", F.length("text").cast("long").alias("n_chars")),
+    "embed_dataset": lambda s, d: coordinates(text.embed_dataset(texts(s, d), vocabulary(s, d), DIM, "text")),
     "generated_ticks": lambda s, d: generators.uniform_vectors(s, 100, 30).groupBy("event_ts").agg(F.count("*").alias("n"), F.count_if(F.expr("size(vec) = 2 AND array_min(vec) >= -1 AND array_max(vec) < 1")).alias("valid")),
     "generated_zipf": lambda s, d: generators.zipf_words(s, ["a", "b", "c", "d"], 1000, 10).groupBy("word").count(),
     "generated_gaussian": lambda s, d: generators.gaussian_vectors(s, 100, 10, 8),
@@ -344,5 +345,7 @@ ORACLE_SQL = {
     "vocab_filter": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) SELECT DISTINCT id FROM t JOIN voc USING (word) WHERE word <> 'is'",
     "clean_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents ORDER BY doc_id LIMIT 500), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",
     "clean_dataset_whole": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",
+    # Adding zero makes a rounded -0.0 the 0.0 that Spark gives.
+    "embed_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f), k AS (SELECT DISTINCT id FROM t JOIN voc USING (word) WHERE word <> 'Episode'), w AS (SELECT id, unnest(string_split(x, ' ')) AS word FROM f), m AS (SELECT id, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(DIM))} FROM w JOIN voc USING (word) GROUP BY 1) SELECT k.id, {', '.join(f'round(coalesce(v{i}, 0), 6) + 0.0::DOUBLE AS v{i}' for i in range(DIM))} FROM k LEFT JOIN m ON m.id = k.id",
     "generated_ticks": "SELECT i AS event_ts, CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS valid FROM range(30) r(i)",
 }

@@ -35,3 +35,8 @@ def test_mean_vectors_have_all_coordinates(spark, duck):
     got = agrees(spark, duck, "text_embedding_whole")
     assert [c for c in got.columns if c[0] == "v"] == [f"v{i}" for i in range(64)]
     assert len(got) == 1000 and all(got[f"v{i}"].any() for i in range(64))
+
+
+def test_a_dataset_is_embedded_whole(spark, duck):
+    got = agrees(spark, duck, "embed_dataset")
+    assert len(got) > 500 and len(got.columns) == 65
