@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from nearspan.shipping import ship
 
-#: Rows of one Arrow batch. Texts may be megabytes long, so batches stay small.
-BATCH_ROWS = 512
+#: What a function gets of an Arrow batch at once. Texts may be megabytes long, so bytes are bounded too.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Labelled rows a model is fitted on at most (a documented bound; scoring covers all rows).
 MAX_TRAINING_ROWS = 20_000
 
@@ -24,31 +25,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names; a local one only in local mode where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         path = "/tmp/nearspan-checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def small_batches(spark: SparkSession) -> None:
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) != BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read from there: what it holds no longer changes."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is heavy when it holds more than this share of the rows.
+HEAVY_SHARE = 1000
+
+
+def join_heavy(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The inner join of left with right by key, where one key may hold a third of left's rows.
+
+    right has each key once and in ``count`` the number of left's rows with it, which add up to
+    ``total`` at most. Keys with more than total / HEAVY_SHARE rows are fewer than HEAVY_SHARE,
+    so their rows of right are broadcast; only the other keys are shuffled. ``count`` is dropped.
+    """
+    most = max(total // HEAVY_SHARE, 8)
+    heavy, rest = (right.where(c).drop(count) for c in (F.col(count) > most, F.col(count) <= most))
+    names = F.broadcast(heavy.select(key))
+    return left.join(F.broadcast(heavy), key).unionByName(left.join(names, key, "left_anti").join(rest, key))
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most BATCH_ROWS rows and, but for a single row, BATCH_BYTES bytes."""
+    parts = [batch.slice(a, BATCH_ROWS) for a in range(batch.num_rows - 1 - (batch.num_rows - 1) % BATCH_ROWS, -1, -BATCH_ROWS)] if batch.num_rows else []
+    while parts:
+        part = parts.pop()
+        if part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+            half = part.num_rows // 2
+            parts += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
 
 
 def map_rows(df: DataFrame, columns: Sequence[str], schema: T.StructType, fn: Callable[[dict], dict]) -> DataFrame:
     """mapInArrow over the named columns: ``fn`` gets python lists by column, returns lists by column."""
-    small_batches(df.sparkSession)
+    ship(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn({c: batch.column(i).to_pylist() for i, c in enumerate(columns)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            for part in slices(batch):
+                out = fn({c: part.column(i).to_pylist() for i, c in enumerate(columns)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -58,18 +100,19 @@ def replace_text(df: DataFrame, text: str, fn: Callable[[list], list], keep: boo
 
     With ``keep`` the function returns booleans instead and rows with False go.
     """
-    small_batches(df.sparkSession)
+    ship(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch.column(at).to_pylist())
-            if keep:
-                yield batch.filter(pa.array(out, pa.bool_()))
-            else:
-                arrays = list(batch.columns)
-                arrays[at] = pa.array(out, batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+            for part in slices(batch):
+                out = fn(part.column(at).to_pylist())
+                if keep:
+                    yield part.filter(pa.array(out, pa.bool_()))
+                else:
+                    arrays = list(part.columns)
+                    arrays[at] = pa.array(out, part.schema.field(at).type)
+                    yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
 
     return df.mapInArrow(run, df.schema)
 

@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearspan.llm import jaccard_join as jj
+from nearspan.llm.common import join_heavy, slices
 from nearspan.llm.decontaminate import MAX_ERRORS, Masks, Matcher, drop_leaks, find_leaks, words
 from nearspan.llm.quality_model import score_quality
 from nearspan.llm.toxicity import Grammar, score_toxicity
@@ -70,6 +72,61 @@ def test_blocks_count_every_link(spark, monkeypatch):
     assert got == brute_join(texts)
 
 
+def test_rows_keep_their_numbers(spark, tmp_path):
+    """Files read with another parallelism from job to job: the rows' numbers are written once."""
+    r, texts = random.Random(4), []
+    for _ in range(40):
+        base = [f"w{r.randrange(900)}" for _ in range(60)]
+        texts += [" ".join(base), " ".join([*base, "more"])]
+    documents(spark, texts).repartition(3).write.parquet(f"{tmp_path}/d")
+    key, was = "spark.sql.leafNodeDefaultParallelism", spark.sparkContext.defaultParallelism
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    try:
+        spark.conf.set(key, "1")
+        rows, row = jj.numbered(docs)
+        spark.conf.set(key, "8")
+        signed, named = jj.jaccard_classes(rows, row, "text", "doc_id")
+        spark.conf.set(key, "2")
+        got = {x["id"]: x["class_id"] for x in signed.join(named, "set_key").select("id", "class_id").collect()}
+        first = {x["doc_id"]: x[row] for x in rows.collect()}
+        spark.conf.set(key, "5")
+        assert {x["doc_id"]: x[row] for x in rows.collect()} == first
+    finally:
+        spark.conf.set(key, str(was))
+    assert got == {i: c for i, (c, _) in brute_join(texts).items()}
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """Copies, near copies and texts without words each hold a third of the rows."""
+    monkeypatch.setattr(jj, "BAND_BLOCK", 16)
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    base = [f"a{i}" for i in range(150)]
+    texts = ["the very same text in every one of these rows"] * 60 + [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(60)] + ["?"] * 60
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jj.jaccard_join(documents(spark, texts)).collect()}
+    assert got == brute_join(texts)
+
+
+def test_internal_names_do_not_clash(spark):
+    docs = documents(spark, ["one two three four five six", "one two three four five six", "other words"]).withColumn("__row", F.lit(7)).withColumn("__Row_", F.lit(8)).withColumn("set_key", F.lit(1))
+    kept = jj.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(x)[5:] for x in kept.collect()} == {(7, 8, 1)} and kept.count() == 2
+
+
+def test_join_heavy(spark):
+    left = spark.createDataFrame([(k % 7 if k % 2 else 100, k) for k in range(200)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    want = sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
+    assert sorted(map(tuple, join_heavy(left, right, "k", "n", 200).collect())) == want
+
+
+def test_slices_bound_rows_and_bytes():
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 3_000_000, "y" * 3_000_000, "z", *["w"] * 1500, "v" * 9_000_000]})
+    parts = list(slices(batch))
+    assert sum(([*p.column(0).to_pylist()] for p in parts), []) == batch.column(0).to_pylist()
+    assert all(p.num_rows <= 512 and (p.num_rows == 1 or p.nbytes <= 4 << 20) for p in parts)
+    assert list(slices(batch.slice(0, 0))) == []
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in jj.components(edges).collect()}
