@@ -47,6 +47,8 @@ STEP = 16
 TOLERANCE = 1e-6
 #: Rows of a block of a band (values only), of a component (with shingles), and the shingles of the latter in bytes.
 BAND_BLOCK, BLOCK, BLOCK_BYTES = 2048, 512, 8 << 20
+#: A component of more than SMALL_BLOCK rows is dealt into up to SPREAD blocks, so that many tasks share it, before blocks grow to BLOCK.
+SMALL_BLOCK, SPREAD = 128, 32
 #: Words hashed at once, about what a core's cache holds.
 CHUNK = 1 << 15
 
@@ -378,7 +380,7 @@ def jaccard_classes(rows: DataFrame, row: str, text: str = "text", ids: str | No
     edges = in_blocks(banded, "band", "n").select("band", "left", "right", "row", "size", "signature").mapInArrow(_candidates, _EDGES)
     coarse = stored(components(edges).withColumnRenamed("node", "row").join(reps.select("row", "size", "copies", "signature"), "row"), "coarse")
     sizes = stored(coarse.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")), "sizes")
-    n = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("all") * 8 / BLOCK_BYTES))
+    n = F.ceil(F.greatest(F.least(F.col("members") / SMALL_BLOCK, F.lit(SPREAD)), F.col("members") / BLOCK, F.col("all") * 8 / BLOCK_BYTES))
     members = join_heavy(coarse, sizes.withColumn("members", F.col("n")), "component", "n", total).withColumn("n", n)
     # Only members of components bring their shingles, once each, then one copy for each pair of blocks.
     texts = (

@@ -1,39 +1,39 @@
 """Quality rules: counting rules, then a hashed n-gram log-likelihood ratio, all in SQL functions.
 
-Two multinomials over hashed 2-grams of word endings (a word's last three characters, so
-that invented and rare words share evidence) are estimated from all documents: the raw
-corpus, and the trusted target, being the documents that meet a strict set of counting
-rules (``TRUST``). A document's score is the sum of log(p_target / p_raw)
-over its n-grams divided by their number; below ``MIN_RATIO`` it goes.
+Two multinomials over hashed n-grams (every word, and every two neighbouring words) are
+estimated from all documents: the raw corpus, and the trusted target, being the documents
+that meet a strict set of counting rules (``TRUST``). A document's score is the sum of
+log(p_target / p_raw) over its n-grams divided by their number; below ``MIN_RATIO`` it goes.
 
 Defined cases: a null or empty text has no words and fails the base rules; ids and other
-columns may be null, repeated or anything (they are never looked at); an empty corpus gives
-equal multinomials (ratio 0). Each row is judged on its own, so repeated rows agree.
+columns may be null, repeated or of any name (they are packed away and never looked at); an
+empty table gives an empty result, and a corpus without a trusted document equal
+multinomials (ratio 0). Each row is judged on its own, so repeated rows agree. A very long
+text is one row's arrays: whole, some dozens of bytes a word.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 14
 SMOOTHING = 1.0
-MIN_RATIO = -0.2
+MIN_RATIO = -0.08
 MIN_WORDS = 20
 WINDOW = 8
 
-#: The strict rules a trusted document meets.
-TRUST = "size(__e) >= 50 AND size(array_distinct(__e)) * 5 >= size(__e) AND __clean AND size(__lines) = size(array_distinct(__lines))"
+#: The strict rules a trusted document meets; none of them depends on its length beyond the first.
+TRUST = "size(h) >= 50 AND clean AND repeat * 10 <= size(h) AND dups * 10 <= size(lines)"
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
-_TRIMMED = r"trim(BOTH ' \t\n\u000B\u000C\r' FROM __text)"
+_TRIMMED = r"trim(BOTH ' \t\n\u000B\u000C\r' FROM text)"
 
 
 def _words(then: str) -> str:
-    """SQL: an expression over each word x of __text, as an array."""
+    """SQL: an expression over each word x of text, as an array."""
     return f"CASE WHEN {_TRIMMED} = '' THEN array() ELSE transform(split({_TRIMMED}, '{_SPACE}'), x -> {then}) END"
 
 
@@ -43,48 +43,41 @@ def _spaces_removed(text: str) -> str:
     return text
 
 
-def _with_ngrams(df: DataFrame, text: str, **more: str) -> DataFrame:
-    """Adds __text, __e (hashes of the words' last three characters), __lines, then __g.
+def _measured(docs: DataFrame, text: str, *own: str, **more: str) -> DataFrame:
+    """own (a struct of the columns named), h (hashes of the words), g (their n-grams), lines, dups, repeat.
 
-    __g holds one hash for every two neighbouring word endings, the last word paired with
-    the end of the text. The arrays are columns of their own projections: what refers to
-    neighbours inside a lambda must find a stored array, not an expression.
+    The arrays are columns of their own projections: what refers to neighbours inside a
+    lambda must find a stored array, not an expression. ``repeat`` counts the words inside
+    8-word windows that the text holds at least twice: windows of four words settle most
+    rows; only where those repeat are (hash, position) of the windows of eight sorted and
+    the union of the repeated ones measured.
     """
+    packed = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.lit(None)
     return (
-        df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+        docs.select(packed.alias("own"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
         .withColumns(
             {
-                "__e": F.expr(_words("xxhash64(substring(x, -3))")),
-                "__lines": F.expr(r"filter(split(__text, '\\n'), x -> rlike(x, '[^\\x20\\x09-\\x0D]'))"),
+                "h": F.expr(_words("xxhash64(x)")),
+                "lines": F.expr(r"filter(split(text, '\\n'), x -> rlike(x, '[^\\x20\\x09-\\x0D]'))"),
                 **{k: F.expr(v) for k, v in more.items()},
             }
         )
-        .withColumn("__g", F.expr("transform(__e, (x, i) -> xxhash64(x, get(__e, i + 1)))"))
-    )
-
-
-def _with_repeats(df: DataFrame) -> DataFrame:
-    """Adds __repeat: words inside 8-word windows that the text holds at least twice.
-
-    Windows of word endings settle most rows: where no four, or else no eight, endings in a
-    row repeat, no eight words do. Only other rows hash whole words, sort (hash, position)
-    and measure the union of the repeated windows.
-    """
-    windows = ", ".join(f"get(__h, i + {k})" for k in range(WINDOW))
-    return (
-        df.withColumn("__g4", F.expr("transform(__g, (x, i) -> xxhash64(x, get(__g, i + 2)))"))
-        .withColumn("__g8", F.expr("CASE WHEN size(array_distinct(__g4)) < size(__g4) THEN transform(__g4, (x, i) -> xxhash64(x, get(__g4, i + 4))) END"))
-        .withColumn("__h", F.expr(f"CASE WHEN size(__e) > {WINDOW} AND size(array_distinct(__g8)) < size(__g8) THEN {_words('xxhash64(x)')} END"))
-        .withColumn("__s", F.expr(f"sort_array(transform(slice(__h, 1, size(__h) - {WINDOW - 1}), (x, i) -> named_struct('x', xxhash64({windows}), 'i', i)))"))
-        .withColumn("__p", F.expr("sort_array(filter(transform(__s, (e, i) -> CASE WHEN e.x = get(__s, i - 1).x OR e.x = get(__s, i + 1).x THEN e.i END), v -> v IS NOT NULL))"))
+        .drop("text")
+        .withColumn("g2", F.expr("transform(h, (x, i) -> xxhash64(x, get(h, i + 1)))"))
+        .withColumn("g4", F.expr("transform(g2, (x, i) -> xxhash64(x, get(g2, i + 2)))"))
+        .withColumn("g8", F.expr(f"CASE WHEN size(h) > {WINDOW} AND size(array_distinct(g4)) < size(g4) THEN slice(transform(g4, (x, i) -> xxhash64(x, get(g4, i + 4))), 1, size(h) - {WINDOW - 1}) END"))
+        .withColumn("s", F.expr("CASE WHEN size(array_distinct(g8)) < size(g8) THEN sort_array(transform(g8, (x, i) -> named_struct('x', x, 'i', i))) END"))
+        .withColumn("p", F.expr("sort_array(filter(transform(s, (e, i) -> CASE WHEN e.x = get(s, i - 1).x OR e.x = get(s, i + 1).x THEN e.i END), v -> v IS NOT NULL))"))
         .withColumn(
-            "__repeat",
+            "repeat",
             F.expr(
-                f"CAST(CASE WHEN __p IS NULL THEN 0 ELSE aggregate(__p, named_struct('last', {-WINDOW}, 'n', 0), "
+                f"CAST(CASE WHEN p IS NULL THEN 0 ELSE aggregate(p, named_struct('last', {-WINDOW}, 'n', 0), "
                 f"(a, p) -> named_struct('last', p, 'n', a.n + least({WINDOW}, p - a.last)), a -> a.n) END AS BIGINT)"
             ),
         )
-        .drop("__g4", "__g8", "__h", "__s", "__p")
+        .withColumn("dups", F.expr("CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)"))
+        .withColumn("g", F.expr("concat(h, g2)"))
+        .drop("g2", "g4", "g8", "s", "p")
     )
 
 
@@ -93,14 +86,14 @@ def learn_ratios(docs: DataFrame, text: str = "text") -> list[float]:
 
     BUCKETS rows of two counts reach the driver whatever the size of the corpus.
     """
-    measured = _with_ngrams(docs.select(text), text, __clean="NOT rlike(__text, '[#*$%&|<>]|[A-Z]{4}')")
-    # The outer form: for the inner one the optimizer infers size(__g) > 0 and inlines all of __g into the scan's filter.
+    measured = _measured(docs, text, clean="NOT rlike(text, '[#*$%&|<>]|[A-Z]{4}')")
+    # The outer form: for the inner one the optimizer infers size(g) > 0 and inlines all of g into the scan's filter.
     rows = (
-        measured.select(F.expr(f"CAST({TRUST} AS INT)").alias("__trust"), "__g")
-        .select("__trust", F.explode_outer("__g").alias("g"))
+        measured.select(F.expr(f"CAST({TRUST} AS INT)").alias("trust"), "g")
+        .select("trust", F.explode_outer("g").alias("g"))
         .where("g IS NOT NULL")
         .groupBy(F.expr(f"CAST(pmod(g, {BUCKETS}) AS INT)").alias("b"))
-        .agg(F.count("*").alias("raw"), F.sum("__trust").alias("target"))
+        .agg(F.count("*").alias("raw"), F.sum("trust").alias("target"))
         .collect()
     )
     raw, target = [0] * BUCKETS, [0] * BUCKETS
@@ -117,43 +110,44 @@ def ratios(raw: list[int], target: list[int]) -> list[float]:
     return [round(math.log(y + a) - t - math.log(x + a) + r, 6) for x, y in zip(raw, target, strict=True)]
 
 
-def score(docs: DataFrame, text: str = "text", learned: list[float] | None = None) -> DataFrame:
-    """Every row of docs with __n, __chars, __symbols, __dups, __repeat, __failed, __ratio and __kept."""
+def score(docs: DataFrame, text: str, *own: str, learned: list[float] | None = None) -> DataFrame:
+    """For every row of docs own (a struct of its columns named), n, chars, symbols, dups, repeat, failed, ratio and kept."""
     learned = learn_ratios(docs, text) if learned is None else learned
-    measured = _with_ngrams(
+    measured = _measured(
         docs,
         text,
-        __chars=f"CAST(length({_spaces_removed('__text')}) AS BIGINT)",
-        __symbols="CAST(length(__text) - length(regexp_replace(__text, '[#*$%&|<>]+', '')) AS BIGINT)",
+        *own,
+        chars=f"CAST(length({_spaces_removed('text')}) AS BIGINT)",
+        symbols="CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '')) AS BIGINT)",
     )
-    # One literal array: no join is needed to look a bucket up.
-    counted = measured.withColumn("__table", F.lit(np.array(learned))).withColumns(
-        {
-            "__n": F.expr("CAST(size(__e) AS BIGINT)"),
-            "__dups": F.expr("CAST(size(__lines) - size(array_distinct(__lines)) AS BIGINT)"),
-            "__ratio": F.expr(f"round(CASE WHEN size(__g) = 0 THEN 0D ELSE aggregate(__g, 0D, (a, g) -> a + get(__table, CAST(pmod(g, {BUCKETS}) AS INT))) / size(__g) END, 6)"),
-        }
-    ).drop("__lines", "__table")
+    # One literal array, folded from one string: no join is needed to look a bucket up.
+    table = F.split(F.lit(",".join(map(str, learned))), ",").cast("array<double>")
     return (
-        _with_repeats(counted)
-        .drop("__e", "__g", "__text")
-        .withColumn("__failed", F.expr(f"__n < {MIN_WORDS} OR 100 * __repeat > 30 * __n"))
-        .withColumn("__kept", F.expr(f"NOT __failed AND __ratio >= {MIN_RATIO}"))
+        measured.withColumn("table", table)
+        .withColumns(
+            {
+                "n": F.expr("CAST(size(h) AS BIGINT)"),
+                "ratio": F.expr(f"round(CASE WHEN size(g) = 0 THEN 0D ELSE aggregate(g, 0D, (a, g) -> a + get(table, CAST(pmod(g, {BUCKETS}) AS INT))) / size(g) END, 6)"),
+            }
+        )
+        .drop("table", "lines", "h", "g")
+        .withColumn("failed", F.expr(f"n < {MIN_WORDS} OR 100 * repeat > 30 * n"))
+        .withColumn("kept", F.expr(f"NOT failed AND ratio >= {MIN_RATIO}"))
     )
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, counts, base_failed, kept and the method's ratio."""
-    return score(docs.select("doc_id", text), text).select(
-        "doc_id",
-        F.col("__n").alias("n_words"),
-        F.col("__chars").alias("word_chars"),
-        F.col("__symbols").alias("n_symbols"),
-        F.col("__dups").alias("n_dup_lines"),
-        F.col("__repeat").alias("n_repeat_words"),
-        F.col("__failed").alias("base_failed"),
-        F.col("__kept").alias("kept"),
-        F.col("__ratio").alias("ratio"),
+    return score(docs, text, "doc_id").select(
+        F.col("own.doc_id").alias("doc_id"),
+        F.col("n").alias("n_words"),
+        F.col("chars").alias("word_chars"),
+        F.col("symbols").alias("n_symbols"),
+        F.col("dups").alias("n_dup_lines"),
+        F.col("repeat").alias("n_repeat_words"),
+        F.col("failed").alias("base_failed"),
+        "kept",
+        "ratio",
     )
 
 
@@ -163,5 +157,19 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     The verdict passes through a one-element generator, below which no filter is pushed
     (pushing would repeat the whole expression tree, lambdas included).
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return score(docs, text).select(*own, F.explode_outer(F.array("__kept")).alias("__keep")).where("__keep").select(*own)
+    return score(docs, text, *docs.columns).select("own", F.explode_outer(F.array("kept")).alias("keep")).where("keep").select("own.*")
+
+
+def base_sql() -> str:
+    """The counting columns for DuckDB over the table documents; the ratio is learned and tested against brute force."""
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS x FROM w, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i)),
+o AS (SELECT r, i FROM p QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+c AS (SELECT r, sum(least({WINDOW}, i - last)) AS n FROM (SELECT r, i, lag(i, 1, {-WINDOW}) OVER (PARTITION BY r ORDER BY i) AS last FROM o) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{space}', '', 'g')) AS BIGINT) AS word_chars,
+       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(w) < {MIN_WORDS} OR 100 * coalesce(c.n, 0) > 30 * len(w) AS base_failed
+FROM w LEFT JOIN c USING (r)"""

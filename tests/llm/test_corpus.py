@@ -66,6 +66,7 @@ def test_jaccard_join_equals_brute_force(spark):
 def test_blocks_count_every_link(spark, monkeypatch):
     """A group larger than a block: every pair of blocks is compared once."""
     monkeypatch.setattr(jj, "BLOCK", 8)
+    monkeypatch.setattr(jj, "SMALL_BLOCK", 8)
     base = [f"a{i}" for i in range(200)]
     texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 90, 3)]
     got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jj.jaccard_join(documents(spark, texts)).collect()}
@@ -100,6 +101,7 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     """Copies, near copies and texts without words each hold a third of the rows."""
     monkeypatch.setattr(jj, "BAND_BLOCK", 16)
     monkeypatch.setattr(jj, "BLOCK", 8)
+    monkeypatch.setattr(jj, "SMALL_BLOCK", 8)
     base = [f"a{i}" for i in range(150)]
     texts = ["the very same text in every one of these rows"] * 60 + [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(60)] + ["?"] * 60
     got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jj.jaccard_join(documents(spark, texts)).collect()}
