@@ -111,7 +111,11 @@ def ratios(raw: list[int], target: list[int]) -> list[float]:
 
 
 def score(docs: DataFrame, text: str, *own: str, learned: list[float] | None = None) -> DataFrame:
-    """For every row of docs own (a struct of its columns named), n, chars, symbols, dups, repeat, failed, ratio and kept."""
+    """For every row of docs own (a struct of its columns named), n, chars, symbols, dups, repeat, failed, ratio and kept.
+
+    The results pass through a one-element generator, below which no filter is pushed
+    (pushing would repeat the whole expression tree, lambdas included).
+    """
     learned = learn_ratios(docs, text) if learned is None else learned
     measured = _measured(
         docs,
@@ -122,7 +126,7 @@ def score(docs: DataFrame, text: str, *own: str, learned: list[float] | None = N
     )
     # One literal array, folded from one string: no join is needed to look a bucket up.
     table = F.split(F.lit(",".join(map(str, learned))), ",").cast("array<double>")
-    return (
+    scored = (
         measured.withColumn("table", table)
         .withColumns(
             {
@@ -134,6 +138,7 @@ def score(docs: DataFrame, text: str, *own: str, learned: list[float] | None = N
         .withColumn("failed", F.expr(f"n < {MIN_WORDS} OR 100 * repeat > 30 * n"))
         .withColumn("kept", F.expr(f"NOT failed AND ratio >= {MIN_RATIO}"))
     )
+    return scored.select("own", F.explode_outer(F.array(F.struct(*scored.columns[1:]))).alias("x")).select("own", "x.*")
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -152,12 +157,8 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their own columns.
-
-    The verdict passes through a one-element generator, below which no filter is pushed
-    (pushing would repeat the whole expression tree, lambdas included).
-    """
-    return score(docs, text, *docs.columns).select("own", F.explode_outer(F.array("kept")).alias("keep")).where("keep").select("own.*")
+    """The rows of docs that are kept, with their own columns."""
+    return score(docs, text, *docs.columns).where("kept").select("own.*")
 
 
 def base_sql() -> str:
