@@ -1,23 +1,37 @@
 """License scans by diagonal voting, in SQL functions only.
 
 Hashes of all two-word grams of every text are joined to the positions they have in the
-templates (a fixed table, so broadcasting it is bounded); hits of one document, template
-and diagonal (position in the text minus position in the template) are votes. Diagonals at
-most ``SLACK`` apart are merged, since a word left out or put in shifts the diagonal, and a
-merged span is verified: enough of the template's grams, in a stretch not much longer than
-the template. Base phrases need every one of their grams on one diagonal.
+templates (a fixed table, so broadcasting it is bounded), and the words of each hit are
+compared, so that no collision votes. Hits of one document, template and diagonal (position
+in the text minus position in the template) are votes. Diagonals at most ``SLACK`` apart are
+merged, since a word left out or put in shifts the diagonal. A merged span is verified by
+its best window: the stretch of text, not much longer than the template, that holds most of
+the template's grams, among them all that tell it from kindred licenses (``is_telling``). Base phrases need every one of their grams on one diagonal.
+
+Templates are sentences that name a license and the full texts or notices of
+``license_texts``; the latter need more of their grams, as kindred licenses share clauses.
 
 Defined cases: a null or empty text has no words and no labels; ids may be null or
-repeated, rows are told apart by a row number; scores tie freely, being a maximum.
+repeated, rows are told apart by a row number; an empty table gives an empty result; other
+columns, whatever their names, are never looked at; scores tie freely, being a maximum. A
+very long text is read whole; what meets in one task is one text's hits.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearspan.llm.license_texts import TEXTS
+
 SLACK = 3
-LEAST_COVER = 0.7
+# What tells kindred licenses apart, being a word by itself, a number after one of these, or what follows "gnu".
+TELLING, BEFORE_NUMBER = ("lesser", "affero", "nc", "sa", "nd"), ("version", "v", "by", "sa", "nc", "license")
+#: Share of the grams a sentence must have, and a full text or notice.
+LEAST_COVER, LEAST_OF_TEXT = 0.7, 0.9
 MOST_STRETCH = 1.3
 
 # Phrases and labels.
@@ -44,52 +58,79 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-def phrases() -> list[tuple[int, str, bool, list[str]]]:
-    """(number, label, whether a base phrase, words) of every template."""
-    both = [(label, True, text) for text, label in BASE.items()] + [(label, False, text) for text, label in TEMPLATES.items()]
-    return [(k, label, base, text.split()) for k, (label, base, text) in enumerate(both)]
+def template_words(text: str) -> list[str]:
+    """The words of a text by the rule of the scan."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+
+
+def phrases() -> list[tuple[int, str, bool, float, list[str]]]:
+    """(number, label, whether a base phrase, least share of its grams, words) of every template."""
+    all_ = [(label, True, 1.0, text) for text, label in BASE.items()] + [(label, False, LEAST_COVER, text) for text, label in TEMPLATES.items()]
+    all_ += [(label, False, LEAST_OF_TEXT, text) for label, text in TEXTS.items()]
+    return [(k, label, base, least, template_words(text)) for k, (label, base, least, text) in enumerate(all_)]
+
+
+def is_telling(a: str, b: str) -> bool:
+    return a == "gnu" or b in TELLING or a in BEFORE_NUMBER and b.isdigit()
+
+
+def _positions() -> list[tuple]:
+    """(a, b, template, position, whether telling, grams, telling ones, longest window, hits it may hold, base, least, label) of every gram."""
+    out = []
+    for k, label, base, least, words in phrases():
+        pairs = list(zip(words, words[1:], strict=False))
+        most = int(MOST_STRETCH * (len(pairs) + 1)) - 1
+        often = max(Counter(pairs).values())
+        keys = sum(is_telling(*p) for p in pairs)
+        out += [(a, b, k, i, is_telling(a, b), len(pairs), keys, most, (most + 1) * often, base, least, label) for i, (a, b) in enumerate(pairs)]
+    return out
+
+
+_TEMPLATE = ("template", "grams", "keys", "most", "reach", "base", "least", "label")
 
 
 def _grams(spark) -> DataFrame:
-    """gram, template, its position, the template's number of grams; a sentinel row 0 marks every document."""
-    rows = [(a, b, k, i, len(words) - 1, base, label) for k, label, base, words in phrases() for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    table = spark.createDataFrame(rows, "a string, b string, template int, at int, grams int, base boolean, label string")
-    return table.select(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("gram"), "template", "at", "grams", "base", "label").unionByName(
-        spark.sql("SELECT 0L gram, -1 template, 0 at, 0 grams, false base, '' label")
-    )
+    """The templates' grams by hash and words; a sentinel row marks every document."""
+    rows = [*_positions(), ("", "", -1, 0, False, 1, 0, 0, 1, False, 2.0, "")]
+    table = spark.createDataFrame(rows, "ta string, tb string, template int, at int, telling boolean, grams int, keys int, most int, reach int, base boolean, least double, label string")
+    return table.withColumn("gram", F.xxhash64("ta", "tb"))
 
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    words = (
-        docs.select("doc_id", text, F.monotonically_increasing_id().alias("row"))
-        .withColumn("w", F.expr(f"array_remove(split(translate(coalesce(`{text}`, ''), '{_UPPER}', '{_LOWER}'), '{_BETWEEN}'), '')"))
-        .select("row", "doc_id", F.expr("transform(w, x -> xxhash64(x))").alias("h"))
+    words = docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("row")).select(
+        "row", "doc_id", F.expr(f"array_remove(split(translate(coalesce(t, ''), '{_UPPER}', '{_LOWER}'), '{_BETWEEN}'), '')").alias("w")
     )
+    pair = "named_struct('gram', xxhash64({0}, {1}), 'a', {0}, 'b', {1})"
     grams = (
-        words.withColumn("g", F.expr("transform(h, (x, i) -> xxhash64(x, get(h, i + 1)))"))
-        .select("row", "doc_id", F.size("h").cast("long").alias("n_words"), F.expr("concat(g, array(0L))").alias("g"))
-        .select("row", "doc_id", "n_words", F.posexplode_outer("g").alias("pos", "gram"))
-    )
-    spark = docs.sparkSession
-    hits = grams.join(F.broadcast(_grams(spark)), "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
-    votes = hits.groupBy("row", "doc_id", "n_words", "template", "grams", "base", "label", "diagonal").agg(
-        F.collect_set("at").alias("ats"), F.min("pos").alias("low"), F.max("pos").alias("high")
+        words.withColumn("g", F.expr(f"transform(w, (x, i) -> {pair.format('x', 'get(w, i + 1)')})"))
+        .select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"concat(g, array({pair.format(repr(''), repr(''))}))").alias("g"))
+        .select("row", "doc_id", "n_words", F.posexplode_outer("g").alias("pos", "g"))
+        .select("row", "doc_id", "n_words", "pos", "g.gram", "g.a", "g.b")
     )
+    found = F.broadcast(_grams(docs.sparkSession))
+    # The hash finds, the words decide.
+    hits = grams.join(found, "gram").where("a = ta AND b = tb").withColumn("diagonal", F.col("pos") - F.col("at"))
+    votes = hits.groupBy("row", "doc_id", "n_words", *_TEMPLATE, "diagonal").agg(F.collect_list(F.struct("at", "telling")).alias("ats"))
     # A document's votes meet in one task: as many as its own text holds, after aggregation.
     spans = votes.withColumn(
         "gap",
         F.expr("CASE WHEN base OR template < 0 OR diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {} THEN 1 ELSE 0 END".format(SLACK)),
     ).withColumn("span", F.expr("sum(gap) OVER (PARTITION BY row, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING)"))
-    merged = (
-        spans.groupBy("row", "doc_id", "n_words", "template", "grams", "base", "label", "span")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("start"))
-        .withColumn("cover", F.expr("CASE WHEN template < 0 THEN 0D ELSE covered / CAST(grams AS DOUBLE) END"))
+    merged = spans.groupBy("row", "doc_id", "n_words", *_TEMPLATE, "span").agg(
+        F.sort_array(F.flatten(F.collect_list(F.expr("transform(ats, a -> named_struct('pos', a.at + diagonal, 'at', a.at, 'telling', a.telling))")))).alias("hits"), F.min("diagonal").alias("start")
+    )
+    held = "size(array_distinct(transform(filter(slice(hits, i + 1, reach), y -> y.pos <= x.pos + most{}), y -> y.at)))"
+    window = f"CASE WHEN {held.format(' AND y.telling')} = keys THEN {held.format('')} ELSE 0 END"
+    verified = (
+        merged.withColumn("covered", F.expr("CASE WHEN template < 0 THEN 0 ELSE size(array_distinct(transform(hits, y -> y.at))) END"))
+        .withColumn("best", F.expr(f"CASE WHEN base THEN covered WHEN covered >= least * grams THEN array_max(transform(hits, (x, i) -> {window})) ELSE 0 END"))
+        .withColumn("cover", F.expr("best / CAST(grams AS DOUBLE)"))
         .withColumn("whole", F.expr("base AND covered = grams"))
-        .withColumn("good", F.expr(f"NOT base AND template >= 0 AND cover >= {LEAST_COVER} AND high - low + 2 <= {MOST_STRETCH} * (grams + 1) + 1"))
+        .withColumn("good", F.expr("NOT base AND best >= least * grams"))
     )
     return (
-        merged.groupBy("row", "doc_id", "n_words")
+        verified.groupBy("row", "doc_id", "n_words")
         .agg(
             F.count_if("whole").cast("long").alias("n_base"),
             F.min(F.expr("CASE WHEN whole THEN CAST(start AS BIGINT) END")).alias("first_word"),
@@ -104,18 +145,20 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def license_sql() -> str:
     """The same scan for DuckDB over the table documents."""
-    rows = ", ".join(f"('{a}', '{b}', {k}, {i}, {len(words) - 1}, {str(base).lower()}, '{label}')" for k, label, base, words in phrases() for i, (a, b) in enumerate(zip(words, words[1:], strict=False)))
+    rows = ", ".join(f"('{a}', '{b}', {k}, {i}, {str(telling).lower()}, {grams}, {keys}, {most}, {str(base).lower()}, {least}, '{label}')" for a, b, k, i, telling, grams, keys, most, _, base, least, label in _positions())
     return rf"""
-WITH grams(a, b, template, "at", grams, base, label) AS (VALUES {rows}),
+WITH grams(a, b, template, "at", telling, grams, keys, most, base, least, label) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT r, w, unnest(range(0, greatest(len(w) - 1, 0))) AS pos FROM d),
-h AS (SELECT r, pos, "at", pos - "at" AS diagonal, template, grams, base, label FROM p JOIN grams ON w[pos + 1] = a AND w[pos + 2] = b),
-v AS (SELECT r, template, grams, base, label, diagonal, list(DISTINCT "at") AS ats, min(pos) AS low, max(pos) AS high FROM h GROUP BY ALL),
+h AS (SELECT r, pos, "at", pos - "at" AS diagonal, template, telling, grams, keys, most, base, least, label FROM p JOIN grams ON w[pos + 1] = a AND w[pos + 2] = b),
+v AS (SELECT r, template, base, diagonal FROM h GROUP BY ALL),
 g AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {SLACK} THEN 1 ELSE 0 END AS gap FROM v),
-s AS (SELECT *, sum(gap) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM g),
-m AS (SELECT r, template, grams, base, label, span, len(list_distinct(flatten(list(ats)))) AS covered, min(low) AS low, max(high) AS high, min(diagonal) AS start FROM s GROUP BY ALL),
-f AS (SELECT *, covered / CAST(grams AS DOUBLE) AS cover, base AND covered = grams AS whole,
-      NOT base AND covered / CAST(grams AS DOUBLE) >= {LEAST_COVER} AND high - low + 2 <= {MOST_STRETCH} * (grams + 1) + 1 AS good FROM m),
+s AS (SELECT r, template, diagonal, sum(gap) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM g),
+k AS (SELECT h.*, span FROM h JOIN s USING (r, template, diagonal)),
+m AS (SELECT r, template, grams, base, least, label, span, count(DISTINCT "at") AS covered, min(diagonal) AS start FROM k GROUP BY ALL),
+b AS (SELECT x.r, x.template, x.span, x.pos, count(DISTINCT y."at") AS n FROM k x JOIN k y ON x.r = y.r AND x.template = y.template AND x.span = y.span AND y.pos BETWEEN x.pos AND x.pos + x.most WHERE NOT x.base GROUP BY x.r, x.template, x.span, x.pos, x.keys HAVING count(DISTINCT CASE WHEN y.telling THEN y."at" END) = x.keys),
+e AS (SELECT r, template, span, max(n) AS n FROM b GROUP BY ALL),
+f AS (SELECT m.*, base AND covered = grams AS whole, NOT base AND coalesce(n, 0) >= least * grams AS good, CASE WHEN base THEN covered ELSE n END / CAST(grams AS DOUBLE) AS cover FROM m LEFT JOIN e USING (r, template, span)),
 x AS (SELECT r, count(*) FILTER (WHERE whole) AS n_base, min(start) FILTER (WHERE whole) AS first_word, max(start) FILTER (WHERE whole) AS last_word,
       array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE whole)), ',') AS base_labels,
       array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE whole OR good)), ',') AS labels,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from nearspan.llm import license_scan as lic
 from nearspan.llm import quality_rules as q
+from nearspan.llm.license_texts import TEXTS
 
 ODD = [None, "", " \t\n", "word", "a b c d e f g h " * 40, "x " * 30000, "l1 a\nl1 a\n\nl2\nl1 a", "#*$%&|<> é ü", "é ü\u000bz", "  wide"]
 
@@ -101,11 +102,20 @@ def test_rules_use_no_python(spark, some):
 
 
 LICENSED = [
+    "licensed under cc by 4 0 by 4 0 by 4 0 by 4 0",
+    "licensed under the apache apache license version 2 0 version 2 0 version 2 0",
+    "// " + TEXTS["bsd-3-clause"].replace("\n", "\n// "),
+    "Copyright X. " + TEXTS["bsd-2-clause"],
+    TEXTS["mit"].replace("person", "human being").upper(),
+    TEXTS["mit"][:300],
+    TEXTS["gpl-2.0"],
+    TEXTS["lgpl-2.1"] + TEXTS["isc"],
     "Licensed under the Apache License, Version 2.0.",
     "X mit license MIT License mit mit license",
     "this work is licensed under the GNU General\nPublic License, version 3 and cc by-nc",
     "Released under MIT License, and (CC BY) gnu general public",
     "Licensed under CC BY-NC 4.0. " * 500,
+    "released under the GNU General Public License, version 2; not 3",
     "permission is hereby granted free of charge to anyone obtaining a copy of this software and associated documentation files",
     "Apache KKLicense apache é license",
     None,
@@ -130,8 +140,32 @@ def test_license_scan_equals_sql_and_brute_force(spark, some):
         places = [(i, label) for p, label in lic.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         row = got.iloc[k]
         assert (row.n_words, row.n_base, row.base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
-        assert (None if pd.isna(row.first_word) else row.first_word) == (min(places)[0] if places else None)
-    assert "gpl-3.0" in got.labels[2] and "mit" in got.labels[5] and got.labels[8] == ""
+        assert [None if pd.isna(x) else x for x in (row.first_word, row.last_word)] == ([min(places)[0], max(places)[0]] if places else [None, None])
+        labels = {x for _, x in places} | {x for x in (slow_label(words, *p[1:]) for p in lic.phrases()) if x}
+        assert row.labels == ",".join(sorted(labels))
+    assert "cc-by-4.0" in got.labels[0] and "apache-2.0" in got.labels[1]
+    assert got.labels[2] == "bsd,bsd-3-clause" and got.labels[3] == "bsd,bsd-2-clause" and got.labels[4] == got.labels[5] == "mit"
+    assert got.labels[6] == "gpl,gpl-2.0" and got.labels[7] == "isc,lgpl,lgpl-2.1"
+    assert "gpl-3.0" in got.labels[10] and got.labels[13] == "gpl" and "mit" in got.labels[14] and got.labels[17] == ""
+
+
+def slow_label(words, label, base, least, template):
+    """The label, if some window on neighbouring diagonals holds enough of the template's pairs of words."""
+    if base:
+        return ""
+    pairs = list(zip(template, template[1:], strict=False))
+    hits = [(p, a) for p in range(len(words) - 1) for a, x in enumerate(pairs) if (words[p], words[p + 1]) == x]
+    diagonals = sorted({p - a for p, a in hits})
+    spans, k = {}, 0
+    for i, d in enumerate(diagonals):
+        k += i > 0 and d - diagonals[i - 1] > lic.SLACK
+        spans[d] = k
+    for low, a in hits:
+        most = low + int(lic.MOST_STRETCH * (len(pairs) + 1)) - 1
+        held = {y for p, y in hits if low <= p <= most and spans[p - y] == spans[low - a]}
+        if len(held) >= least * len(pairs) and all(y in held for y, x in enumerate(pairs) if lic.is_telling(*x)):
+            return label
+    return ""
 
 
 def test_license_scan_edges(spark):
