@@ -1,11 +1,17 @@
 """SentencePiece encoding and decoding with offsets into the original bytes.
 
-The library encodes. Where a model's normalisation only writes space symbols, piece lengths
-add up to byte spans at once; for any other model (a character map, removed spaces, unknown
-or user-defined pieces) the library's own offsets are taken.
+The library gives ids and decoded texts. ``Normalizer`` replays a model's normalisation:
+longest prefixes are replaced through its compiled character map, spaces removed, escaped
+and put in front or behind as the model says, and every normalised byte remembers the
+original byte it stands for. Pieces stand one behind the other in the normalised text, so
+their edges there project to byte spans of the original.
 
 Defined cases: a null text counts as empty; an empty text has no pieces and decodes to "";
-ids are those of the library without begin, end or sampling. Rows are independent.
+an empty table gives an empty result; ids are those of the library without begin, end or
+sampling; doc_ids may be null or repeated and other columns have any name (they are never
+looked at). Rows are independent; a very long text is encoded whole. What normalisation
+removes (extra spaces) belongs to no piece or to the one before it; a space put in front or
+behind has no bytes of its own.
 """
 
 from __future__ import annotations
@@ -52,25 +58,80 @@ class CharMap:
                 found = (k - at + 1, int(self.units[node]) & 0x7FFFFFFF)
         return found
 
-    def apply(self, text: str) -> tuple[str, np.ndarray]:
-        """The replaced text, and for each of its bytes (and its end) the original byte offset."""
+
+class Normalizer:
+    """A model's normalisation with the source of every byte."""
+
+    def __init__(self, spec, suffix: bool, user_defined: list[bytes]):
+        self.map = CharMap(spec.precompiled_charsmap)
+        self.prefix, self.suffix = spec.add_dummy_prefix and not suffix, spec.add_dummy_prefix and suffix
+        self.squeeze = spec.remove_extra_whitespaces
+        self.space = SPACE.encode() if spec.escape_whitespaces else b" "
+        self.own: dict[int, list[bytes]] = {}
+        for symbol in sorted(user_defined, key=len, reverse=True):
+            self.own.setdefault(symbol[0], []).append(symbol)
+        #: Whether nothing but spaces is ever replaced.
+        self.plain = not self.map and not self.own and not self.squeeze
+
+    def _prefix(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """(bytes taken, what replaces them) at ``at``: a user-defined symbol, the longest mapped prefix, or a character."""
+        for symbol in self.own.get(data[at], ()):
+            if data.startswith(symbol, at):
+                return len(symbol), symbol
+        length, offset = self.map.longest(data, at) if self.map else (0, 0)
+        if length:
+            return length, self.map.strings[offset : self.map.strings.index(b"\0", offset)]
+        length = 1
+        while at + length < len(data) and data[at + length] & 0xC0 == 0x80:
+            length += 1
+        return length, data[at : at + length]
+
+    def apply(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The normalised bytes, and for each of them (and their end) the original byte offset."""
         data = text.encode("utf-8", "replace")
-        if not self:
-            return text, np.arange(len(data) + 1)
+        if not data:
+            return b"", np.zeros(1, np.int64)
+        if self.plain:
+            front, back = (self.space if x else b"" for x in (self.prefix, self.suffix))
+            width = np.where(np.frombuffer(data, np.uint8) == 32, len(self.space), 1)
+            source = np.concatenate([np.zeros(len(front), np.int64), np.repeat(np.arange(len(data)), width), np.full(len(back) + 1, len(data))])
+            return front + data.replace(b" ", self.space) + back, source
         out, source, at = [], [], 0
+        while self.squeeze and at < len(data):
+            length, piece = self._prefix(data, at)
+            if piece != b" ":
+                break
+            at += length
+        if at == len(data):
+            return b"", np.array([at])
+        if self.prefix:
+            out.append(self.space)
+            source += [at] * len(self.space)
+        was_space = self.squeeze
         while at < len(data):
-            length, offset = self.longest(data, at)
-            if length:
-                piece = self.strings[offset : self.strings.index(b"\0", offset)]
-            else:
-                length = 1
-                while at + length < len(data) and data[at + length] & 0xC0 == 0x80:
-                    length += 1
-                piece = data[at : at + length]
-            out.append(piece)
-            source += [at] * len(piece)
+            length, piece = self._prefix(data, at)
+            same = piece == data[at : at + length]
+            if was_space:
+                same, piece = same and piece[:1] != b" ", piece.lstrip(b" ")
+            # An unchanged character keeps its bytes apart; a replacement stands for all it replaces.
+            for k in range(len(piece)):
+                c = piece[k : k + 1]
+                c = self.space if c == b" " else c
+                out.append(c)
+                source += [at + k if same else at] * len(c)
+            if piece:
+                was_space = self.squeeze and piece.endswith(b" ")
             at += length
-        return b"".join(out).decode("utf-8", "replace"), np.array([*source, len(data)])
+        normal = b"".join(out)
+        end = at
+        while self.squeeze and normal.endswith(self.space):
+            normal = normal[: -len(self.space)]
+            end = source[len(normal)]
+            del source[len(normal) :]
+        if self.suffix:
+            normal += self.space
+            source += [end] * len(self.space)
+        return normal, np.array([*source, end])
 
 
 class PieceCodec:
@@ -87,17 +148,12 @@ class PieceCodec:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=content)
         spec = proto.ModelProto()
         spec.ParseFromString(content)
-        n = spec.normalizer_spec
-        self.map = CharMap(n.precompiled_charsmap)
-        self.prefix = n.add_dummy_prefix
-        vocabulary = [p.piece for p in spec.pieces]
-        special = [p.type != 1 for p in spec.pieces]
-        byte = self.byte = [p.type == 6 for p in spec.pieces]
-        self.lengths = np.array([1 if b else 0 if s else len(p.encode()) for p, s, b in zip(vocabulary, special, byte, strict=True)])
-        #: Bytes of a piece in a text where a space stands for each space symbol.
-        self.own_lengths = np.array([n if b or s else len(p.replace(SPACE, " ").encode()) for p, n, s, b in zip(vocabulary, self.lengths, special, byte, strict=True)])
-        #: Whether normalisation does nothing but write space symbols.
-        self.plain = bool(n.escape_whitespaces and not n.remove_extra_whitespaces and self.prefix and not self.map and spec.trainer_spec.byte_fallback)
+        self.byte = np.array([p.type == spec.SentencePiece.BYTE for p in spec.pieces])
+        self.unknown = np.array([p.type == spec.SentencePiece.UNKNOWN for p in spec.pieces])
+        #: Bytes of a piece in the normalised text; an unknown piece is as long as its text.
+        self.lengths = np.array([1 if b else 0 if u else len(p.piece.encode()) for p, b, u in zip(spec.pieces, self.byte, self.unknown, strict=True)])
+        own = [p.piece.encode() for p in spec.pieces if p.type == spec.SentencePiece.USER_DEFINED]
+        self.normalizer = Normalizer(spec.normalizer_spec, spec.trainer_spec.treat_whitespace_as_suffix, own)
 
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
         """Of each text the ids, and the same ids in decimal joined by commas."""
@@ -105,33 +161,18 @@ class PieceCodec:
         return [(ids, ",".join(map(str, ids))) for ids in all_ids]
 
     def spans(self, text: str | None, ids: list[int]) -> np.ndarray:
-        """Begin and end byte of each piece in the original text, one row a piece.
-
-        The space put before a text has no bytes of its own. Pieces meet unless the model drops
-        what lies between them.
-        """
+        """Begin and end byte of each piece in the original text, one row a piece."""
         text = text or ""
         if not ids:
             return np.zeros((0, 2), np.int64)
-        if self.plain and SPACE not in text:
-            # Nothing is replaced but spaces, one byte for one symbol: lengths add up in the original at once.
-            edges = np.concatenate([[0], np.cumsum(self.own_lengths[ids]) - 1])
-            return np.stack([edges[:-1], edges[1:]], axis=1)
-        # As a protocol buffer the library gives offsets in bytes.
-        found = self.library.encode(text, return_type="proto").pieces
-        out = np.array([(p.begin, p.end) for p in found], np.int64)
-        # The library gives all bytes of a character to the last of its byte pieces.
-        first = 0
-        for i, (k, (begin, end)) in enumerate(zip(ids, out.tolist(), strict=True)):
-            if not self.byte[k]:
-                first = i + 1
-            elif end > begin:
-                n = i + 1 - first
-                if n == end - begin:
-                    out[first : i + 1, 0] = begin + np.arange(n)
-                    out[first : i + 1, 1] = begin + np.arange(n) + 1
-                first = i + 1
-        return out
+        lengths = self.lengths[ids]
+        if self.unknown[ids].any():
+            lengths = np.where(self.unknown[ids], [len(p.encode()) for p in self.library.encode(text, out_type=str)], lengths)
+        normal, source = self.normalizer.apply(text)
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        if edges[-1] != len(normal):
+            raise ValueError(f"pieces hold {edges[-1]} bytes of {len(normal)} normalised ones")
+        return np.stack([source[edges[:-1]], source[edges[1:]]], axis=1)
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)

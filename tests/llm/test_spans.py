@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearspan.llm import pii, secret_scan
 from nearspan.llm.html_extract import decode, example_page, extract_html, main_texts, model
-from nearspan.llm.pieces import SPACE, CharMap, PieceCodec, default_model, digest_pieces, encode_pieces
+from nearspan.llm.pieces import SPACE, PieceCodec, default_model, digest_pieces, encode_pieces
 
 from .test_rules import ODD, documents
 
@@ -105,30 +105,6 @@ def test_pieces_cover_the_bytes(text):
             assert piece.replace(SPACE, " ").encode() in (data[a:b].replace(SPACE.encode(), b" "), b" " + data[a:b].replace(SPACE.encode(), b" "))
 
 
-def test_both_span_paths_agree():
-    texts = ["a b  c", " x", "é\n😀 y", "1 2"]
-    quick = [CODEC.spans(t, CODEC.encode([t])[0][0]).tolist() for t in texts]
-    CODEC.plain, was = False, CODEC.plain
-    assert was and [CODEC.spans(t, CODEC.encode([t])[0][0]).tolist() for t in texts] == quick
-    CODEC.plain = was
-
-
-def test_char_map_prefers_the_longest_prefix():
-    """A map whose trie is written by hand: 'a' to 'X', 'ab' to 'YZ'."""
-    units = np.zeros(1024, np.uint32)
-    place = lambda off, label, leaf: off << 10 | leaf << 8 | label
-    units[0] = 256 << 10
-    a = 256 ^ ord("a")
-    units[a] = place(a ^ 512, ord("a"), 1)
-    units[512] = 0x80000000
-    b = 512 ^ ord("b")
-    units[b] = place(b ^ 768, ord("b"), 1)
-    units[768] = 0x80000000 | 2
-    blob = len(units.tobytes()).to_bytes(4, "little") + units.tobytes() + b"X\0YZ\0"
-    text, source = CharMap(blob).apply("cabaé")
-    assert text == "cYZXé" and source.tolist() == [0, 1, 1, 3, 4, 4, 6][: len(source) - 1] + [6]
-
-
 def test_encoding_is_the_librarys(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=default_model())
     texts = [*ODD, "plain words", "tab\tand▁mark", "<s> </s>"]
@@ -138,6 +114,12 @@ def test_encoding_is_the_librarys(spark):
         ids = lib.encode(t or "")
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids) if ids else ""))
     full = {r["doc_id"]: r for r in encode_pieces(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = np.array([full[i]["begins"], full[i]["ends"]], "<i8").T.copy()
+        assert got[i]["spans_sha256"] == hashlib.sha256(spans.tobytes()).hexdigest()
+        found = lib.encode(t or "", return_type="proto").pieces
+        byte = [lib.is_byte(x.id) for x in found]
+        assert [tuple(x) for x, y in zip(spans.tolist(), byte, strict=True) if not y] == [(x.begin, x.end) for x, y in zip(found, byte, strict=True) if not y]
     assert full[3]["ids"] == lib.encode("word") and full[3]["begins"][0] == 0 and full[3]["ends"][-1] == 4
 
 
