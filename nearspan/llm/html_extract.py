@@ -9,8 +9,12 @@ decisions never contradict each other. The trees learn from pages written by
 
 Defined cases: a null or empty page, or one without text to keep, gives the empty string;
 broken markup is closed where the next block begins or the page ends; what stands in
-scripts, styles, form controls, templates, titles, frames and comments is never text; ids and urls may be null
-or repeated. White space inside a block is one space, blocks are joined by a line break.
+scripts, styles, form controls, templates, titles, frames and comments is never text; a
+header or footer element is no part of the article, an article's own included; ids and urls
+may be null or repeated, each page is read on its own; an empty table gives an empty result;
+other columns, whatever their names, are never looked at; a very long page is read whole, in
+time proportional to its length. White space inside a block is one space, blocks are joined
+by a line break.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -74,6 +79,8 @@ def parse(page: str) -> Node:
     cut = _OPENING.search(page, page.rfind(">") + 1)
     page = page[: cut.start()] if cut else page
     root = node = Node("#root", None)
+    #: Open elements by tag, so that a stray end tag need not be looked for up the tree.
+    opened: Counter = Counter()
     run: Node | None = None
     in_link, at = 0, 0
     # The dropped element that is open, how often, whether it is closed by a tag, and the blocks in it.
@@ -116,36 +123,37 @@ def parse(page: str) -> Node:
                 muted = ""
             continue
         if muted and (ends or tag in ("option", "optgroup")):
-            above = node
-            while above is not root and above.tag != tag:
-                above = above.parent
             if closing and tag in inner:
                 del inner[len(inner) - 1 - inner[::-1].index(tag) :]
                 continue
-            if not closing or above is root:
+            if not closing or not opened[tag]:
                 if not closing and tag not in VOID:
                     inner.append(tag)
                 continue
         muted, times = "", 0
         run = None
         if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[tag]:
+                while node.tag != tag:
+                    opened[node.tag] -= 1
+                    node = node.parent
+                opened[tag] -= 1
+                node = node.parent
                 in_link = 0
             continue
         if tag in VOID:
             continue
         # What an opening tag closes by itself.
         if tag in CLOSES_P and node.tag == "p" or tag == node.tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
+            opened[node.tag] -= 1
             node = node.parent
         if tag == "body" and node.tag == "head":
+            opened["head"] -= 1
             node = node.parent
-        node = Node(tag, node, attributes)
-        if attributes.endswith("/"):
-            node = node.parent
+        inside = Node(tag, node, attributes)
+        if not attributes.endswith("/"):
+            node = inside
+            opened[tag] += 1
     return root
 
 

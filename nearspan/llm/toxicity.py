@@ -7,14 +7,18 @@ insult and threats aimed at a target add weight. A clause's score is the weight
 times what its words weigh; scattered words never meet in a clause. A text is described by
 its clauses' scores, and a booster calibrates these to a probability.
 
-Weights of insult words are learned: the lower bound of the share of toxic texts among those
-labelled texts that hold the word. Learning reads at most ``MAX_TRAINING_ROWS`` labelled
-rows outside the held-out fold; the word list is the ``MAX_WORDS`` surest ones (a report
-of bounded size). Labels, lang, source and doc_id are no inputs of a score.
+Weights of insult words and of stems (the first ``STEMS`` letters of words, so that compounds
+and endings share evidence) are learned: the lower bound of the share of toxic texts among
+those labelled texts that hold one, where it is over a half. Learning reads at most
+``MAX_TRAINING_ROWS`` labelled rows outside the held-out fold, and such a bound takes five
+toxic texts at least, so the list is bounded by a fifth of their words. Labels, lang, source
+and doc_id are no inputs of a score.
 
 Defined cases: a null or empty text has no clauses and scores like any text without a
-match; with no labelled rows, the fixed words alone give scores; ids may be null or
-repeated; words are compared in lower case.
+match; with no labelled rows, the fixed words alone give scores; an empty table gives an
+empty result; ids may be null or repeated (each row is scored on its own), and a repeated id
+is learned from once; other columns, whatever their names, are never looked at; words are
+compared in lower case. A very long text is scored whole.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from pyspark.sql import types as T
 from nearspan.llm.common import MAX_TRAINING_ROWS, Booster, held_out, map_rows, training_ids
 
 CUT = 0.3
-MAX_WORDS = 2000
+#: Lengths of stems, and what marks one in the list of learned words.
+STEMS, MARK = (4, 5, 6, 7), "*"
 
 # Words of each class.
 INSULTS = ("idiot", "moron", "stupid", "worthless", "pathetic", "disgusting", "clown", "trash", "scum", "loser", "imbecile", "vermin", "filth", "dumb", "idiote", "dummkopf", "abschaum", "imbécile", "basura", "estúpido")
@@ -117,44 +122,65 @@ def compose(*machines: Machine) -> Machine:
 
 
 class Grammar:
-    """The composed machine with the classes and weights of words."""
+    """The composed machine with the classes and weights of words and stems."""
+
+    #: Words remembered with their class and weight; beyond that the memory starts anew.
+    REMEMBERED = 200_000
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = {w: 0.6 for w in INSULTS} | weights
-        self.classes = {w: c for words, c in ((REPORTS, "R"), (NEGATIONS, "N"), (TARGETS, "T"), (THREATS, "H"), (self.weights, "I")) for w in words}
-        self.matched = frozenset(self.weights) | frozenset(THREATS)
+        self.weights = {w: 0.6 for w in INSULTS} | {w: x for w, x in weights.items() if not w.endswith(MARK)}
+        self.stems = {w[:-1]: x for w, x in weights.items() if w.endswith(MARK)}
+        # Words of the fixed classes stay what they are, whatever was learned.
+        self.classes = {w: "I" for w in self.weights} | {w: c for words, c in ((REPORTS, "R"), (NEGATIONS, "N"), (TARGETS, "T"), (THREATS, "H")) for w in words}
         self.start, self.step = compose(negation(), reported(), insults(), threats())
+        self.seen: dict[str, tuple[str, float]] = {}
+
+    def look(self, word: str) -> tuple[str, float]:
+        """Class and weight of a word; a word of no class is an insult if one of its stems is."""
+        got = self.seen.get(word)
+        if got is None:
+            c = self.classes.get(word)
+            weight = self.weights.get(word, 0.0) if c == "I" else 0.0
+            if c is None:
+                weight = max((self.stems.get(word[:k], 0.0) for k in STEMS if k <= len(word)), default=0.0)
+                c = "I" if weight else "o"
+            if len(self.seen) >= self.REMEMBERED:
+                self.seen.clear()
+            got = self.seen[word] = c, weight
+        return got
 
     def clause(self, words: list[str]) -> float:
         """Score of one clause: its path's weight times the largest weight of its insults."""
         state, total, heavy = self.start, 0.0, 0.0
         for w in words:
-            s = self.classes.get(w, "o")
+            s, weight = self.look(w)
             state, _, gain = self.step(state, s)
             total += gain
-            if s == "I":
-                heavy = max(heavy, self.weights[w])
+            heavy = max(heavy, weight)
         return total * (heavy or 0.6)
 
     def features(self, text: str | None) -> list[float]:
         """Largest and summed clause scores, matched clauses and their share, logged length."""
         low = (text or "").lower()
-        words = _WORD.findall(low)
-        if self.matched.isdisjoint(words):
+        words, look = _WORD.findall(low), self.look
+        if all(look(w)[0] not in "IH" for w in set(words)):
             return [0.0, 0.0, 0.0, 0.0, 0.0]
-        scores = [s for c in _CLAUSE.split(low) if not self.matched.isdisjoint(own := _WORD.findall(c)) and (s := self.clause(own)) > 0]
+        clauses = (_WORD.findall(c) for c in _CLAUSE.split(low))
+        scores = [s for own in clauses if any(look(w)[0] in "IH" for w in own) and (s := self.clause(own)) > 0]
         return [max(scores, default=0.0), sum(scores), float(len(scores)), 100 * sum(scores) / len(words), math.log1p(len(words))]
 
 
 def learn_words(docs: DataFrame, labels: DataFrame, text: str, bound: int = MAX_TRAINING_ROWS) -> dict[str, float]:
-    """Weights of words: Wilson's lower bound of the share of toxic texts among those with the word."""
+    """Weights of words and stems: Wilson's lower bound of the share of toxic texts among those with one."""
     ids = F.broadcast(training_ids(labels, "toxic", bound))
-    words = docs.select("doc_id", text).join(ids, "doc_id").select("label", F.explode(F.array_distinct(F.expr(rf"regexp_extract_all(lower(coalesce(`{text}`, '')), '[\\p{{L}}]+', 0)"))).alias("word"))
+    words = rf"array_distinct(regexp_extract_all(lower(coalesce(`{text}`, '')), '[\\p{{L}}]+(?:[\'’][\\p{{L}}]+)?', 0))"
+    stems = f"array_distinct(flatten(transform(w, x -> transform(filter(array({', '.join(map(str, STEMS))}), k -> k <= length(x)), k -> concat(substring(x, 1, k), '{MARK}')))))"
+    held = docs.select("doc_id", text).join(ids, "doc_id").select("label", F.expr(words).alias("w")).select("label", F.explode(F.expr(f"concat(w, {stems})")).alias("word"))
     z = 2.0
-    counted = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where("k >= 3")
+    counted = held.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
     low = F.expr(f"(k / n + {z * z / 2} / n - {z} * sqrt(k * (n - k) / n + {z * z / 4}) / n) / (1 + {z * z} / n)")
-    rows = counted.select("word", low.alias("low")).where("low > 0.5").orderBy(F.desc("low"), "word").limit(MAX_WORDS).collect()
-    return {r["word"]: round(float(r["low"]), 6) for r in rows}
+    rows = counted.select("word", low.alias("low")).where("low > 0.5").collect()
+    return {r["word"]: round(float(r["low"]), 6) for r in sorted(rows, key=lambda r: r["word"])}
 
 
 _FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
