@@ -3,7 +3,9 @@
 ``brute`` deals both sides over a grid of cells (every pair of records meets in one cell),
 so that the quadratic work of a join without a key is spread evenly and nothing is
 broadcast; a cell is one matrix product. ``partitioned`` and ``grouped`` prune with the triangle inequality; they are
-equi-joins with a residual predicate, open to skew handling at run time. ``auto`` takes
+equi-joins with a residual predicate. There are as many reference points as the input asks
+for, and a partition that holds more than a block is dealt into pairs of blocks, so that a
+dense place is shared by many tasks. ``auto`` takes
 ``partitioned`` for low dimensions and ``brute`` where the inequality prunes nothing.
 """
 
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearspan.functions.vectors import unit, unit_distance
+from nearspan.functions.vectors import record_bytes, unit, unit_distance
 from nearspan.operators.grouping import assign_groups
 from nearspan.operators.space import random_centroids, space_partition
 from nearspan.shipping import ship
@@ -24,6 +26,10 @@ from nearspan.shipping import ship
 HIGH_DIMENSION = 16
 #: Records of one block of the grid.
 CELL_ROWS = 2048
+#: Records of one block of a partition; a partition with more is dealt into pairs of blocks.
+PART_ROWS = 4096
+#: Reference points: one for every so many records, at least and at most so many.
+POINT_ROWS, POINTS = 4096, (10, 64)
 #: Every how manieth failed comparison is kept in sampled mode.
 SAMPLE_EVERY = 10_001
 
@@ -98,17 +104,34 @@ def _found(pairs: DataFrame, threshold: float, *more: str) -> DataFrame:
     return pairs.where(F.col("distance") < threshold).select(F.col("l_win").alias("win"), F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "distance", F.greatest("l_ingest_ts", "r_ingest_ts").alias("in_ts"), *more)
 
 
-def partitioned_pairs(df: DataFrame, self_join: bool, threshold: float, dim: int, centroids: int) -> DataFrame:
+def points_for(df: DataFrame) -> int:
+    """How many reference points a table asks for."""
+    return min(max(-(-df.count() // POINT_ROWS), POINTS[0]), POINTS[1])
+
+
+def in_blocks(routed: DataFrame, rows: int | None = None) -> DataFrame:
+    """Adds block, and in n the number of blocks of a record's partition (and window)."""
+    rows = PART_ROWS if rows is None else rows
+    sizes = routed.groupBy("win", "part").agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
+    # Few rows, one for each window and partition; only its size decides whether it is broadcast.
+    return routed.join(sizes, ["win", "part"]).withColumn("block", F.pmod(F.xxhash64("id", "origin"), F.col("n")).cast("int"))
+
+
+def partitioned_pairs(df: DataFrame, self_join: bool, threshold: float, dim: int, centroids: int | None) -> DataFrame:
     """Candidate pairs of the partitioned join, with their distance."""
-    routed = space_partition(df, random_centroids(centroids, dim), threshold).withColumn("unit", unit(F.col("vec")))
-    l, r = _sides(routed.select("win", "part", "ptype", "home_part", "id", "unit", "ingest_ts", "origin"), self_join)
-    on = (F.col("l_win") == F.col("r_win")) & (F.col("l_part") == F.col("r_part")) & ~((F.col("l_ptype") == "pOuter") & (F.col("r_ptype") == "pOuter"))
+    routed = in_blocks(space_partition(df, random_centroids(centroids or points_for(df), dim), threshold).withColumn("unit", unit(F.col("vec"))))
+    l, r = _sides(routed.select("win", "part", "ptype", "home_part", "machine", "id", "unit", "ingest_ts", "origin", "block", "n"), self_join)
+    # Each pair of blocks is a key of its own: the left record goes along its row, the right one down its column.
+    l = l.withColumn("l_other", F.explode(F.expr("sequence(0, l_n - 1)")))
+    r = r.withColumn("r_other", F.explode(F.expr("sequence(0, r_n - 1)")))
+    on = (F.col("l_win") == F.col("r_win")) & (F.col("l_part") == F.col("r_part")) & (F.col("l_block") == F.col("r_other")) & (F.col("l_other") == F.col("r_block"))
+    on = on & ~((F.col("l_ptype") == "pOuter") & (F.col("r_ptype") == "pOuter"))
     return l.join(r, on & (F.col("l_id") > F.col("r_id")) if self_join else on).withColumn("distance", _distance(dim))
 
 
-def grouped_rows(df: DataFrame, threshold: float, dim: int, centroids: int) -> DataFrame:
+def grouped_rows(df: DataFrame, threshold: float, dim: int, centroids: int | None) -> DataFrame:
     """The routed and grouped records of a join."""
-    return assign_groups(space_partition(df, random_centroids(centroids, dim), threshold), threshold, window="win")
+    return assign_groups(space_partition(df, random_centroids(centroids or points_for(df), dim), threshold), threshold, window="win")
 
 
 def grouped_pairs(grouped: DataFrame, self_join: bool, dim: int, trust_inner: bool = False) -> DataFrame:
@@ -135,12 +158,13 @@ def similarity_join(
     dim: int,
     window: int | None = None,
     strategy: str = "auto",
-    centroids: int = 10,
+    centroids: int | None = None,
     cells: int | None = None,
 ) -> DataFrame:
     """(win, left_id, right_id, distance, in_ts) of every pair within the threshold, exactly once.
 
     Inputs have event_ts, ingest_ts, id and vec. A self-join names the greater id first.
+    Without ``centroids`` there are as many reference points as the input asks for.
     """
     df, alone = with_window(tagged(left, right), window), right is None
     if strategy == "auto":
@@ -154,16 +178,48 @@ def similarity_join(
     raise ValueError(f"no strategy {strategy!r}")
 
 
+def pair_hash(a: str, b: str) -> Column:
+    """32 bits of the MD5 of two columns, 'a:b', as a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", a, b)), 1, 8), 16, 10).cast("long")
+
+
 def sampled_failures(pairs: DataFrame, threshold: float, every: int = SAMPLE_EVERY) -> DataFrame:
     """A fixed share of the failed comparisons, chosen by a hash of the pair."""
-    return pairs.where((F.col("distance") >= threshold) & (F.pmod(F.xxhash64("l_id", "r_id"), F.lit(every)) == 0))
+    return pairs.where((F.col("distance") >= threshold) & (F.pmod(pair_hash("l_id", "r_id"), F.lit(every)) == 0))
+
+
+def result_rows(pairs: DataFrame, threshold: float, every: int | None = None) -> DataFrame:
+    """The rows of RESULT for candidate pairs of the partitioned or the grouped join.
+
+    All matches, and with ``every`` that share of the failed comparisons, match being False;
+    out_ts is when the rows are made, in_ts when the later record came.
+    """
+    group = F.col("l_group_id") if "l_group_id" in pairs.columns else F.lit(None).cast("int")
+    match = F.col("distance") < threshold
+    kept = match if every is None else match | (F.pmod(pair_hash("l_id", "r_id"), F.lit(every)) == 0)
+    return pairs.where(kept).select(
+        F.unix_millis(F.current_timestamp()).alias("out_ts"),
+        F.greatest("l_ingest_ts", "r_ingest_ts").alias("in_ts"),
+        F.col("l_id").alias("left_id"),
+        F.col("r_id").alias("right_id"),
+        F.col("l_machine").alias("machine"),
+        F.col("l_part").alias("part"),
+        group.alias("group_id"),
+        match.alias("match"),
+    )
+
+
+def group_side(grouped: DataFrame) -> DataFrame:
+    """The rows of GROUP_SIDE: what was routed to which group, with its bytes."""
+    size = record_bytes(F.col("vec"), F.col("gtype"), F.col("ptype"))
+    return grouped.select(F.col("event_ts").alias("ts"), "machine", F.col("part").alias("space_id"), "group_id", "gtype", size.alias("bytes"))
 
 
-def short_output(found: DataFrame, out_ts: Column, *keys: str) -> DataFrame:
-    """The narrow result rows: out_ts, in_ts, ids, and the keys asked for."""
-    return found.select(out_ts.alias("out_ts"), "in_ts", "left_id", "right_id", *keys)
+def throughput_ticks(records: DataFrame) -> DataFrame:
+    """The rows of THROUGHPUT: one for every input record, either side."""
+    return records.select("ingest_ts", F.lit(1).cast("long").alias("n"))
 
 
 def split_matches(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The matches, and the side output of all results with the later event time."""
-    return results.where("match"), results.select(F.greatest("l_event_ts", "r_event_ts").alias("ts"), "match")
+    """The matches, and for a side output all results with the time the later record came."""
+    return results.where("match"), results.select(F.col("in_ts").alias("ts"), "match")

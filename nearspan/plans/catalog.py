@@ -13,11 +13,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearspan.functions import vectors as v
 from nearspan.operators import balance, stats, text
 from nearspan.operators.grouping import group_leaders
-from nearspan.operators.join import grid_join, grouped_pairs, grouped_rows, partitioned_pairs, sampled_failures, similarity_join, tagged, with_window
+from nearspan.operators.join import (
+    grid_join,
+    group_side,
+    grouped_pairs,
+    grouped_rows,
+    partitioned_pairs,
+    result_rows,
+    sampled_failures,
+    similarity_join,
+    split_matches,
+    tagged,
+    throughput_ticks,
+    with_window,
+)
 from nearspan.operators.space import random_centroids, space_partition
 from nearspan.sources import generators
 from nearspan.sources.text import vector_lines
@@ -34,7 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/nearspan-checkpoints'}/{uuid.uuid4().hex}"
+    """A new folder where all executors can read and write; a local one only in local mode where none is named."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        path = "/tmp/nearspan-checkpoints"
+    return f"{path}/{uuid.uuid4().hex}"
 
 
 def vectors(spark, sf_dir, dim=DIM) -> DataFrame:
@@ -46,10 +66,9 @@ def halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("id % 2 = 0"), df.where("id % 2 = 1")
 
 
-def results(spark, sf_dir) -> DataFrame:
-    """Monitored rows: ts and window, machine, group, type, latency, bytes, whether it matched."""
-    e = table(spark, sf_dir, "events")
-    out = e.select(
+def monitored(events: DataFrame) -> DataFrame:
+    """Monitored rows: ts, machine, group, type, latency, bytes, whether it matched."""
+    return events.select(
         F.expr(MILLIS).alias("ts"),
         (F.col("user_id") % PARTS).cast("int").alias("part"),
         v.machine_label(F.col("user_id") % PARTS, PARTS).alias("machine"),
@@ -59,7 +78,11 @@ def results(spark, sf_dir) -> DataFrame:
         (F.col("event_type") == "view").alias("match"),
         (40 + 8 * (F.col("event_id") % 7)).cast("long").alias("bytes"),
     )
-    return stats.windowed(out, "ts", WINDOW_S)
+
+
+def results(spark, sf_dir) -> DataFrame:
+    """The monitored rows with their window."""
+    return stats.windowed(monitored(table(spark, sf_dir, "events")), "ts", WINDOW_S)
 
 
 def pairs(df: DataFrame) -> DataFrame:
@@ -122,6 +145,23 @@ def stream_counts(spark, sf_dir):
     return spark.table(name)
 
 
+def stream_statistics(spark, sf_dir):
+    """All messages of the five metrics over the whole stream of events: metric, window, keys, value."""
+    from nearspan.streaming.sinks import from_messages, write_statistics
+
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    folder = shared_folder(spark)
+    for q in write_statistics(monitored(raw).withColumn("space_id", F.col("part")), "job", WINDOW_S, f"{folder}/out", f"{folder}/state", "complete"):
+        q.awaitTermination()
+    values = {"latency-percentiles-per-machine": "p99", "final-comps-per-machine": "comparisons", "final-comps-per-group": "cost", "size-per-group": "bytes", "throughput": "n"}
+    sent, out = spark.read.parquet(f"{folder}/out"), None
+    for metric, value in values.items():
+        rows = from_messages(sent, metric, T.StructType([T.StructField(c, T.LongType()) for c in ("window_start", "machine", "group_id", "space_id", value)]))
+        rows = rows.select(F.lit(metric).alias("metric"), "window_start", "machine", "group_id", "space_id", F.col(value).alias("measured"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def vocabulary(spark, sf_dir) -> DataFrame:
     """Pseudo-words: the number of a vector names its word, two letters in base 26 and what is left over."""
     rest = F.expr("CASE WHEN vec_id < 676 THEN '' ELSE CAST(div(vec_id, 676) AS STRING) END")
@@ -201,6 +241,11 @@ QUERIES = {
         F.col("left_id").alias("l_id"), F.col("right_id").alias("r_id"), F.round(1 - F.cos(F.col("distance") * F.pi()), 6).alias("cosine_distance")
     ),
     "failed_comparison_sample": lambda s, d: sampled_failures(compared(s, d), LOW, 101).select("l_id", "r_id", F.round("distance", 6).alias("distance")),
+    "join_result_rows": lambda s, d: result_rows(partitioned_pairs(with_window(tagged(vectors(s, d, 2), None), None), True, LOW, 2, PARTS), LOW, 101).drop("out_ts", "group_id"),
+    "join_result_split": lambda s, d: split_matches(result_rows(partitioned_pairs(with_window(tagged(vectors(s, d, 2), None), None), True, LOW, 2, PARTS), LOW, 101))[1],
+    "group_side_output": lambda s, d: group_side(groups(s, d)),
+    "throughput_ticks": lambda s, d: throughput_ticks(vectors(s, d)),
+    "stream_statistics": stream_statistics,
     "space_partition": lambda s, d: spaces(s, d).select("id", "home_part", "part", "ptype", "machine"),
     "partition_sizes": lambda s, d: stats.record_counts(spaces(s, d), ["part"]),
     "partition_record_types": lambda s, d: stats.type_counts(spaces(s, d), "part", "ptype", ["pInner", "pOuter"]),
@@ -248,8 +293,7 @@ QUERIES = {
     "text_embedding_mean": lambda s, d: text.text_vectors(texts(s, d), vocabulary(s, d), 4).select("id", "n_known", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"v{i}") for i in range(4)]),
     "text_embedding_whole": lambda s, d: coordinates(text.text_vectors(texts(s, d), vocabulary(s, d), DIM), "n_known"),
     "vocab_filter": lambda s, d: text.with_known_word(texts(s, d), vocabulary(s, d), ignored="is").select("id"),
-    "clean_dataset": lambda s, d: text.clean_dataset(texts(s, d), vocabulary(s, d), "text", limit=500).select("id", F.length("text").cast("long").alias("n_chars")),
-    "clean_dataset_whole": lambda s, d: text.clean_dataset(texts(s, d), vocabulary(s, d), "text").select("id", F.length("text").cast("long").alias("n_chars")),
+    "clean_dataset": lambda s, d: text.clean_dataset(texts(s, d), vocabulary(s, d), "text").select("id", F.length("text").cast("long").alias("n_chars")),
     "embed_dataset": lambda s, d: coordinates(text.embed_dataset(texts(s, d), vocabulary(s, d), DIM, "text")),
     "generated_ticks": lambda s, d: generators.uniform_vectors(s, 100, 30).groupBy("event_ts").agg(F.count("*").alias("n"), F.count_if(F.expr("size(vec) = 2 AND array_min(vec) >= -1 AND array_max(vec) < 1")).alias("valid")),
     "generated_zipf": lambda s, d: generators.zipf_words(s, ["a", "b", "c", "d"], 1000, 10).groupBy("word").count(),
@@ -294,6 +338,10 @@ cost AS (SELECT window_start, group_id, machine, space_id, CAST(l * (so + sl + s
 _VOCABULARY = "voc AS (SELECT chr(CAST(97 + vec_id % 26 AS INTEGER)) || chr(CAST(97 + (vec_id // 26) % 26 AS INTEGER)) || CASE WHEN vec_id < 676 THEN '' ELSE CAST(vec_id // 676 AS VARCHAR) END AS word, embedding::DOUBLE[] AS vec FROM embeddings)"
 _RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
+#: The partitioned join's comparisons, and which failed ones the sample takes.
+_SAMPLED = f"""pp AS (SELECT a.id AS l_id, b.id AS r_id, a.part, a.machine, {_ANGLE.format(a='x.vec', b='y.vec')} AS distance, CAST('0x' || substr(md5(a.id || ':' || b.id), 1, 8) AS UBIGINT) % 101 = 0 AS hit
+  FROM sp a JOIN sp b ON a.part = b.part AND a.id > b.id AND NOT (a.ptype = 'pOuter' AND b.ptype = 'pOuter') JOIN v x ON x.id = a.id JOIN v y ON y.id = b.id)"""
+
 ORACLE_SQL = {
     "sim_self_brute": _pairs_sql(HIGH, DIM),
     "sim_self_high_partitioned": _pairs_sql(HIGH, DIM),
@@ -310,6 +358,16 @@ ORACLE_SQL = {
     "stream_twoway_grouped": _pairs_sql(LOW, 2, True, distance=False),
     "stream_window_counts": f"SELECT (epoch_ms(ts) // {WINDOW_S * 1000}) * {WINDOW_S * 1000} AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "cosine_distance_join": f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings) SELECT a.id AS l_id, b.id AS r_id, round(1 - list_cosine_similarity(a.vec, b.vec), 6) AS cosine_distance FROM v a, v b WHERE a.id > b.id AND 1 - list_cosine_similarity(a.vec, b.vec) < 0.7",
+    "failed_comparison_sample": f"WITH {_space_sql()}, {_SAMPLED} SELECT l_id, r_id, round(distance, 6) AS distance FROM pp WHERE distance >= {LOW} AND hit",
+    "join_result_rows": f"WITH {_space_sql()}, {_SAMPLED} SELECT greatest(l_id, r_id) * 1000 AS in_ts, l_id AS left_id, r_id AS right_id, machine, part, distance < {LOW} AS match FROM pp WHERE distance < {LOW} OR hit",
+    "join_result_split": f"WITH {_space_sql()}, {_SAMPLED} SELECT greatest(l_id, r_id) * 1000 AS ts, distance < {LOW} AS match FROM pp WHERE distance < {LOW} OR hit",
+    "throughput_ticks": "SELECT vec_id * 1000 AS ingest_ts, CAST(1 AS BIGINT) AS n FROM embeddings",
+    "stream_statistics": f"""WITH {_RESULTS}, {_P}, {_COST}, z AS (SELECT CAST(NULL AS BIGINT) AS nil)
+SELECT 'latency-percentiles-per-machine' AS metric, window_start, CAST(machine AS BIGINT) AS machine, nil AS group_id, nil AS space_id, p99 AS measured FROM p, z
+UNION ALL SELECT 'final-comps-per-machine', window_start, CAST(machine AS BIGINT), nil, nil, CAST(sum(CASE WHEN match THEN 1 ELSE {stats.FAILURE_WEIGHT} END) AS BIGINT) FROM r, z GROUP BY window_start, machine, nil
+UNION ALL SELECT 'final-comps-per-group', window_start, CAST(machine AS BIGINT), CAST(group_id AS BIGINT), CAST(space_id AS BIGINT), cost FROM cost
+UNION ALL SELECT 'size-per-group', window_start, CAST(machine AS BIGINT), CAST(group_id AS BIGINT), CAST(part AS BIGINT), CAST(sum(bytes) AS BIGINT) FROM r GROUP BY window_start, machine, group_id, part
+UNION ALL SELECT 'throughput', window_start, nil, nil, nil, count(*) FROM r, z GROUP BY window_start, nil""",
     "space_partition": f"WITH {_space_sql()} SELECT id, home_part, part, ptype, machine FROM sp",
     "partition_sizes": f"WITH {_space_sql()} SELECT part, count(*) AS n FROM sp GROUP BY 1",
     "partition_record_types": f"WITH {_space_sql()} SELECT part, count(*) FILTER (WHERE ptype = 'pInner') AS pInner, count(*) FILTER (WHERE ptype = 'pOuter') AS pOuter FROM sp GROUP BY 1",
@@ -343,8 +401,7 @@ ORACLE_SQL = {
     "text_embedding_mean": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS word FROM documents), m AS (SELECT id, count(*) AS n, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(4))} FROM t JOIN voc USING (word) GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_known, {', '.join(f'round(coalesce(v{i}, 0), 6) AS v{i}' for i in range(4))} FROM documents LEFT JOIN m ON id = doc_id",
     "text_embedding_whole": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS word FROM documents), m AS (SELECT id, count(*) AS n, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(DIM))} FROM t JOIN voc USING (word) GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_known, {', '.join(f'round(coalesce(v{i}, 0), 6) AS v{i}' for i in range(DIM))} FROM documents LEFT JOIN m ON id = doc_id",
     "vocab_filter": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) SELECT DISTINCT id FROM t JOIN voc USING (word) WHERE word <> 'is'",
-    "clean_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents ORDER BY doc_id LIMIT 500), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",
-    "clean_dataset_whole": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",
+    "clean_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",
     # Adding zero makes a rounded -0.0 the 0.0 that Spark gives.
     "embed_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f), k AS (SELECT DISTINCT id FROM t JOIN voc USING (word) WHERE word <> 'Episode'), w AS (SELECT id, unnest(string_split(x, ' ')) AS word FROM f), m AS (SELECT id, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(DIM))} FROM w JOIN voc USING (word) GROUP BY 1) SELECT k.id, {', '.join(f'round(coalesce(v{i}, 0), 6) + 0.0::DOUBLE AS v{i}' for i in range(DIM))} FROM k LEFT JOIN m ON m.id = k.id",
     "generated_ticks": "SELECT i AS event_ts, CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS valid FROM range(30) r(i)",

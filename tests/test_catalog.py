@@ -9,8 +9,6 @@ import pytest
 from nearspan.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-#: Their data at this size are the same as at others; they are covered by the joins' own tests.
-SLOW = {"sim_self_high_partitioned", "stream_self_grouped", "stream_twoway_join"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +24,7 @@ def plain(df: pd.DataFrame) -> list[str]:
     return sorted(repr([None if pd.isna(x) else round(float(x), 5) if isinstance(x, (int, float)) or hasattr(x, "item") else x for x in r]) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, DATA).toPandas()
     if name in ORACLE_SQL:

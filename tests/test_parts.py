@@ -191,3 +191,103 @@ def test_stream_of_several_batches_equals_the_batch_join(spark, tmp_path, groupe
     got = sorted((x["left_id"], x["right_id"]) for x in spark.read.schema("left_id long, right_id long").parquet(str(tmp_path / "out")).collect())
     want = similarity_join(spark.createDataFrame(rows, schema), threshold=0.1, dim=2, window=15_000, strategy="brute")
     assert got == sorted((x["left_id"], x["right_id"]) for x in want.collect()) and got
+
+
+def slow_moves(plan, weight):
+    """The move search by the definition: penalties of all machines before and after, move by move."""
+    held = {m: list(gs) for m, gs in plan.groups.items()}
+    average = sum(g.load for gs in held.values() for g in gs) / len(held)
+    off = lambda gs: abs(sum(g.load for g in gs) - average)
+    givers = [m for m in held if sum(g.load for g in held[m]) >= average]
+    stay = set()
+    for m in givers:
+        large = [g for g in held[m] if g.load > average]
+        stay |= {max(large, key=lambda g: (g.load, g.key)).key} if large else set()
+    while True:
+        best = None
+        for m in sorted(givers):
+            for g in held[m]:
+                gain = off(held[m]) - off([x for x in held[m] if x is not g]) - weight * g.size
+                if g.key not in stay and gain > 0 and (best is None or (-gain, g.key) < best[0]):
+                    best = ((-gain, g.key), g, m)
+        room = [m for m in sorted(held) if m not in givers and sum(g.load for g in held[m]) < average]
+        if best is None or not room:
+            return held
+        _, g, m = best
+        to = min(room, key=lambda t: (off([*held[t], g]) - off(held[t]), t))
+        held[m].remove(g)
+        held[to].append(g)
+
+
+@pytest.mark.parametrize("name, weight", [("aaa", 0.0), ("aaa_m", 0.1)])
+def test_moves_equal_a_slow_search(name, weight):
+    plan = example()
+    got = balance.ALGORITHMS[name](plan)
+    want = slow_moves(plan, weight)
+    assert {m: sorted(g) for m, g in got.groups.items()} == {m: sorted(g) for m, g in want.items()}
+    assert got.groups != plan.groups
+
+
+def test_greedy_equals_a_slow_search():
+    plan = example()
+    held, taken = {m: list(gs) for m, gs in plan.groups.items()}, []
+    total = lambda m: sum(g.load for g in held[m])
+    for _ in range(sum(map(len, held.values())) // 2):
+        full = max((m for m in held if held[m]), key=lambda m: (total(m), -m))
+        held[full].sort(key=lambda g: (g.load, g.key))
+        taken.append(held[full].pop())
+    for g in taken:
+        held[min(held, key=lambda m: (total(m), m))].append(g)
+    assert {m: sorted(g) for m, g in balance.greedy(plan).groups.items()} == {m: sorted(g) for m, g in held.items()}
+
+
+def test_allocation_and_window_files(spark, tmp_path):
+    from nearspan.streaming.sinks import write_windows
+
+    plan = balance.aaa(example())
+    balance.write_allocation(spark, plan, str(tmp_path / "allocation"))
+    got = {(r["group_id"], r["machine"], r["space_id"]): r["new_machine"] for r in balance.read_allocation(spark.read.text(str(tmp_path / "allocation"))).collect()}
+    assert got == {g.key: m for m, gs in plan.groups.items() for g in gs}
+    write_windows(spark.createDataFrame([(0, 1), (60, 2)], "window_start long, n long"), str(tmp_path / "windows"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "windows")).select("window_start", "n").collect())) == [(0, 1), (60, 2)]
+
+
+def test_statistics_are_written_once_a_window_is_complete(spark, tmp_path):
+    from nearspan.streaming.sinks import write_statistics
+
+    schema = "ts long, machine int, group_id int, space_id int, gtype string, latency long, match boolean, bytes long"
+    for k in range(3):
+        spark.createDataFrame([(k * 60_000 + i, i % 2, i % 3, 0, "inner", i, True, 8) for i in range(10)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for q in write_statistics(source, "j", 10, str(tmp_path / "out"), str(tmp_path / "state")):
+        q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out/metric=throughput")).select("key", "value").collect()
+    assert sorted(r["value"] for r in rows) == ['{"window_start":0,"n":10}', '{"window_start":60000,"n":10}'] and {r["key"] for r in rows} == {"j_throughput"}
+
+
+def test_a_dense_partition_is_shared_by_many_keys(spark, monkeypatch):
+    """All records in one place: blocks, yet each pair once."""
+    from nearspan.operators import join
+
+    monkeypatch.setattr(join, "PART_ROWS", 16)
+    r, schema = random.Random(8), "event_ts long, ingest_ts long, id long, vec array<double>"
+    rows = spark.createDataFrame([(i, i, i, [1.0 + r.random() / 50, r.random() / 50]) for i in range(150)], schema)
+    for right in (None, rows):
+        got = join.similarity_join(rows, right, threshold=0.002, dim=2, strategy="partitioned").select("left_id", "right_id")
+        want = join.similarity_join(rows, right, threshold=0.002, dim=2, strategy="brute").select("left_id", "right_id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    df = join.with_window(join.tagged(rows, None), None)
+    pairs = join.partitioned_pairs(df, True, 0.002, 2, 3)
+    assert pairs.select("l_part", "l_block", "l_other").distinct().count() > 50
+
+
+def test_group_side_rows(spark):
+    from nearspan.operators.join import group_side, grouped_rows, tagged, with_window
+    from nearspan.schemas import GROUP_SIDE
+
+    rows = spark.createDataFrame([(i, i, i, [float(i % 5), 1.0]) for i in range(40)], "event_ts long, ingest_ts long, id long, vec array<double>")
+    grouped = grouped_rows(with_window(tagged(rows, None), None), 0.05, 2, 4)
+    side = group_side(grouped)
+    assert [(f.name, f.dataType) for f in side.schema] == [(f.name, f.dataType) for f in GROUP_SIDE] and side.count() == grouped.count()
+    size = {r["gtype"]: r["bytes"] for r in side.collect()}
+    assert all(v in (40 + 16 + len(k) + len("pInner"), 40 + 16 + len(k) + len("pOuter")) for k, v in size.items())

@@ -26,7 +26,7 @@ def agrees(spark, duck, name):
 
 
 def test_cleaning_looks_at_every_document(spark, duck):
-    got = agrees(spark, duck, "clean_dataset_whole")
+    got = agrees(spark, duck, "clean_dataset")
     first = duck.sql("SELECT max(doc_id) FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500)").fetchall()[0][0]
     assert (got["id"] > first).any()
 
