@@ -32,6 +32,8 @@ SLACK = 3
 TELLING, BEFORE_NUMBER = ("lesser", "affero", "nc", "sa", "nd"), ("version", "v", "by", "sa", "nc", "license")
 #: Share of the grams a sentence must have, and a full text or notice.
 LEAST_COVER, LEAST_OF_TEXT = 0.7, 0.9
+#: Of a full text only grams with a word of so many letters vote (and telling ones): "of the" stands everywhere.
+LONG_WORD = 5
 MOST_STRETCH = 1.3
 
 # Phrases and labels.
@@ -74,15 +76,21 @@ def is_telling(a: str, b: str) -> bool:
     return a == "gnu" or b in TELLING or a in BEFORE_NUMBER and b.isdigit()
 
 
+def voting(least: float, words: list[str]) -> list[tuple[int, str, str]]:
+    """(position, word, next word) of a template's grams that vote."""
+    pairs = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    return [p for p in pairs if least != LEAST_OF_TEXT or max(map(len, p[1:])) >= LONG_WORD or is_telling(*p[1:])]
+
+
 def _positions() -> list[tuple]:
     """(a, b, template, position, whether telling, grams, telling ones, longest window, hits it may hold, base, least, label) of every gram."""
     out = []
     for k, label, base, least, words in phrases():
-        pairs = list(zip(words, words[1:], strict=False))
-        most = int(MOST_STRETCH * (len(pairs) + 1)) - 1
-        often = max(Counter(pairs).values())
-        keys = sum(is_telling(*p) for p in pairs)
-        out += [(a, b, k, i, is_telling(a, b), len(pairs), keys, most, (most + 1) * often, base, least, label) for i, (a, b) in enumerate(pairs)]
+        grams = voting(least, words)
+        most = int(MOST_STRETCH * len(words)) - 1
+        often = max(Counter(g[1:] for g in grams).values())
+        keys = sum(is_telling(*g[1:]) for g in grams)
+        out += [(a, b, k, i, is_telling(a, b), len(grams), keys, most, (most + 1) * often, base, least, label) for i, a, b in grams]
     return out
 
 

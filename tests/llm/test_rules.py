@@ -153,17 +153,19 @@ def slow_label(words, label, base, least, template):
     """The label, if some window on neighbouring diagonals holds enough of the template's pairs of words."""
     if base:
         return ""
-    pairs = list(zip(template, template[1:], strict=False))
-    hits = [(p, a) for p in range(len(words) - 1) for a, x in enumerate(pairs) if (words[p], words[p + 1]) == x]
+    pairs = dict(enumerate(zip(template, template[1:], strict=False)))
+    if least == 0.9:
+        pairs = {i: x for i, x in pairs.items() if len(x[0]) > 4 or len(x[1]) > 4 or lic.is_telling(*x)}
+    hits = [(p, a) for p in range(len(words) - 1) for a, x in pairs.items() if (words[p], words[p + 1]) == x]
     diagonals = sorted({p - a for p, a in hits})
     spans, k = {}, 0
     for i, d in enumerate(diagonals):
         k += i > 0 and d - diagonals[i - 1] > lic.SLACK
         spans[d] = k
     for low, a in hits:
-        most = low + int(lic.MOST_STRETCH * (len(pairs) + 1)) - 1
+        most = low + int(lic.MOST_STRETCH * len(template)) - 1
         held = {y for p, y in hits if low <= p <= most and spans[p - y] == spans[low - a]}
-        if len(held) >= least * len(pairs) and all(y in held for y, x in enumerate(pairs) if lic.is_telling(*x)):
+        if len(held) >= least * len(pairs) and all(y in held for y, x in pairs.items() if lic.is_telling(*x)):
             return label
     return ""
 
