@@ -48,7 +48,7 @@ TOLERANCE = 1e-6
 #: Rows of a block of a band (values only), of a component (with shingles), and the shingles of the latter in bytes.
 BAND_BLOCK, BLOCK, BLOCK_BYTES = 2048, 512, 8 << 20
 #: A component of more than SMALL_BLOCK rows is dealt into up to SPREAD blocks, so that many tasks share it, before blocks grow to BLOCK.
-SMALL_BLOCK, SPREAD = 128, 32
+SMALL_BLOCK, SPREAD = 64, 64
 #: Words hashed at once, about what a core's cache holds.
 CHUNK = 1 << 15
 
