@@ -203,6 +203,10 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     assert auc(*held_out_scores(spark, score_toxicity, "toxic")) > 0.75
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    s, y = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    assert auc(s, y) > 0.95 and (s[y == 1] >= 0.3).mean() > 0.85 and (s[y == 0] >= 0.3).mean() < 0.01
 
 
 def test_models_take_odd_tables(spark):
@@ -224,6 +228,28 @@ def test_grammar_scores_clauses_not_words():
     assert s("not here. you idiot") == s("you idiot")
 
 
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, empty and long texts, clashing names, an empty benchmark and table."""
+    prose = lambda k: " ".join(f"{w}{(i * k) % 97}" for i, w in enumerate(["some", "other", "words", "stand", "here", "and", "there"] * 20))
+    texts = [prose(3), prose(3), prose(5) + " a@b.co and 10.0.0.1", prose(7) + " " + " ".join(f"long{i}" for i in range(30_000)), *ODD]
+    docs = documents(spark, texts)
+    docs = docs.unionByName(docs).unionByName(spark.createDataFrame([(None,) * 5], docs.schema))
+    for c in ("__row", "own", "kept", "set_key", "row", "h"):
+        docs = docs.withColumn(c, F.when(F.col("doc_id") > 2, F.lit(1)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, prose(5)[:200]), (None, None), (2, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 0 in got and 1 not in got and 2 not in got and 3 in got and len(got) == 2
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+    documents(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    items.limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert 0 < out.count() < 200
