@@ -222,6 +222,21 @@ def lines_query(spark, sf_dir):
     return parsed.select("event_ts", "id", F.round(F.get("vec", F.lit(0)), 6).alias("x"), F.round(F.get("vec", F.lit(1)), 6).alias("y"))
 
 
+def generated_ranges(spark, sf_dir) -> DataFrame:
+    """Records of every tick of the random sources, and how many are what the source promises."""
+    g, out = generators, None
+    for name, df, promise in (
+        ("gaussian", g.gaussian_vectors(spark, 100, 10, 8), "size(vec) = 8 AND NOT exists(vec, x -> isnan(x) OR abs(x) > 30)"),
+        ("pareto", g.pareto_vectors(spark, 100, 10), "size(vec) = 2 AND array_min(vec) >= 1"),
+        ("skewed", g.skewed_vectors(spark, 100, 10), "size(vec) = 2 AND array_min(vec) >= -1 AND array_max(vec) <= 1"),
+        ("topics", g.pareto_topics(spark, 100, 10), "size(vec) = 2 AND NOT exists(vec, x -> isnan(x))"),
+        ("zipf", g.zipf_words(spark, ["a", "b", "c", "d"], 100, 10), "word IN ('a', 'b', 'c', 'd')"),
+    ):
+        one = df.groupBy("event_ts").agg(F.count("*").alias("n"), F.count_if(F.expr(promise)).alias("valid")).select(F.lit(name).alias("source"), "event_ts", "n", "valid")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
     "sim_self_brute": join_query(HIGH, DIM, "brute"),
     "sim_self_high_partitioned": join_query(HIGH, DIM, "partitioned"),
@@ -301,6 +316,10 @@ QUERIES = {
     "generated_skewed": lambda s, d: generators.skewed_vectors(s, 100, 10),
     "generated_pareto": lambda s, d: generators.pareto_vectors(s, 100, 10),
     "generated_topics": lambda s, d: generators.pareto_topics(s, 100, 10),
+    "generated_ranges": generated_ranges,
+    "generated_benchmark": lambda s, d: generators.benchmark_vectors(s, 100, 10, 8).select("event_ts", "ingest_ts", "id", F.expr("size(vec) = 8 AND array_min(vec) >= -1 AND array_max(vec) < 1").alias("valid")),
+    "generated_words": lambda s, d: generators.uniform_words(s, ["a", "b", "c"], 100, 30).groupBy("event_ts").agg(F.count("*").alias("n"), F.count_if(F.col("word").isin("a", "b", "c")).alias("valid")),
+    "replayed_vectors": lambda s, d: generators.embedding_stream(s, table(s, d, "embeddings"), 100).select("event_ts", "ingest_ts", "id", F.size("vec").alias("dim")),
 }
 
 
@@ -327,6 +346,21 @@ cp AS (SELECT a.part, a.ptype AS l_ptype, b.ptype AS r_ptype, a.home_part AS l_h
   FROM sp a JOIN sp b ON a.part = b.part AND a.id > b.id AND NOT (a.ptype = 'pOuter' AND b.ptype = 'pOuter') JOIN v x ON x.id = a.id JOIN v y ON y.id = b.id)"""
 
 
+#: Groups of every window and partition: leaders one record after the other, the rest from the leaders.
+_GROUPS_SQL = f"""WITH RECURSIVE {_space_sql()},
+a AS (SELECT sp.*, id // 100 AS win, vec FROM sp JOIN v USING (id)),
+q AS (SELECT *, row_number() OVER (PARTITION BY win, part ORDER BY id) AS n FROM a WHERE ptype = 'pInner'),
+steps(win, part, n, leads) AS (SELECT DISTINCT win, part, CAST(0 AS BIGINT), []::STRUCT(id BIGINT, vec DOUBLE[])[] FROM q
+  UNION ALL SELECT s.win, s.part, q.n, CASE WHEN coalesce(list_min([{_ANGLE.format(a='x.vec', b='q.vec')} for x in s.leads]), 9) > {LOW} THEN list_append(s.leads, {{'id': q.id, 'vec': q.vec}}) ELSE s.leads END
+  FROM steps s JOIN q ON q.win = s.win AND q.part = s.part AND q.n = s.n + 1),
+ends AS (SELECT win, part, max_by(leads, n) AS leads FROM steps GROUP BY win, part),
+ld AS (SELECT win, part, CAST(g AS INTEGER) AS g, leads[g].id AS lead, leads[g].vec AS centre FROM (SELECT *, unnest(range(1, len(leads) + 1)) AS g FROM ends)),
+di AS (SELECT a.*, g, lead, {_ANGLE.format(a='vec', b='centre')} AS d FROM a JOIN ld USING (win, part)),
+ho AS (SELECT * FROM di WHERE ptype = 'pInner' AND lead <= id QUALIFY row_number() OVER (PARTITION BY win, part, id ORDER BY d, g) = 1),
+gr AS (SELECT win, part, machine, ptype, id, vec, g AS group_id, CASE WHEN d <= 0.5 * {LOW} THEN 'inner' ELSE 'outlier' END AS gtype, g AS home_group FROM ho
+  UNION ALL SELECT di.win, di.part, di.machine, di.ptype, di.id, di.vec, di.g, 'outer', ho.g FROM di JOIN ho ON ho.win = di.win AND ho.part = di.part AND ho.id = di.id WHERE di.ptype = 'pInner' AND di.g < ho.g AND di.d <= 2 * {LOW}
+  UNION ALL SELECT win, part, machine, ptype, id, vec, g, 'outer', -1 FROM di WHERE ptype = 'pOuter' AND d <= 2 * {LOW})"""
+
 _RESULTS = f"""r AS (SELECT epoch_ms(ts) AS ts, (epoch_ms(ts) // {WINDOW_S * 1000}) * {WINDOW_S * 1000} AS window_start, CAST(user_id % {PARTS} AS INTEGER) AS part,
   CAST(((user_id % {PARTS}) * 128 + {PARTS - 1}) // {PARTS} AS INTEGER) AS machine, CAST(user_id AS INTEGER) AS group_id,
   CASE event_type WHEN 'click' THEN 'outer' WHEN 'error' THEN 'outlier' ELSE 'inner' END AS gtype, CAST(floor(value * 100) AS BIGINT) AS latency, event_type = 'view' AS match,
@@ -404,5 +438,16 @@ UNION ALL SELECT 'throughput', window_start, nil, nil, nil, count(*) FROM r, z G
     "clean_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",
     # Adding zero makes a rounded -0.0 the 0.0 that Spark gives.
     "embed_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f), k AS (SELECT DISTINCT id FROM t JOIN voc USING (word) WHERE word <> 'Episode'), w AS (SELECT id, unnest(string_split(x, ' ')) AS word FROM f), m AS (SELECT id, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(DIM))} FROM w JOIN voc USING (word) GROUP BY 1) SELECT k.id, {', '.join(f'round(coalesce(v{i}, 0), 6) + 0.0::DOUBLE AS v{i}' for i in range(DIM))} FROM k LEFT JOIN m ON m.id = k.id",
+    "group_side_output": f"{_GROUPS_SQL} SELECT id AS ts, machine, part AS space_id, group_id, gtype, CAST(56 + length(gtype) + length(ptype) AS BIGINT) AS bytes FROM gr",
+    "group_leaders": f"{_GROUPS_SQL} SELECT part, group_id, min(id) AS ts, min(id) AS id FROM gr WHERE gtype = 'inner' AND home_group = group_id GROUP BY part, group_id",
+    "group_record_types": f"""{_GROUPS_SQL} SELECT part, count(*) FILTER (WHERE gtype = 'inner') AS "inner", count(*) FILTER (WHERE gtype = 'outer') AS "outer", count(*) FILTER (WHERE gtype = 'outlier') AS outlier FROM gr GROUP BY part""",
+    "between_groups": f"""{_GROUPS_SQL}, b AS (SELECT l.part, l.group_id, CASE WHEN l.gtype = 'inner' THEN r.home_group ELSE l.home_group END AS other_group, {_ANGLE.format(a='l.vec', b='r.vec')} < {LOW} AS match
+  FROM gr l JOIN gr r ON l.win = r.win AND l.part = r.part AND l.group_id = r.group_id AND l.id > r.id
+  WHERE l.ptype = 'pInner' AND r.ptype = 'pInner' AND (l.gtype = 'inner' AND r.gtype = 'outer' OR l.gtype = 'outer' AND r.gtype = 'inner'))
+SELECT part, group_id, other_group, count(*) FILTER (WHERE match) AS matches, count(*) FILTER (WHERE NOT match) AS failures FROM b GROUP BY part, group_id, other_group""",
+    "generated_ranges": "SELECT source, i AS event_ts, CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS valid FROM (VALUES ('gaussian'), ('pareto'), ('skewed'), ('topics'), ('zipf')) s(source), range(10) r(i)",
+    "generated_benchmark": "SELECT i AS event_ts, i // 100 * 1000 AS ingest_ts, i AS id, true AS valid FROM range(1000) r(i)",
+    "generated_words": "SELECT i AS event_ts, CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS valid FROM range(30) r(i)",
+    "replayed_vectors": f"SELECT vec_id // 100 AS event_ts, vec_id // 100 AS ingest_ts, vec_id AS id, {DIM} AS dim FROM embeddings",
     "generated_ticks": "SELECT i AS event_ts, CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS valid FROM range(30) r(i)",
 }

@@ -1,4 +1,8 @@
-"""Synthetic streams. Every record is a function of its number and the seed, so any part can be remade."""
+"""Synthetic streams. Every record is a function of its number and the seed, so any part can be remade.
+
+Generators that take a duration give the table of its ticks; with None they give an endless
+stream of the same records, paced at ``rate`` a second.
+"""
 
 from __future__ import annotations
 
@@ -20,33 +24,37 @@ def gauss(key: Column, seed: int, k: int | Column) -> Column:
     return F.sqrt(-2 * F.log(1 - uniform(key, seed, j + 100_000))) * F.cos(2 * F.pi() * uniform(key, seed, j + 100_001))
 
 
-def ticks(spark: SparkSession, rate: int, duration: int) -> DataFrame:
-    """``rate`` records in each of ``duration`` ticks: id, event_ts (the tick), ingest_ts."""
-    return spark.range(rate * duration).select(F.col("id"), F.expr(f"div(id, {rate})").alias("event_ts"), F.expr(f"div(id, {rate}) * 1000").alias("ingest_ts"))
+def ticks(spark: SparkSession, rate: int, duration: int | None) -> DataFrame:
+    """``rate`` records in each of ``duration`` ticks (None: without end): id, event_ts (the tick), ingest_ts."""
+    if duration is None:
+        records = spark.readStream.format("rate").option("rowsPerSecond", rate).load().withColumnRenamed("value", "id")
+    else:
+        records = spark.range(rate * duration)
+    return records.select(F.col("id"), F.expr(f"div(id, {rate})").alias("event_ts"), F.expr(f"div(id, {rate}) * 1000").alias("ingest_ts"))
 
 
 def _vectors(df: DataFrame, dim: int, value) -> DataFrame:
     return df.select("event_ts", "ingest_ts", "id", F.array(*[value(F.col("id"), k) for k in range(dim)]).alias("vec"))
 
 
-def uniform_vectors(spark, rate: int, duration: int, dim: int = 2, seed: int = 42) -> DataFrame:
+def uniform_vectors(spark, rate: int, duration: int | None, dim: int = 2, seed: int = 42) -> DataFrame:
     return _vectors(ticks(spark, rate, duration), dim, lambda i, k: uniform(i, seed, k) * 2 - 1)
 
 
-def benchmark_vectors(spark, rate: int, duration: int, dim: int = 2, seed: int = 42) -> DataFrame:
+def benchmark_vectors(spark, rate: int, duration: int | None, dim: int = 2, seed: int = 42) -> DataFrame:
     """The benchmark source: event_ts is the record number."""
     return uniform_vectors(spark, rate, duration, dim, seed).withColumn("event_ts", F.col("id"))
 
 
-def gaussian_vectors(spark, rate: int, duration: int, dim: int = 2, seed: int = 42) -> DataFrame:
+def gaussian_vectors(spark, rate: int, duration: int | None, dim: int = 2, seed: int = 42) -> DataFrame:
     return _vectors(ticks(spark, rate, duration), dim, lambda i, k: gauss(i, seed, k) * 2 - 1)
 
 
-def skewed_vectors(spark, rate: int, duration: int, seed: int = 42, skew: float = 10.0, bias: float = 5.0) -> DataFrame:
+def skewed_vectors(spark, rate: int, duration: int | None, seed: int = 42, skew: float = 10.0, bias: float = 5.0) -> DataFrame:
     return _vectors(ticks(spark, rate, duration), 2, lambda i, k: skewed(gauss(i, seed, k), 0.0, 1.0, skew, bias) * 2 - 1)
 
 
-def pareto_vectors(spark, rate: int, duration: int, seed: int = 42, scale: float = 1.0, shape: float = 10.0) -> DataFrame:
+def pareto_vectors(spark, rate: int, duration: int | None, seed: int = 42, scale: float = 1.0, shape: float = 10.0) -> DataFrame:
     return _vectors(ticks(spark, rate, duration), 2, lambda i, k: scale / F.pow(1 - uniform(i, seed, k), F.lit(1 / shape)))
 
 
@@ -54,7 +62,7 @@ def _words(df: DataFrame, words: list[str], index: Column) -> DataFrame:
     return df.select("event_ts", "ingest_ts", "id", F.element_at(F.array(*map(F.lit, words)), index).alias("word"))
 
 
-def uniform_words(spark, words: list[str], rate: int, duration: int, seed: int = 42) -> DataFrame:
+def uniform_words(spark, words: list[str], rate: int, duration: int | None, seed: int = 42) -> DataFrame:
     return _words(ticks(spark, rate, duration), words, F.floor(uniform(F.col("id"), seed, 0) * len(words)).cast("int") + 1)
 
 
@@ -68,14 +76,14 @@ def zipf_cumulated(n: int, exponent: float) -> list[float]:
     return out
 
 
-def zipf_words(spark, words: list[str], rate: int, duration: int, seed: int = 42, exponent: float = 2.0) -> DataFrame:
+def zipf_words(spark, words: list[str], rate: int, duration: int | None, seed: int = 42, exponent: float = 2.0) -> DataFrame:
     """Rank r with probability proportional to r ** -exponent; rank 1 is the first word."""
     u, cumulated = uniform(F.col("id"), seed, 0), zipf_cumulated(len(words), exponent)
     below = F.size(F.filter(F.array(*map(F.lit, cumulated[:-1])), lambda c: c <= u))
     return _words(ticks(spark, rate, duration), words, below + 1)
 
 
-def pareto_topics(spark, rate: int, duration: int, topics: int = 8, seed: int = 42, exponent: float = 1.0) -> DataFrame:
+def pareto_topics(spark, rate: int, duration: int | None, topics: int = 8, seed: int = 42, exponent: float = 1.0) -> DataFrame:
     """A mixture of Pareto clouds around ``topics`` corners, their shares by Zipf's law."""
     u, cumulated = uniform(F.col("id"), seed, 9), zipf_cumulated(topics, exponent)
     topic = F.size(F.filter(F.array(*map(F.lit, cumulated[:-1])), lambda c: c <= u))

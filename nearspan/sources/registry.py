@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from nearspan.sources import generators as g
 from nearspan.sources.text import read_embeddings, read_vectors
 
+
+def replayed(spark: SparkSession, path: str, rate: int) -> DataFrame:
+    """A file of stored embeddings, one a line, replayed at a rate."""
+    return g.embedding_stream(spark, read_embeddings(spark, path), rate, "id", "vec")
+
+
 GENERATORS = {
     "gaussian_2D_generator": g.gaussian_vectors,
     "gaussian_MD_generator": g.gaussian_vectors,
@@ -17,7 +23,7 @@ GENERATORS = {
     "zipfian_word_generator": g.zipf_words,
     "uniform_word_generator": g.uniform_words,
     "complex_2D_generator": g.pareto_topics,
-    "imdb_stream_generator": lambda spark, path: read_embeddings(spark, path),
+    "imdb_stream_generator": replayed,
 }
 
 

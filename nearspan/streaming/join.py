@@ -7,6 +7,7 @@ joins every record as it arrives; its state can be exported and started from aga
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,17 +98,22 @@ class GroupedJoin(StatefulProcessor):
         members = [dict(zip(names, x, strict=True)) for x in self.members.get()]
         outers = [dict(zip(names, x, strict=True)) for x in self.outers.get()]
         g, known, out = Grouper(self.threshold, leaders, outers), (len(leaders), len(members), len(outers)), []
-        pruned = False
+        pruned, by_group = False, defaultdict(list)
+        for m in members:
+            by_group[m["group_id"]].append((m, Grouper._unit(m["vec"])))
         for row in new.to_dict("records"):
             row["machine"] = int(row["machine"])
             if members and row["win"] > members[-1]["win"] or g.outers and row["win"] > g.outers[-1]["win"]:
                 members = [m for m in members if m["win"] >= row["win"]]
+                by_group = defaultdict(list, {k: [x for x in v if x[0]["win"] >= row["win"]] for k, v in by_group.items()})
                 g.outers = [m for m in g.outers if m["win"] >= row["win"]]
                 pruned = True
             for rec, gid, kind, _ in g.add(row):
                 member = {"win": rec["win"], "group_id": gid, "gtype": kind, "id": rec["id"], "origin": rec["origin"], "ingest_ts": rec["ingest_ts"], "vec": rec["vec"]}
-                out += self._probe(member, members, part)
+                u, group = Grouper._unit(rec["vec"]), by_group[gid]
+                out += self._probe(member, u, group, part)
                 members.append(member)
+                group.append((member, u))
         lead = lambda x: (int(x["id"]), int(x["event_ts"]), [float(v) for v in x["vec"]], int(x["machine"]))
         pack = lambda m: (int(m["win"]), int(m.get("group_id") or 0), str(m.get("gtype") or ""), int(m["id"]), str(m["origin"]), int(m["ingest_ts"]), [float(v) for v in m["vec"]])
         # Only what is new is written, unless a new window has made room.
@@ -118,16 +124,15 @@ class GroupedJoin(StatefulProcessor):
                 state.appendList([form(x) for x in rows_[before:]])
         yield pd.DataFrame(out, columns=["win", "part", "group_id", "left_id", "right_id", "in_ts"])
 
-    def _probe(self, a: dict, members: list[dict], part: int) -> list[tuple]:
-        """Matches of a new member with those of its group and window."""
+    def _probe(self, a: dict, u: np.ndarray, group: list[tuple[dict, np.ndarray]], part: int) -> list[tuple]:
+        """Matches of a new member, u its unit vector, with those of its group in its window."""
         single = a["origin"] == "single"
-        them = [m for m in members if m["group_id"] == a["group_id"] and m["win"] == a["win"] and not (m["gtype"] == a["gtype"] == "outer") and (m["id"] != a["id"] if single else m["origin"] != a["origin"])]
+        them = [(m, x) for m, x in group if m["win"] == a["win"] and not (m["gtype"] == a["gtype"] == "outer") and (m["id"] != a["id"] if single else m["origin"] != a["origin"])]
         if not them:
             return []
-        u = Grouper._unit(a["vec"])
-        d = np.arccos(np.clip(np.array([Grouper._unit(m["vec"]) for m in them]) @ u, -1, 1)) / np.pi
+        d = np.arccos(np.clip(np.array([x for _, x in them]) @ u, -1, 1)) / np.pi
         out = []
-        for m, near in zip(them, d < self.threshold, strict=True):
+        for (m, _), near in zip(them, d < self.threshold, strict=True):
             if near:
                 first, second = (max(a["id"], m["id"]), min(a["id"], m["id"])) if single else (a["id"], m["id"]) if a["origin"] == "left" else (m["id"], a["id"])
                 out.append((int(a["win"]), part, int(a["group_id"]), int(first), int(second), int(max(a["ingest_ts"], m["ingest_ts"]))))

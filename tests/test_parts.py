@@ -291,3 +291,27 @@ def test_group_side_rows(spark):
     assert [(f.name, f.dataType) for f in side.schema] == [(f.name, f.dataType) for f in GROUP_SIDE] and side.count() == grouped.count()
     size = {r["gtype"]: r["bytes"] for r in side.collect()}
     assert all(v in (40 + 16 + len(k) + len("pInner"), 40 + 16 + len(k) + len("pOuter")) for k, v in size.items())
+
+
+def test_generators_as_paced_streams(spark, tmp_path):
+    """Without a duration a source is an endless stream of the records its table has."""
+    import time
+
+    out = create(spark, "uniform_MD_generator", rate=50, duration=None, dim=3)
+    assert out.isStreaming
+    query = out.writeStream.format("memory").queryName("paced").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        ends = time.monotonic() + 60
+        while time.monotonic() < ends and spark.table("paced").count() < 100:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    got = {r["id"]: r for r in spark.table("paced").collect()}
+    want = {r["id"]: r for r in create(spark, "uniform_MD_generator", rate=50, duration=2, dim=3).collect()}
+    assert len(got) >= 100 and all(got[i] == want[i] for i in want if i in got) and set(want) <= set(got)
+
+
+def test_stored_embeddings_are_replayed(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("[1.0, 2.0]\n[3.0, 4.0]\n[5.0, 6.0]\n")
+    rows = create(spark, "imdb_stream_generator", path=str(tmp_path / "e.txt"), rate=2).orderBy("id").collect()
+    assert [(r["event_ts"], r["vec"]) for r in rows] == [(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 6.0])]
