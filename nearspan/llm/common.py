@@ -44,6 +44,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table in the shared folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def usable_vectors(rows: DataFrame, vec: str, dim: int | None = None) -> DataFrame:
+    """The rows whose vector is there, has an entry (``dim`` of them, if given) and only finite ones."""
+    v = F.col(vec)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return rows.where(v.isNotNull() & ((F.size(v) > 0) if dim is None else (F.size(v) == dim)) & F.coalesce(finite, F.lit(False)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that df does not have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}
