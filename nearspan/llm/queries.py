@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from nearspan.llm.brown_lm import score_texts
 from nearspan.llm.common import table
 from nearspan.llm.decontaminate import find_leaks
 from nearspan.llm.html_extract import extract_html
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_toxicity": lambda spark, sf_dir: score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_secret_scan": lambda spark, sf_dir: scan_secrets(table(spark, sf_dir, "documents")),
     "op10_quality_rules": lambda spark, sf_dir: quality_rules(table(spark, sf_dir, "documents")),
+    "op11_brown_lm": lambda spark, sf_dir: score_texts(table(spark, sf_dir, "documents")),
     "op12_whitening": lambda spark, sf_dir: whiten(table(spark, sf_dir, "embeddings")),
     "op13_delta_lloyd": lambda spark, sf_dir: delta_lloyd(table(spark, sf_dir, "embeddings")),
 }
