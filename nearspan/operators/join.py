@@ -3,9 +3,9 @@
 ``brute`` deals both sides over a grid of cells (every pair of records meets in one cell),
 so that the quadratic work of a join without a key is spread evenly and nothing is
 broadcast; a cell is one matrix product. ``partitioned`` and ``grouped`` prune with the triangle inequality; they are
-equi-joins with a residual predicate. There are as many reference points as the input asks
-for, and a partition that holds more than a block is dealt into pairs of blocks, so that a
-dense place is shared by many tasks. ``auto`` takes
+equi-joins on the partition. There are as many reference points as the input asks
+for, taken from the input itself, and a partition that holds more than a block is dealt into
+pairs of blocks, so that a dense place is shared by many tasks. ``auto`` takes
 ``partitioned`` for low dimensions and ``brute`` where the inequality prunes nothing.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from nearspan.functions.vectors import record_bytes, unit, unit_distance
 from nearspan.operators.grouping import assign_groups
-from nearspan.operators.space import random_centroids, space_partition
+from nearspan.operators.space import random_centroids, sampled_points, space_partition
 from nearspan.shipping import ship
 
 #: Dimensions from which reference points no longer prune at useful thresholds.
@@ -27,9 +27,9 @@ HIGH_DIMENSION = 16
 #: Records of one block of the grid.
 CELL_ROWS = 2048
 #: Records of one block of a partition; a partition with more is dealt into pairs of blocks.
-PART_ROWS = 4096
+PART_ROWS = 2048
 #: Reference points: one for every so many records, at least and at most so many.
-POINT_ROWS, POINTS = 4096, (10, 64)
+POINT_ROWS, POINTS = 512, (10, 4096)
 #: Every how manieth failed comparison is kept in sampled mode.
 SAMPLE_EVERY = 10_001
 
@@ -69,58 +69,84 @@ def _close_pairs(pdf: pd.DataFrame, threshold: float, self_join: bool) -> pd.Dat
     d = np.arccos(np.clip(cos[i, j], -1, 1)) / np.pi
     a, b = l["id"].to_numpy()[i], r["id"].to_numpy()[j]
     stay = (d < threshold) & ((a > b) if diagonal else (a != b) if self_join else True)
+    stay &= ~(l["copy"].to_numpy()[i] & r["copy"].to_numpy()[j])
     i, j, d, a, b = i[stay], j[stay], d[stay], a[stay], b[stay]
     left, right = (np.maximum(a, b), np.minimum(a, b)) if self_join else (a, b)
     in_ts = np.maximum(l["ingest_ts"].to_numpy()[i], r["ingest_ts"].to_numpy()[j])
     return pd.DataFrame({"win": pdf["win"].iloc[0], "left_id": left, "right_id": right, "distance": d, "in_ts": in_ts})
 
 
-def grid_join(df: DataFrame, self_join: bool, threshold: float, cells: int | None = None) -> DataFrame:
-    """All pairs of a window within the threshold: win, left_id, right_id, distance, in_ts.
+def in_blocks(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Adds n, the number of blocks of about so many rows that a record's keys ask for, and its block."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
+    # One row for each of the keys' values; only its size decides whether it is broadcast.
+    return df.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("id", "origin"), F.col("n")).cast("int"))
+
 
-    Records are dealt to blocks by a hash of the id, every pair of blocks is one cell of a
-    grid (for a self-join those on and below the diagonal), and a record is sent to the
-    cells of its block. There are so many blocks that one holds ``CELL_ROWS`` records or
-    so, however large the table; no side is broadcast.
+def _cell_pairs(df: DataFrame, keys: list[str], self_join: bool, threshold: float) -> DataFrame:
+    """Pairs of records with equal keys, at most one of them a copy, from the cells of a grid of blocks.
+
+    Every pair of blocks is one cell (for a self-join those on and below the diagonal), and a
+    record is sent to the cells of its block.
     """
     ship(df.sparkSession)
-    if cells is None:
-        cells = max(4, -(-df.count() // CELL_ROWS))
-    df = df.withColumn("unit", unit(F.col("vec"))).where("unit IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("id", "origin"), F.lit(cells)).cast("int"))
-    every = F.explode(F.expr(f"sequence(0, {cells - 1})"))
-    one = df.select("win", "id", "unit", "ingest_ts", "at", "origin", every.alias("other"))
+    one = df.withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
     if self_join:
         # In its own row of the grid a block is side 0, in another's side 1.
-        dealt = one.withColumn("side", F.when(F.col("other") <= F.col("at"), 0).otherwise(1))
-        dealt = dealt.withColumn("cell_l", F.greatest("at", "other")).withColumn("cell_r", F.least("at", "other"))
+        dealt = one.withColumn("side", F.when(F.col("other") <= F.col("block"), 0).otherwise(1))
+        dealt = dealt.withColumn("cell_l", F.greatest("block", "other")).withColumn("cell_r", F.least("block", "other"))
     else:
         dealt = one.withColumn("side", F.when(F.col("origin") == "left", 0).otherwise(1))
-        dealt = dealt.withColumn("cell_l", F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("other"))).withColumn("cell_r", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("at")))
+        dealt = dealt.withColumn("cell_l", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other"))).withColumn("cell_r", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block")))
     kernel = lambda pdf: _close_pairs(pdf, threshold, self_join)
-    return dealt.select("win", "cell_l", "cell_r", "side", "id", "unit", "ingest_ts").groupBy("win", "cell_l", "cell_r").applyInPandas(kernel, _PAIRS)
+    return dealt.select("win", *[k for k in keys if k != "win"], "cell_l", "cell_r", "side", "copy", "id", "unit", "ingest_ts").groupBy(*keys, "cell_l", "cell_r").applyInPandas(kernel, _PAIRS)
+
+
+def grid_join(df: DataFrame, self_join: bool, threshold: float, cells: int | None = None) -> DataFrame:
+    """All pairs of a window within the threshold: win, left_id, right_id, distance, in_ts.
+
+    Records are dealt to blocks by a hash of the id, so many that one holds ``CELL_ROWS`` of a
+    window's records or so, however large the table; no side is broadcast. ``cells`` sets
+    the number of blocks of every window.
+    """
+    df = df.withColumn("unit", unit(F.col("vec"))).where("unit IS NOT NULL").withColumn("copy", F.lit(False)).select("win", "id", "unit", "ingest_ts", "origin", "copy")
+    if cells is None:
+        df = in_blocks(df, ["win"], CELL_ROWS)
+    else:
+        df = df.withColumn("n", F.lit(cells)).withColumn("block", F.pmod(F.xxhash64("id", "origin"), F.lit(cells)).cast("int"))
+    return _cell_pairs(df, ["win"], self_join, threshold)
 
 
 def _found(pairs: DataFrame, threshold: float, *more: str) -> DataFrame:
     return pairs.where(F.col("distance") < threshold).select(F.col("l_win").alias("win"), F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "distance", F.greatest("l_ingest_ts", "r_ingest_ts").alias("in_ts"), *more)
 
 
-def points_for(df: DataFrame) -> int:
-    """How many reference points a table asks for."""
-    return min(max(-(-df.count() // POINT_ROWS), POINTS[0]), POINTS[1])
+def reference_points(df: DataFrame, dim: int, points: int | None) -> list[list[float]]:
+    """So many random points, or else vectors of the table itself, one for every ``POINT_ROWS`` of it.
+
+    Points taken from the data are dense where the data are, so a partition's records, and with
+    them the comparisons of one record, do not grow with the table up to ``POINTS[1]`` points;
+    beyond, partitions grow and are dealt into more pairs of blocks.
+    """
+    if points:
+        return random_centroids(points, dim)
+    rows = df.count()
+    return sampled_points(df, min(max(-(-rows // POINT_ROWS), POINTS[0]), POINTS[1]), rows) or random_centroids(1, dim)
+
+
+def _routed(df: DataFrame, threshold: float, dim: int, points: int | None) -> DataFrame:
+    routed = space_partition(df, reference_points(df, dim, points), threshold).withColumn("unit", unit(F.col("vec")))
+    return in_blocks(routed.select("win", "part", "ptype", "home_part", "machine", "id", "unit", "ingest_ts", "origin"), ["win", "part"], PART_ROWS)
 
 
-def in_blocks(routed: DataFrame, rows: int | None = None) -> DataFrame:
-    """Adds block, and in n the number of blocks of a record's partition (and window)."""
-    rows = PART_ROWS if rows is None else rows
-    sizes = routed.groupBy("win", "part").agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
-    # Few rows, one for each window and partition; only its size decides whether it is broadcast.
-    return routed.join(sizes, ["win", "part"]).withColumn("block", F.pmod(F.xxhash64("id", "origin"), F.col("n")).cast("int"))
+def partitioned_join(df: DataFrame, self_join: bool, threshold: float, dim: int, points: int | None) -> DataFrame:
+    """The pairs of the partitioned join: routed once, then a matrix product for each pair of blocks of a partition."""
+    return _cell_pairs(_routed(df, threshold, dim, points).withColumn("copy", F.col("ptype") == "pOuter"), ["win", "part"], self_join, threshold)
 
 
-def partitioned_pairs(df: DataFrame, self_join: bool, threshold: float, dim: int, centroids: int | None) -> DataFrame:
-    """Candidate pairs of the partitioned join, with their distance."""
-    routed = in_blocks(space_partition(df, random_centroids(centroids or points_for(df), dim), threshold).withColumn("unit", unit(F.col("vec"))))
-    l, r = _sides(routed.select("win", "part", "ptype", "home_part", "machine", "id", "unit", "ingest_ts", "origin", "block", "n"), self_join)
+def partitioned_pairs(df: DataFrame, self_join: bool, threshold: float, dim: int, points: int | None) -> DataFrame:
+    """All candidate pairs of the partitioned join, with their distance: what is compared, not only what matches."""
+    l, r = _sides(_routed(df, threshold, dim, points), self_join)
     # Each pair of blocks is a key of its own: the left record goes along its row, the right one down its column.
     l = l.withColumn("l_other", F.explode(F.expr("sequence(0, l_n - 1)")))
     r = r.withColumn("r_other", F.explode(F.expr("sequence(0, r_n - 1)")))
@@ -131,7 +157,7 @@ def partitioned_pairs(df: DataFrame, self_join: bool, threshold: float, dim: int
 
 def grouped_rows(df: DataFrame, threshold: float, dim: int, centroids: int | None) -> DataFrame:
     """The routed and grouped records of a join."""
-    return assign_groups(space_partition(df, random_centroids(centroids or points_for(df), dim), threshold), threshold, window="win")
+    return assign_groups(space_partition(df, reference_points(df, dim, centroids), threshold), threshold, window="win")
 
 
 def grouped_pairs(grouped: DataFrame, self_join: bool, dim: int, trust_inner: bool = False) -> DataFrame:
@@ -172,7 +198,7 @@ def similarity_join(
     if strategy == "brute":
         return grid_join(df, alone, threshold, cells)
     if strategy == "partitioned":
-        return _found(partitioned_pairs(df, alone, threshold, dim, centroids), threshold)
+        return partitioned_join(df, alone, threshold, dim, centroids)
     if strategy == "grouped":
         return _found(grouped_pairs(grouped_rows(df, threshold, dim, centroids), alone, dim), threshold)
     raise ValueError(f"no strategy {strategy!r}")

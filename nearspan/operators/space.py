@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from nearspan.functions.vectors import clamp, dot, machine_label, unit
+from nearspan.shipping import ship
 
 _MASK = (1 << 48) - 1
 
@@ -44,19 +51,69 @@ def centroid_distances(vec: Column, centroids: list[list[float]]) -> Column:
     return F.array(*[F.acos(clamp(dot(vec, F.array(*[F.lit(x) for x in c]), len(c)))) / F.pi() for c in scaled])
 
 
-def space_partition(df: DataFrame, centroids: list[list[float]], threshold: float) -> DataFrame:
+def sampled_points(df: DataFrame, k: int, rows: int) -> list[list[float]]:
+    """About k different vectors of a table of so many rows, chosen by a hash of the vector; never more than k.
+
+    The driver gets some 2 k rows at most, however large the table.
+    """
+    chosen = F.pmod(F.xxhash64("vec", F.lit(7)), F.lit(1 << 40))
+    some = df.where(F.exists("vec", lambda x: x != 0)).select("vec", chosen.alias("h")).where(F.col("h") < int((1 << 40) * min(1.0, 2 * k / max(rows, 1)))).distinct()
+    return [r["vec"] for r in some.orderBy("h", "vec").limit(k).collect()]
+
+
+#: Reference points up to which distances are written out as expressions; with more they are one matrix product.
+WRITTEN_OUT = 16
+
+
+def _routed_by_product(df: DataFrame, points: list[list[float]], threshold: float) -> DataFrame:
+    """What ``space_partition`` adds, from products of blocks of records with all points.
+
+    Cosines are compared, with slack for rounding: a copy too many meets no partner twice.
+    """
+    ship(df.sparkSession)
+    p = np.array(points, float)
+    p /= np.sqrt((p * p).sum(1))[:, None]
+    rows, numbers = max(16, (1 << 21) // len(p)), np.arange(len(p))
+    schema = T.StructType([*df.schema.fields, T.StructField("home_part", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    arrow, at = to_arrow_schema(schema), df.columns.index("__unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                b = batch.slice(start, rows)
+                cos = np.clip(b.column(at).flatten().to_numpy().reshape(b.num_rows, -1) @ p.T, -1, 1)
+                home = cos.argmax(1)
+                reach = np.cos(np.minimum(np.arccos(cos.max(1)) + 2 * np.pi * threshold, np.pi)) - 1e-12
+                one_way = (home[:, None] < numbers) != ((home[:, None] + numbers) % 2 == 1)
+                i, j = np.nonzero((cos >= reach[:, None]) & one_way | (numbers == home[:, None]))
+                take = b.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(home[i], pa.int32()), pa.array(j, pa.int32())], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def space_partition(df: DataFrame, centroids: list[list[float]], threshold: float, keep_zero: bool = False) -> DataFrame:
     """One row per partition a record goes to: home_part, part, ptype and machine are added.
 
     The nearest reference point (the lowest number among equals) is home. Another partition
     gets a copy if a partner within the threshold may live there, and, of any two
     partitions, only in one direction, so that a pair of records meets exactly once.
-    Zero vectors match nothing and are routed to no partition.
+    Zero vectors match nothing and are routed to no partition, or with ``keep_zero`` to a
+    partition -1 of their own, for those who count records.
     """
     k = len(centroids)
+    if keep_zero:
+        whole = df.withColumn("__zero", F.coalesce(~F.exists("vec", lambda x: x != 0), F.lit(True)))
+        stand_in = F.when(F.col("__zero"), F.array(*[F.lit(1.0)] * len(centroids[0]))).otherwise(F.col("vec"))
+        out = space_partition(whole.withColumns({"__vec": F.col("vec"), "vec": stand_in}), centroids, threshold).withColumn("vec", F.col("__vec"))
+        out = out.where(~F.col("__zero") | (F.col("ptype") == "pInner"))
+        return out.withColumns({c: F.when(F.col("__zero"), F.lit(-1)).otherwise(F.col(c)) for c in ("home_part", "part", "machine")}).drop("__zero", "__vec")
+    usable = df.withColumn("__unit", unit(F.col("vec"))).where("__unit IS NOT NULL")
+    if k > WRITTEN_OUT:
+        out = _routed_by_product(usable, centroids, threshold).drop("__unit")
+        return out.select(*df.columns, "home_part", "part", F.when(F.col("part") == F.col("home_part"), "pInner").otherwise("pOuter").alias("ptype"), machine_label(F.col("part"), k).alias("machine"))
     routed = (
-        df.withColumn("__unit", unit(F.col("vec")))
-        .where("__unit IS NOT NULL")
-        .withColumn("__d", centroid_distances(F.col("__unit"), centroids))
+        usable.withColumn("__d", centroid_distances(F.col("__unit"), centroids))
         .withColumn("home_part", (F.array_position("__d", F.array_min("__d")) - 1).cast("int"))
         .withColumn(
             "__to",

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from nearspan.functions import vectors as v
 from nearspan.operators import balance, stats, text
-from nearspan.operators.grouping import group_leaders
+from nearspan.operators.grouping import group_leaders, leader_snapshots
 from nearspan.operators.join import (
     grid_join,
     group_side,
@@ -267,6 +267,8 @@ QUERIES = {
     "partition_matches": lambda s, d: stats.match_counts(compared(s, d).withColumnRenamed("l_part", "part"), ["part"]),
     "between_partitions": lambda s, d: stats.match_counts(stats.between_partitions(compared(s, d)), ["part", "other_part"]),
     "group_leaders": lambda s, d: group_leaders(groups(s, d)).select("part", "group_id", "ts", "id"),
+    "group_snapshots": lambda s, d: leader_snapshots(groups(s, d)).select("win", "part", "groups", F.expr("array_join(transform(leaders, x -> concat(x.group_id, ':', x.id)), ',')").alias("leaders")),
+    "group_result_rows": lambda s, d: result_rows(grouped_pairs(groups(s, d), True, 2), LOW, 101).drop("out_ts"),
     "group_record_types": lambda s, d: stats.type_counts(groups(s, d), "part", "gtype", ["inner", "outer", "outlier"]),
     "between_groups": lambda s, d: stats.match_counts(stats.between_groups(grouped_pairs(groups(s, d), True, 2).withColumns({"match": F.col("distance") < LOW, "part": F.col("l_part"), "group_id": F.col("l_group_id")})), ["part", "group_id", "other_group"]),
     "pair_norms": lambda s, d: vectors(s, d).select("id", F.round(v.norm(F.col("vec")), 6).alias("norm"), F.round(v.euclidean_distance(F.col("vec"), F.array(*[F.lit(0.1)] * DIM)), 6).alias("euclid"), v.record_bytes(F.col("vec"), F.lit("inner"), F.lit("pInner"), F.lit("single")).alias("bytes")),
@@ -346,20 +348,23 @@ cp AS (SELECT a.part, a.ptype AS l_ptype, b.ptype AS r_ptype, a.home_part AS l_h
   FROM sp a JOIN sp b ON a.part = b.part AND a.id > b.id AND NOT (a.ptype = 'pOuter' AND b.ptype = 'pOuter') JOIN v x ON x.id = a.id JOIN v y ON y.id = b.id)"""
 
 
-#: Groups of every window and partition: leaders one record after the other, the rest from the leaders.
+#: The groups of every partition: leaders one record after the other, through all windows, the rest
+#: from the leaders. A copy from outside reaches the leaders before it and the later ones of its window.
 _GROUPS_SQL = f"""WITH RECURSIVE {_space_sql()},
 a AS (SELECT sp.*, id // 100 AS win, vec FROM sp JOIN v USING (id)),
-q AS (SELECT *, row_number() OVER (PARTITION BY win, part ORDER BY id) AS n FROM a WHERE ptype = 'pInner'),
-steps(win, part, n, leads) AS (SELECT DISTINCT win, part, CAST(0 AS BIGINT), []::STRUCT(id BIGINT, vec DOUBLE[])[] FROM q
-  UNION ALL SELECT s.win, s.part, q.n, CASE WHEN coalesce(list_min([{_ANGLE.format(a='x.vec', b='q.vec')} for x in s.leads]), 9) > {LOW} THEN list_append(s.leads, {{'id': q.id, 'vec': q.vec}}) ELSE s.leads END
-  FROM steps s JOIN q ON q.win = s.win AND q.part = s.part AND q.n = s.n + 1),
-ends AS (SELECT win, part, max_by(leads, n) AS leads FROM steps GROUP BY win, part),
-ld AS (SELECT win, part, CAST(g AS INTEGER) AS g, leads[g].id AS lead, leads[g].vec AS centre FROM (SELECT *, unnest(range(1, len(leads) + 1)) AS g FROM ends)),
-di AS (SELECT a.*, g, lead, {_ANGLE.format(a='vec', b='centre')} AS d FROM a JOIN ld USING (win, part)),
-ho AS (SELECT * FROM di WHERE ptype = 'pInner' AND lead <= id QUALIFY row_number() OVER (PARTITION BY win, part, id ORDER BY d, g) = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY id) AS n FROM a WHERE ptype = 'pInner'),
+steps(part, n, leads) AS (SELECT DISTINCT part, CAST(0 AS BIGINT), []::STRUCT(id BIGINT, vec DOUBLE[])[] FROM q
+  UNION ALL SELECT s.part, q.n, CASE WHEN coalesce(list_min([{_ANGLE.format(a='x.vec', b='q.vec')} for x in s.leads]), 9) > {LOW} THEN list_append(s.leads, {{'id': q.id, 'vec': q.vec}}) ELSE s.leads END
+  FROM steps s JOIN q ON q.part = s.part AND q.n = s.n + 1),
+ends AS (SELECT part, max_by(leads, n) AS leads FROM steps GROUP BY part),
+ld AS (SELECT part, CAST(g AS INTEGER) AS g, leads[g].id AS lead, leads[g].vec AS centre FROM (SELECT *, unnest(range(1, len(leads) + 1)) AS g FROM ends)),
+di AS (SELECT a.*, g, lead, {_ANGLE.format(a='vec', b='centre')} AS d FROM a JOIN ld USING (part)),
+ho AS (SELECT * FROM di WHERE ptype = 'pInner' AND lead <= id QUALIFY row_number() OVER (PARTITION BY part, id ORDER BY d, g) = 1),
 gr AS (SELECT win, part, machine, ptype, id, vec, g AS group_id, CASE WHEN d <= 0.5 * {LOW} THEN 'inner' ELSE 'outlier' END AS gtype, g AS home_group FROM ho
-  UNION ALL SELECT di.win, di.part, di.machine, di.ptype, di.id, di.vec, di.g, 'outer', ho.g FROM di JOIN ho ON ho.win = di.win AND ho.part = di.part AND ho.id = di.id WHERE di.ptype = 'pInner' AND di.g < ho.g AND di.d <= 2 * {LOW}
-  UNION ALL SELECT win, part, machine, ptype, id, vec, g, 'outer', -1 FROM di WHERE ptype = 'pOuter' AND d <= 2 * {LOW})"""
+  UNION ALL SELECT di.win, di.part, di.machine, di.ptype, di.id, di.vec, di.g, 'outer', ho.g FROM di JOIN ho ON ho.part = di.part AND ho.id = di.id WHERE di.ptype = 'pInner' AND di.g < ho.g AND di.d <= 2 * {LOW}
+  UNION ALL SELECT win, part, machine, ptype, id, vec, g, 'outer', -1 FROM di WHERE ptype = 'pOuter' AND d <= 2 * {LOW} AND (lead < id OR lead // 100 = win)),
+gp AS (SELECT l.win, l.part, l.machine, l.group_id, l.id AS l_id, r.id AS r_id, {_ANGLE.format(a='l.vec', b='r.vec')} AS distance, CAST('0x' || substr(md5(l.id || ':' || r.id), 1, 8) AS UBIGINT) % 101 = 0 AS hit
+  FROM gr l JOIN gr r ON l.win = r.win AND l.part = r.part AND l.group_id = r.group_id AND l.id > r.id WHERE NOT (l.gtype = 'outer' AND r.gtype = 'outer'))"""
 
 _RESULTS = f"""r AS (SELECT epoch_ms(ts) AS ts, (epoch_ms(ts) // {WINDOW_S * 1000}) * {WINDOW_S * 1000} AS window_start, CAST(user_id % {PARTS} AS INTEGER) AS part,
   CAST(((user_id % {PARTS}) * 128 + {PARTS - 1}) // {PARTS} AS INTEGER) AS machine, CAST(user_id AS INTEGER) AS group_id,
@@ -439,7 +444,9 @@ UNION ALL SELECT 'throughput', window_start, nil, nil, nil, count(*) FROM r, z G
     # Adding zero makes a rounded -0.0 the 0.0 that Spark gives.
     "embed_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f), k AS (SELECT DISTINCT id FROM t JOIN voc USING (word) WHERE word <> 'Episode'), w AS (SELECT id, unnest(string_split(x, ' ')) AS word FROM f), m AS (SELECT id, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(DIM))} FROM w JOIN voc USING (word) GROUP BY 1) SELECT k.id, {', '.join(f'round(coalesce(v{i}, 0), 6) + 0.0::DOUBLE AS v{i}' for i in range(DIM))} FROM k LEFT JOIN m ON m.id = k.id",
     "group_side_output": f"{_GROUPS_SQL} SELECT id AS ts, machine, part AS space_id, group_id, gtype, CAST(56 + length(gtype) + length(ptype) AS BIGINT) AS bytes FROM gr",
-    "group_leaders": f"{_GROUPS_SQL} SELECT part, group_id, min(id) AS ts, min(id) AS id FROM gr WHERE gtype = 'inner' AND home_group = group_id GROUP BY part, group_id",
+    "group_leaders": f"{_GROUPS_SQL} SELECT part, g AS group_id, lead AS ts, lead AS id FROM ld",
+    "group_snapshots": f"{_GROUPS_SQL}, w AS (SELECT DISTINCT win, part FROM gr) SELECT win, w.part, CAST(count(g) AS INTEGER) AS groups, coalesce(string_agg(g || ':' || lead, ',' ORDER BY g), '') AS leaders FROM w LEFT JOIN ld ON ld.part = w.part AND ld.lead // 100 <= w.win GROUP BY win, w.part",
+    "group_result_rows": f"{_GROUPS_SQL} SELECT l_id * 1000 AS in_ts, l_id AS left_id, r_id AS right_id, machine, part, group_id, distance < {LOW} AS match FROM gp WHERE distance < {LOW} OR hit",
     "group_record_types": f"""{_GROUPS_SQL} SELECT part, count(*) FILTER (WHERE gtype = 'inner') AS "inner", count(*) FILTER (WHERE gtype = 'outer') AS "outer", count(*) FILTER (WHERE gtype = 'outlier') AS outlier FROM gr GROUP BY part""",
     "between_groups": f"""{_GROUPS_SQL}, b AS (SELECT l.part, l.group_id, CASE WHEN l.gtype = 'inner' THEN r.home_group ELSE l.home_group END AS other_group, {_ANGLE.format(a='l.vec', b='r.vec')} < {LOW} AS match
   FROM gr l JOIN gr r ON l.win = r.win AND l.part = r.part AND l.group_id = r.group_id AND l.id > r.id
