@@ -134,6 +134,50 @@ def streamed(two: bool, grouped: bool):
     return run
 
 
+def vector_stream(spark, sf_dir, where: str = "true") -> DataFrame:
+    """The first two coordinates of the embeddings as a stream, one record a second."""
+    raw = spark.readStream.schema(table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embeddings.parquet*").where(where)
+    e = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
+    return raw.select((F.col("vec_id") * 1000).alias("event_ts"), (F.col("vec_id") * 1000).alias("ingest_ts"), F.col("vec_id").alias("id"), e.alias("vec"))
+
+
+def join_outputs(name: str):
+    """One of the outputs of a running grouped join over all embeddings, windows of 100 of them."""
+
+    def run(spark, sf_dir):
+        from nearspan.streaming.join import split, stream_outputs, with_state_store, write_outputs
+
+        with_state_store(spark)
+        folder = shared_folder(spark)
+        out = stream_outputs(vector_stream(spark, sf_dir), threshold=LOW, dim=2, window_s=100, every=101)
+        write_outputs(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+        made = split()[name](out)
+        return spark.read.schema(made.schema).parquet(f"{folder}/out/{name}/*").drop("out_ts")
+
+    return run
+
+
+def stream_migrated(spark, sf_dir):
+    """The grouped join stopped half-way, every third group given to another machine, and run on from its state."""
+    from nearspan.streaming.join import exported_leaders, exported_state, migrated, split, stream_outputs, with_state_store, write_outputs
+
+    with_state_store(spark)
+    folder, half = shared_folder(spark), F.expr("CAST(div(max(vec_id), 2) AS BIGINT)")
+    half = table(spark, sf_dir, "embeddings").agg(half).collect()[0][0] or 0
+    start = None
+    for number, where in enumerate((f"vec_id <= {half}", f"vec_id > {half}")):
+        out = stream_outputs(vector_stream(spark, sf_dir, where), threshold=LOW, dim=2, window_s=100, initial=start)
+        write_outputs(out, f"{folder}/out{number}", f"{folder}/state{number}").awaitTermination()
+        if number == 0:
+            leaders = exported_leaders(spark, f"{folder}/state0").select("group_id", F.col("part").alias("space_id"), "machine")
+            moves = leaders.where("group_id % 3 = 0").withColumn("new_machine", ((F.col("machine") + 13) % 128).cast("int"))
+            migrated(exported_state(spark, f"{folder}/state0"), moves).write.parquet(f"{folder}/moved")
+            start = spark.read.parquet(f"{folder}/moved")
+    schema = split()["results"](out).schema
+    parts = [spark.read.schema(schema).parquet(f"{folder}/out{k}/results/*") for k in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("left_id", "right_id", "part", "group_id", "machine")
+
+
 def stream_counts(spark, sf_dir):
     from nearspan.streaming.sinks import windowed_counts
 
@@ -251,6 +295,11 @@ QUERIES = {
     "stream_self_grouped": streamed(False, True),
     "stream_twoway_join": streamed(True, False),
     "stream_twoway_grouped": streamed(True, True),
+    "stream_result_rows": join_outputs("results"),
+    "stream_group_side": join_outputs("group_side"),
+    "stream_throughput_ticks": join_outputs("throughput"),
+    "stream_compared": join_outputs("compared"),
+    "stream_migrated": stream_migrated,
     "stream_window_counts": stream_counts,
     "cosine_distance_join": lambda s, d: grid_join(with_window(tagged(vectors(s, d), None), None), True, math.acos(1 - 0.7) / math.pi).select(
         F.col("left_id").alias("l_id"), F.col("right_id").alias("r_id"), F.round(1 - F.cos(F.col("distance") * F.pi()), 6).alias("cosine_distance")
@@ -447,6 +496,12 @@ UNION ALL SELECT 'throughput', window_start, nil, nil, nil, count(*) FROM r, z G
     "group_leaders": f"{_GROUPS_SQL} SELECT part, g AS group_id, lead AS ts, lead AS id FROM ld",
     "group_snapshots": f"{_GROUPS_SQL}, w AS (SELECT DISTINCT win, part FROM gr) SELECT win, w.part, CAST(count(g) AS INTEGER) AS groups, coalesce(string_agg(g || ':' || lead, ',' ORDER BY g), '') AS leaders FROM w LEFT JOIN ld ON ld.part = w.part AND ld.lead // 100 <= w.win GROUP BY win, w.part",
     "group_result_rows": f"{_GROUPS_SQL} SELECT l_id * 1000 AS in_ts, l_id AS left_id, r_id AS right_id, machine, part, group_id, distance < {LOW} AS match FROM gp WHERE distance < {LOW} OR hit",
+    "stream_result_rows": f"{_GROUPS_SQL} SELECT l_id * 1000 AS in_ts, l_id AS left_id, r_id AS right_id, machine, part, group_id, distance < {LOW} AS match FROM gp WHERE distance < {LOW} OR hit",
+    "stream_group_side": f"{_GROUPS_SQL} SELECT id * 1000 AS ts, machine, part AS space_id, group_id, gtype, CAST(56 + length(gtype) + length(ptype) AS BIGINT) AS bytes FROM gr",
+    "stream_throughput_ticks": "SELECT vec_id * 1000 AS ingest_ts, CAST(1 AS BIGINT) AS n FROM embeddings",
+    # A window is told of once the stream's time, that of its last record, has passed its end.
+    "stream_compared": f"{_GROUPS_SQL} SELECT win, machine, part, group_id, distance < {LOW} AS match, count(*) AS n FROM gp WHERE (win + 1) * 100 <= (SELECT max(vec_id) FROM embeddings) GROUP BY ALL",
+    "stream_migrated": f"{_GROUPS_SQL}, h AS (SELECT max(vec_id) // 2 AS half FROM embeddings) SELECT l_id AS left_id, r_id AS right_id, gp.part, group_id, CASE WHEN group_id % 3 = 0 AND lead <= half AND l_id > half THEN CAST((machine + 13) % 128 AS INTEGER) ELSE machine END AS machine FROM gp JOIN ld ON ld.part = gp.part AND ld.g = gp.group_id, h WHERE distance < {LOW}",
     "group_record_types": f"""{_GROUPS_SQL} SELECT part, count(*) FILTER (WHERE gtype = 'inner') AS "inner", count(*) FILTER (WHERE gtype = 'outer') AS "outer", count(*) FILTER (WHERE gtype = 'outlier') AS outlier FROM gr GROUP BY part""",
     "between_groups": f"""{_GROUPS_SQL}, b AS (SELECT l.part, l.group_id, CASE WHEN l.gtype = 'inner' THEN r.home_group ELSE l.home_group END AS other_group, {_ANGLE.format(a='l.vec', b='r.vec')} < {LOW} AS match
   FROM gr l JOIN gr r ON l.win = r.win AND l.part = r.part AND l.group_id = r.group_id AND l.id > r.id

@@ -1,25 +1,36 @@
 """Continuous similarity joins.
 
 ``stream_partitioned`` is a stream-stream join: the router gives the equality that such a
-join needs. ``stream_grouped`` keeps the leaders and members of each partition in state and
-joins every record as it arrives; its state can be exported and started from again.
+join needs. ``stream_outputs`` is the grouped join as two stateful operators:
+
+* the *grouper*, one key for each partition, keeps the leaders (they live on) and the stored
+  outside records of windows that are open, and deals every record to its groups;
+* the *joiner*, one key for each group of a window, keeps that group's records, compares what
+  arrives with them, and gives the join's outputs: results, the routed records' sizes, ticks.
+
+A record therefore reads only the groups it is sent to. Event-time timers clear a group's records
+and a window's outside records when the window closes, whether or not new records come. Rows that
+come after their window has closed are an output of their own. The state of a stopped query can be
+read, given to other machines and taken up by a new query.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from nearspan.functions.vectors import unit, unit_distance
-from nearspan.operators.grouping import Grouper
+from nearspan.functions.vectors import record_bytes, unit, unit_distance
+from nearspan.operators.grouping import Grouper, Units
 from nearspan.operators.space import random_centroids, space_partition
 from nearspan.shipping import ship
+from nearspan.streaming.sinks import to_each
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,15 +40,15 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def routed(df: DataFrame, dim: int, threshold: float, window_s: int, centroids: int, origin: str) -> DataFrame:
+def routed(df: DataFrame, dim: int, threshold: float, window_s: int, centroids: int, origin: str, delay_ms: int = 1, keep_zero: bool = False) -> DataFrame:
     """A stream with its watermark, window number, and the router's columns.
 
     Times ascend, but equal ones may come in different batches, and the first may be 0: rows
-    at or below the watermark are dropped, so it stays a millisecond behind.
+    at or below the watermark are dropped, so it stays a millisecond behind (or ``delay_ms``).
     """
-    df = df.withColumn("ts", F.timestamp_millis(F.col("event_ts") + 1)).withWatermark("ts", "1 millisecond")
+    df = df.withColumn("ts", F.timestamp_millis(F.col("event_ts") + 1)).withWatermark("ts", f"{delay_ms} milliseconds")
     df = df.withColumn("win", F.floor(F.col("event_ts") / (window_s * 1000)).cast("long")).withColumn("origin", F.lit(origin))
-    return space_partition(df, random_centroids(centroids, dim), threshold).withColumn("unit", unit(F.col("vec")))
+    return space_partition(df, random_centroids(centroids, dim), threshold, keep_zero).withColumn("unit", unit(F.col("vec")))
 
 
 def stream_partitioned(left: DataFrame, right: DataFrame | None = None, *, threshold: float, dim: int, window_s: int = 60, centroids: int = 10) -> DataFrame:
@@ -65,97 +76,251 @@ def stream_partitioned(left: DataFrame, right: DataFrame | None = None, *, thres
     return l.join(r, on).where(close).select(F.col("l_win").alias("win"), F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), F.greatest("l_ingest_ts", "r_ingest_ts").alias("in_ts"))
 
 
-PAIRS = "win long, part int, group_id int, left_id long, right_id long, in_ts long"
+#: What the grouper hands to the joiner. gtype is 'none' for zero vectors, 'late' for late records.
+DEALT = "win long, part int, group_id int, gtype string, ptype string, home_part int, home_group int, event_ts long, ingest_ts long, id long, vec array<double>, machine int, origin string"
+#: What the joiner gives; ``kind`` names the output, columns that it does not have are null.
+OUTPUTS = "kind string, win long, out_ts long, in_ts long, left_id long, right_id long, machine int, part int, group_id int, match boolean, gtype string, ptype string, dim int, n long"
 _LEADER = "id long, event_ts long, vec array<double>, machine int"
-_MEMBER = "win long, group_id int, gtype string, id long, origin string, ingest_ts long, vec array<double>"
-
+_OUTER = "win long, home_part int, event_ts long, ingest_ts long, id long, vec array<double>, machine int, origin string"
+_MEMBER = "gtype string, id long, origin string, ingest_ts long, vec array<double>, machine int"
+_ID = -1  # group of what belongs to none
 
-class GroupedJoin(StatefulProcessor):
-    """Leaders, stored outside records and members of one partition; joins on arrival.
 
-    When a newer window comes, members and outside records of older ones are dropped while
-    the leaders stay, so that groups live on and only history is forgotten.
-    """
+class GroupingProcessor(StatefulProcessor):
+    """Leaders and stored outside records of one partition; deals records to groups as they arrive."""
 
-    def __init__(self, threshold: float, machine: bool = False):
-        self.threshold = threshold
+    def __init__(self, threshold: float, window_ms: int):
+        self.threshold, self.window_ms = threshold, window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.leaders = handle.getListState("leaders", _LEADER)
-        self.members = handle.getListState("members", _MEMBER)
-        self.outers = handle.getListState("outers", _MEMBER)
+        self.outers = handle.getListState("outers", _OUTER)
 
     def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
-        """Leaders from an exported state, their machines rewritten by a migration."""
-        rows = initial.sort_values("group_id")
-        self.leaders.put([(int(r.id), int(r.event_ts), [float(x) for x in r.vec], int(r.machine)) for r in rows.itertuples()])
+        """Leaders, and outside records of open windows, from an exported state, their machines rewritten by a migration."""
+        lead = initial[initial["kind"] == "leader"].sort_values("group_id")
+        if len(lead):
+            self.leaders.put([(int(r.id), int(r.event_ts), [float(x) for x in r.vec], int(r.machine)) for r in lead.itertuples()])
+        out = initial[initial["kind"] == "outer"].sort_values(["event_ts", "id"])
+        if len(out):
+            self.outers.put([(int(r.win), int(r.home_part), int(r.event_ts), int(r.ingest_ts), int(r.id), [float(x) for x in r.vec], int(r.machine), str(r.origin)) for r in out.itertuples()])
+            for win in sorted(set(out["win"])):
+                self.handle.registerTimer((int(win) + 1) * self.window_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        part = int(key[0])
         new = pd.concat(list(rows)).sort_values(["event_ts", "id", "origin"], kind="stable")
-        names = ("win", "group_id", "gtype", "id", "origin", "ingest_ts", "vec")
+        late = (new["win"] + 1) * self.window_ms <= timers.getCurrentWatermarkInMs()
+        part, out = int(key[0]), []
+        for mark, some in (("late", new[late & (new["ptype"] == "pInner")]), ("none", new[~late] if part < 0 else new[:0])):
+            out += [(x["win"], part, _ID, mark, x["ptype"], x["home_part"], _ID, x["event_ts"], x["ingest_ts"], x["id"], None, x["machine"], x["origin"]) for x in some.to_dict("records")]
+        if part >= 0 and not late.all():
+            out += self._deal(new[~late], part)
+        yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in DEALT.split(", ")])
+
+    def _deal(self, new: pd.DataFrame, part: int) -> list[tuple]:
         leaders = [{"id": x[0], "event_ts": x[1], "vec": list(x[2]), "machine": x[3]} for x in self.leaders.get()]
-        members = [dict(zip(names, x, strict=True)) for x in self.members.get()]
-        outers = [dict(zip(names, x, strict=True)) for x in self.outers.get()]
-        g, known, out = Grouper(self.threshold, leaders, outers), (len(leaders), len(members), len(outers)), []
-        pruned, by_group = False, defaultdict(list)
-        for m in members:
-            by_group[m["group_id"]].append((m, Grouper._unit(m["vec"])))
+        names = [f.split(" ")[0] for f in _OUTER.split(", ")]
+        outers = [{**dict(zip(names, x, strict=True)), "part": part, "ptype": "pOuter"} for x in self.outers.get()]
+        g, known, out = Grouper(self.threshold, leaders, outers), len(leaders), []
+        stored = []
         for row in new.to_dict("records"):
-            row["machine"] = int(row["machine"])
-            if members and row["win"] > members[-1]["win"] or g.outers and row["win"] > g.outers[-1]["win"]:
-                members = [m for m in members if m["win"] >= row["win"]]
-                by_group = defaultdict(list, {k: [x for x in v if x[0]["win"] >= row["win"]] for k, v in by_group.items()})
-                g.outers = [m for m in g.outers if m["win"] >= row["win"]]
-                pruned = True
-            for rec, gid, kind, _ in g.add(row):
-                member = {"win": rec["win"], "group_id": gid, "gtype": kind, "id": rec["id"], "origin": rec["origin"], "ingest_ts": rec["ingest_ts"], "vec": rec["vec"]}
-                u, group = Grouper._unit(rec["vec"]), by_group[gid]
-                out += self._probe(member, u, group, part)
-                members.append(member)
-                group.append((member, u))
-        lead = lambda x: (int(x["id"]), int(x["event_ts"]), [float(v) for v in x["vec"]], int(x["machine"]))
-        pack = lambda m: (int(m["win"]), int(m.get("group_id") or 0), str(m.get("gtype") or ""), int(m["id"]), str(m["origin"]), int(m["ingest_ts"]), [float(v) for v in m["vec"]])
-        # Only what is new is written, unless a new window has made room.
-        for state, rows_, before, form in ((self.leaders, g.leaders, known[0], lead), (self.members, members, known[1], pack), (self.outers, g.outers, known[2], pack)):
-            if pruned and state is not self.leaders:
-                state.put([form(x) for x in rows_]) if rows_ else state.clear()
-            elif len(rows_) > before:
-                state.appendList([form(x) for x in rows_[before:]])
-        yield pd.DataFrame(out, columns=["win", "part", "group_id", "left_id", "right_id", "in_ts"])
-
-    def _probe(self, a: dict, u: np.ndarray, group: list[tuple[dict, np.ndarray]], part: int) -> list[tuple]:
-        """Matches of a new member, u its unit vector, with those of its group in its window."""
-        single = a["origin"] == "single"
-        them = [(m, x) for m, x in group if m["win"] == a["win"] and not (m["gtype"] == a["gtype"] == "outer") and (m["id"] != a["id"] if single else m["origin"] != a["origin"])]
-        if not them:
-            return []
-        d = np.arccos(np.clip(np.array([x for _, x in them]) @ u, -1, 1)) / np.pi
-        out = []
-        for (m, _), near in zip(them, d < self.threshold, strict=True):
-            if near:
-                first, second = (max(a["id"], m["id"]), min(a["id"], m["id"])) if single else (a["id"], m["id"]) if a["origin"] == "left" else (m["id"], a["id"])
-                out.append((int(a["win"]), part, int(a["group_id"]), int(first), int(second), int(max(a["ingest_ts"], m["ingest_ts"]))))
+            if row["ptype"] == "pOuter":
+                stored.append(row)
+            for rec, gid, kind, home in g.add(row):
+                out.append((int(rec["win"]), part, gid, kind, rec["ptype"], int(rec["home_part"]), home, int(rec["event_ts"]), int(rec["ingest_ts"]), int(rec["id"]), [float(v) for v in rec["vec"]], int(g.leaders[gid - 1]["machine"]), rec["origin"]))
+        if len(g.leaders) > known:
+            self.leaders.appendList([(int(x["id"]), int(x["event_ts"]), [float(v) for v in x["vec"]], int(x["machine"])) for x in g.leaders[known:]])
+        if stored:
+            self.outers.appendList([(int(x["win"]), int(x["home_part"]), int(x["event_ts"]), int(x["ingest_ts"]), int(x["id"]), [float(v) for v in x["vec"]], int(x["machine"]), str(x["origin"])) for x in stored])
+            for win in sorted({int(x["win"]) for x in stored} - {x["win"] for x in outers}):
+                self.handle.registerTimer((win + 1) * self.window_ms)
         return out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The window has closed: its outside records go, the leaders stay."""
+        open_ = [tuple(x) for x in self.outers.get() if (x[0] + 1) * self.window_ms > expiredTimerInfo.getExpiryTimeInMs()]
+        self.outers.put(open_) if open_ else self.outers.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def stream_grouped(left: DataFrame, right: DataFrame | None = None, *, threshold: float, dim: int, window_s: int = 60, centroids: int = 10, initial: DataFrame | None = None) -> DataFrame:
-    """Pairs of the grouped join, with partition and group. ``initial`` has leaders exported by ``exported_leaders``."""
+class JoiningProcessor(StatefulProcessor):
+    """The records of one group in one window; joins on arrival and counts what it compared."""
+
+    def __init__(self, threshold: float, window_ms: int, every: int | None):
+        self.threshold, self.window_ms, self.every = threshold, window_ms, every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.members = handle.getListState("members", _MEMBER)
+        self.counted = handle.getValueState("compared", "matches long, failures long")
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
+        """A group's records of an open window from an exported state."""
+        rows = initial[initial["kind"] == "member"].sort_values(["ingest_ts", "id"])
+        if len(rows):
+            self.members.put([(str(r.gtype), int(r.id), str(r.origin), int(r.ingest_ts), [float(x) for x in r.vec], int(r.machine)) for r in rows.itertuples()])
+        count = initial[initial["kind"] == "compared"]
+        if len(count):
+            self.counted.update((int(count["matches"].sum()), int(count["failures"].sum())))
+        self.handle.registerTimer((int(key[0]) + 1) * self.window_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        win, part, group = (int(k) for k in key)
+        new = pd.concat(list(rows)).sort_values(["event_ts", "id", "origin"], kind="stable")
+        home = new["ptype"].eq("pInner") & new["gtype"].isin(["inner", "outlier", "none"])
+        late = new["gtype"].eq("late")
+        yield _output("tick", new[home], win, in_ts=new.loc[home, "ingest_ts"], n=1)
+        if late.any():
+            yield _output("late", new[late], win, in_ts=new.loc[late, "ingest_ts"], left_id=new.loc[late, "id"], n=1)
+        if group != _ID:
+            yield _output("side", new, win, in_ts=new["event_ts"], machine=new["machine"], part=part, group_id=group, gtype=new["gtype"], ptype=new["ptype"], dim=new["vec"].map(len))
+            yield self._join(new.reset_index(drop=True), win, part, group)
+
+    def _join(self, new: pd.DataFrame, win: int, part: int, group: int) -> pd.DataFrame:
+        held = pd.DataFrame([tuple(x) for x in self.members.get()], columns=["gtype", "id", "origin", "ingest_ts", "vec", "machine"])
+        if not len(held):
+            self.handle.registerTimer((win + 1) * self.window_ms)
+        every = pd.concat([held, new[held.columns]], ignore_index=True) if len(held) else new[held.columns]
+        units = np.stack([Units.of(v) for v in every["vec"]])
+        before, ids, outer = len(held), every["id"].to_numpy(), every["gtype"].eq("outer").to_numpy()
+        # Each new record meets those that were there and the new ones before it.
+        distance = np.arccos(np.clip(units[before:] @ units.T, -1, 1)) / np.pi
+        meets = (np.arange(before, len(every))[:, None] > np.arange(len(every))) & ~(outer[before:, None] & outer)
+        single = every["origin"].iloc[0] == "single"
+        origin = every["origin"].to_numpy()
+        meets &= (ids[before:, None] != ids) if single else (origin[before:, None] != origin)
+        i, j = np.nonzero(meets)
+        d, i = distance[i, j], i + before
+        match = d < self.threshold
+        first = (ids[i] > ids[j]) if single else (origin[i] == "left")
+        left, right = np.where(first, ids[i], ids[j]), np.where(first, ids[j], ids[i])
+        kept = match.copy()
+        if self.every is not None:
+            for k in np.flatnonzero(~match):
+                kept[k] = int(hashlib.md5(f"{left[k]}:{right[k]}".encode()).hexdigest()[:8], 16) % self.every == 0
+        self.members.appendList([(str(r.gtype), int(r.id), str(r.origin), int(r.ingest_ts), [float(x) for x in r.vec], int(r.machine)) for r in new.itertuples()])
+        if len(i):
+            held_counts = self.counted.get() or (0, 0)
+            self.counted.update((int(held_counts[0] + match.sum()), int(held_counts[1] + (~match).sum())))
+        came = every["ingest_ts"].to_numpy()
+        rows = pd.DataFrame({"in_ts": np.maximum(came[i], came[j])[kept], "left_id": left[kept], "right_id": right[kept], "match": match[kept]})
+        return _output("result", rows, win, in_ts=rows["in_ts"], left_id=rows["left_id"], right_id=rows["right_id"], match=rows["match"], machine=int(new["machine"].iloc[-1]), part=part, group_id=group)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The window has closed: what was compared in it is told once, and its records go."""
+        win, part, group = (int(k) for k in key)
+        counts, members = self.counted.get() or (0, 0), list(self.members.get())
+        self.members.clear()
+        self.counted.clear()
+        machine = int(members[-1][5]) if members else None
+        for n, match in ((counts[0], True), (counts[1], False)):
+            if n:
+                yield _output("compared", pd.DataFrame({"n": [n]}), win, machine=machine, part=part, group_id=group, match=match, n=int(n))
+
+    def close(self) -> None:
+        pass
+
+
+def _output(kind: str, rows: pd.DataFrame, win: int, **columns) -> pd.DataFrame:
+    """Rows of OUTPUTS with the given columns; out_ts is left to the plan."""
+    out = pd.DataFrame(index=range(len(rows)))
+    for f in OUTPUTS.split(", "):
+        name, kind_of = f.split(" ")
+        value = {"kind": kind, "win": win}.get(name, columns.get(name))
+        value = value.to_numpy() if isinstance(value, pd.Series) else value
+        out[name] = pd.Series(value, index=out.index, dtype={"long": "Int64", "int": "Int32", "boolean": "boolean", "string": object}[kind_of])
+    return out
+
+
+def stream_outputs(left: DataFrame, right: DataFrame | None = None, *, threshold: float, dim: int, window_s: int = 60, centroids: int = 10, every: int | None = None, delay_ms: int = 1, initial: DataFrame | None = None) -> DataFrame:
+    """All outputs of the running grouped join, as rows of OUTPUTS; ``split`` gives each its own schema.
+
+    ``every``: also that share of the failed comparisons. ``delay_ms``: how much later than newer
+    ones records may come. ``initial``: what ``exported_state`` read from a stopped query.
+    """
     ship(left.sparkSession)
     if right is None:
-        both = routed(left, dim, threshold, window_s, centroids, "single")
+        both = routed(left, dim, threshold, window_s, centroids, "single", delay_ms, True)
     else:
-        both = routed(left, dim, threshold, window_s, centroids, "left").unionByName(routed(right, dim, threshold, window_s, centroids, "right"))
-    both = both.select("part", "ptype", "event_ts", "ingest_ts", "id", "vec", "win", "origin", "machine")
-    keyed = initial.groupBy("part") if initial is not None else None
-    return both.groupBy("part").transformWithStateInPandas(GroupedJoin(threshold), PAIRS, "Append", "None", initialState=keyed)
+        both = routed(left, dim, threshold, window_s, centroids, "left", delay_ms, True).unionByName(routed(right, dim, threshold, window_s, centroids, "right", delay_ms, True))
+    # Without its time column a row is not dropped for being late; the grouper tells it apart.
+    both = both.select("part", "ptype", "home_part", "event_ts", "ingest_ts", "id", "vec", "win", "origin", "machine")
+    window_ms = window_s * 1000
+    start = initial.where("kind IN ('leader', 'outer')").groupBy("part") if initial is not None else None
+    dealt = both.groupBy("part").transformWithStateInPandas(GroupingProcessor(threshold, window_ms), DEALT, "Append", "EventTime", initialState=start)
+    start = initial.where("kind IN ('member', 'compared')").groupBy("win", "part", "group_id") if initial is not None else None
+    return dealt.groupBy("win", "part", "group_id").transformWithStateInPandas(JoiningProcessor(threshold, window_ms, every), OUTPUTS, "Append", "EventTime", initialState=start)
+
+
+def _now() -> Column:
+    return F.unix_millis(F.current_timestamp())
+
+
+def split() -> dict[str, callable]:
+    """The join's outputs by name, each a function from rows of OUTPUTS to rows of its own schema."""
+    size = record_bytes(F.array_repeat(F.lit(0.0), F.col("dim")), F.col("gtype"), F.col("ptype"))
+    return {
+        "results": lambda b: b.where("kind = 'result'").select(_now().alias("out_ts"), "in_ts", "left_id", "right_id", "machine", "part", "group_id", "match"),
+        "group_side": lambda b: b.where("kind = 'side'").select(F.col("in_ts").alias("ts"), "machine", F.col("part").alias("space_id"), "group_id", "gtype", size.alias("bytes")),
+        "throughput": lambda b: b.where("kind = 'tick'").select(F.col("in_ts").alias("ingest_ts"), "n"),
+        "compared": lambda b: b.where("kind = 'compared'").select("win", "machine", "part", "group_id", "match", "n"),
+        "late": lambda b: b.where("kind = 'late'").select("win", F.col("left_id").alias("id"), F.col("in_ts").alias("ingest_ts")),
+    }
+
+
+def write_outputs(outputs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each output to a folder of its own under ``path``; a batch that is repeated overwrites what it wrote."""
+    return to_each(outputs, split(), path, checkpoint)
+
+
+def stream_grouped(left: DataFrame, right: DataFrame | None = None, *, threshold: float, dim: int, window_s: int = 60, centroids: int = 10, initial: DataFrame | None = None) -> DataFrame:
+    """Pairs of the grouped join, with partition and group."""
+    out = stream_outputs(left, right, threshold=threshold, dim=dim, window_s=window_s, centroids=centroids, initial=initial)
+    return out.where("kind = 'result' AND match").select("win", "part", "group_id", "left_id", "right_id", "in_ts")
+
+
+def _state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """A state variable of a stopped query, whichever of its operators holds it."""
+    meta = spark.read.format("state-metadata").load(checkpoint).where(F.col("operatorProperties").contains(f'"{variable}"')).select("operatorId").distinct().collect()
+    if len(meta) != 1:
+        raise ValueError(f"{len(meta)} operators of {checkpoint} hold a state {variable!r}")
+    reader = spark.read.format("statestore").option("path", checkpoint).option("operatorId", meta[0]["operatorId"]).option("stateVarName", variable)
+    return reader.option("flattenCollectionTypes", "false").load()
 
 
 def exported_leaders(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(part, group_id, id, event_ts, vec, machine) of a stopped grouped join's leaders."""
-    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "leaders").option("flattenCollectionTypes", "false").load()
-    one = state.select(F.col("key.part").alias("part"), F.posexplode("list_value").alias("at", "x"))
+    one = _state(spark, checkpoint, "leaders").select(F.col("key.part").alias("part"), F.posexplode("list_value").alias("at", "x"))
     return one.select("part", (F.col("at") + 1).alias("group_id"), "x.id", "x.event_ts", "x.vec", "x.machine")
+
+
+def exported_members(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(win, part, group_id, gtype, id, origin, ingest_ts, vec, machine) of all records the join holds."""
+    one = _state(spark, checkpoint, "members").select("key.*", F.explode("list_value").alias("x"))
+    return one.select("win", "part", "group_id", "x.*")
+
+
+def exported_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Everything a stopped grouped join holds, as the table a new one starts from: one row each for
+    leaders, stored outside records, records of open groups, and what those groups have compared."""
+    outers = _state(spark, checkpoint, "outers").select(F.col("key.part").alias("part"), F.explode("list_value").alias("x")).select("part", "x.*")
+    compared = _state(spark, checkpoint, "compared").select("key.*", "value.*")
+    out = None
+    for kind, df in (("leader", exported_leaders(spark, checkpoint)), ("outer", outers), ("member", exported_members(spark, checkpoint)), ("compared", compared)):
+        df = df.withColumn("kind", F.lit(kind))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def migrated(state: DataFrame, allocated: DataFrame) -> DataFrame:
+    """An exported state whose groups are on the machines they are allocated to: (group_id, machine, space_id, new_machine).
+
+    Leaders decide where the records they draw will be joined, members where those there are.
+    """
+    moves = allocated.select(F.col("group_id").alias("__g"), F.col("space_id").alias("__p"), F.col("machine").alias("__m"), "new_machine")
+    on = (F.col("group_id") == F.col("__g")) & (F.col("part") == F.col("__p")) & (F.col("machine") == F.col("__m"))
+    return state.join(moves, on, "left").withColumn("machine", F.coalesce("new_machine", "machine")).select(*state.columns)
