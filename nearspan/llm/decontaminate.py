@@ -5,8 +5,7 @@ k + 1 pieces; an occurrence with at most k edits holds one piece unchanged, so e
 of pieces (one Aho-Corasick pass over a document's normalised words) find every place.
 Each place is verified with Myers' bit-parallel distance over words.
 
-Items of fewer than ``MIN_WORDS`` words may differ by no word: such an item is its own
-single piece.
+An item of fewer than five words may differ by no word: it is its own single piece.
 
 Defined cases: null texts and items, and those without words, match nothing; null ids
 stay; repeated items are matched once each; words are runs of letters and digits in lower
@@ -31,7 +30,6 @@ from pyspark.sql.window import Window
 from nearspan.llm.common import fresh, map_rows, replace_text, stored
 
 MAX_ERRORS = 0.2
-MIN_WORDS = 8
 #: Bytes of item texts up to which their automaton is broadcast.
 BROADCAST_BYTES = 8 << 20
 #: Bits of the filter of piece hashes (16 MB, whatever the benchmark), as a power of two.
@@ -47,7 +45,7 @@ def words(text: str | None) -> list[str]:
 
 def pieces_of(item: list[str]) -> tuple[int, list[tuple[int, int]]]:
     """The word errors an item may have, and its pieces as (first, end) words."""
-    k = int(MAX_ERRORS * len(item)) if len(item) >= MIN_WORDS else 0
+    k = int(MAX_ERRORS * len(item))
     cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
     return k, list(zip(cuts, cuts[1:], strict=False))
 

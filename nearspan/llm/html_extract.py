@@ -84,7 +84,7 @@ def parse(page: str) -> Node:
     run: Node | None = None
     in_link, at = 0, 0
     # The dropped element that is open, how often, whether it is closed by a tag, and the blocks in it.
-    muted, times, ends, inner = "", 0, False, []
+    muted, times, ends, inner, held = "", 0, False, [], Counter()
     while at < len(page):
         m = _TOKEN.search(page, at)
         data = page[at : m.start() if m else len(page)]
@@ -117,18 +117,22 @@ def parse(page: str) -> Node:
             elif not attributes.endswith("/") and (not muted or muted == tag):
                 again = _SAME[tag].search(page, at)
                 nested = muted == tag == "template"
-                muted, times, inner = tag, times + 1 if nested else 1, inner if nested else []
+                muted, times, inner, held = tag, times + 1 if nested else 1, inner if nested else [], held if nested else Counter()
                 ends = again is not None and (bool(again[1]) or tag == "template")
             if not times:
                 muted = ""
             continue
         if muted and (ends or tag in ("option", "optgroup")):
-            if closing and tag in inner:
-                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            if closing and held[tag]:
+                last = None
+                while last != tag:
+                    last = inner.pop()
+                    held[last] -= 1
                 continue
             if not closing or not opened[tag]:
                 if not closing and tag not in VOID:
                     inner.append(tag)
+                    held[tag] += 1
                 continue
         muted, times = "", 0
         run = None

@@ -32,8 +32,6 @@ SLACK = 3
 TELLING, BEFORE_NUMBER = ("lesser", "affero", "nc", "sa", "nd"), ("version", "v", "by", "sa", "nc", "license")
 #: Share of the grams a sentence must have, and a full text or notice.
 LEAST_COVER, LEAST_OF_TEXT = 0.7, 0.9
-#: Of a full text only grams with a word of so many letters vote (and telling ones): "of the" stands everywhere.
-LONG_WORD = 5
 MOST_STRETCH = 1.3
 
 # Phrases and labels.
@@ -76,17 +74,11 @@ def is_telling(a: str, b: str) -> bool:
     return a == "gnu" or b in TELLING or a in BEFORE_NUMBER and b.isdigit()
 
 
-def voting(least: float, words: list[str]) -> list[tuple[int, str, str]]:
-    """(position, word, next word) of a template's grams that vote."""
-    pairs = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    return [p for p in pairs if least != LEAST_OF_TEXT or max(map(len, p[1:])) >= LONG_WORD or is_telling(*p[1:])]
-
-
 def _positions() -> list[tuple]:
     """(a, b, template, position, whether telling, grams, telling ones, longest window, hits it may hold, base, least, label) of every gram."""
     out = []
     for k, label, base, least, words in phrases():
-        grams = voting(least, words)
+        grams = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
         most = int(MOST_STRETCH * len(words)) - 1
         often = max(Counter(g[1:] for g in grams).values())
         keys = sum(is_telling(*g[1:]) for g in grams)
@@ -94,14 +86,15 @@ def _positions() -> list[tuple]:
     return out
 
 
-_TEMPLATE = ("template", "grams", "keys", "most", "reach", "base", "least", "label")
+_TEMPLATE = ("grams", "keys", "most", "reach", "base", "least", "label")
 
 
-def _grams(spark) -> DataFrame:
-    """The templates' grams by hash and words; a sentinel row marks every document."""
+def _tables(spark) -> tuple[DataFrame, DataFrame]:
+    """The templates' grams by hash and words, and what holds for a template; a sentinel row marks every document."""
     rows = [*_positions(), ("", "", -1, 0, False, 1, 0, 0, 1, False, 2.0, "")]
-    table = spark.createDataFrame(rows, "ta string, tb string, template int, at int, telling boolean, grams int, keys int, most int, reach int, base boolean, least double, label string")
-    return table.withColumn("gram", F.xxhash64("ta", "tb"))
+    grams = spark.createDataFrame([(a, b, k, 2 * i + telling) for a, b, k, i, telling, *_ in rows], "ta string, tb string, template int, code int")
+    facts = spark.createDataFrame(sorted({(x[2], *x[5:]) for x in rows}), "template int, grams int, keys int, most int, reach int, base boolean, least double, label string")
+    return grams.withColumn("gram", F.xxhash64("ta", "tb")), facts
 
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -116,17 +109,24 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
         .select("row", "doc_id", "n_words", F.posexplode_outer("g").alias("pos", "g"))
         .select("row", "doc_id", "n_words", "pos", "g.gram", "g.a", "g.b")
     )
-    found = F.broadcast(_grams(docs.sparkSession))
-    # The hash finds, the words decide.
-    hits = grams.join(found, "gram").where("a = ta AND b = tb").withColumn("diagonal", F.col("pos") - F.col("at"))
-    votes = hits.groupBy("row", "doc_id", "n_words", *_TEMPLATE, "diagonal").agg(F.collect_list(F.struct("at", "telling")).alias("ats"))
+    found, facts = _tables(docs.sparkSession)
+    own = F.col("template") < 0
+    # The hash finds, the words decide. What holds for a document travels with its sentinel row alone.
+    hits = grams.join(F.broadcast(found), "gram").where("a = ta AND b = tb").select(
+        "row", "template", F.when(own, 0).otherwise(F.col("pos") - F.shiftright("code", 1)).alias("diagonal"), "code", F.when(own, F.col("doc_id")).alias("doc_id"), F.when(own, F.col("n_words")).alias("n_words")
+    )
+    # A text's votes are aggregated where the text is read; a row for each diagonal moves.
+    votes = hits.groupBy("row", "template", "diagonal").agg(F.collect_list("code").alias("codes"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")).join(F.broadcast(facts), "template")
     # A document's votes meet in one task: as many as its own text holds, after aggregation.
     spans = votes.withColumn(
         "gap",
         F.expr("CASE WHEN base OR template < 0 OR diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {} THEN 1 ELSE 0 END".format(SLACK)),
     ).withColumn("span", F.expr("sum(gap) OVER (PARTITION BY row, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING)"))
-    merged = spans.groupBy("row", "doc_id", "n_words", *_TEMPLATE, "span").agg(
-        F.sort_array(F.flatten(F.collect_list(F.expr("transform(ats, a -> named_struct('pos', a.at + diagonal, 'at', a.at, 'telling', a.telling))")))).alias("hits"), F.min("diagonal").alias("start")
+    merged = spans.groupBy("row", "template", *_TEMPLATE, "span").agg(
+        F.sort_array(F.flatten(F.collect_list(F.expr("transform(codes, c -> named_struct('pos', shiftright(c, 1) + diagonal, 'at', shiftright(c, 1), 'telling', c % 2 = 1))")))).alias("hits"),
+        F.min("diagonal").alias("start"),
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_words").alias("n_words"),
     )
     held = "size(array_distinct(transform(filter(slice(hits, i + 1, reach), y -> y.pos <= x.pos + most{}), y -> y.at)))"
     window = f"CASE WHEN {held.format(' AND y.telling')} = keys THEN {held.format('')} ELSE 0 END"
@@ -138,8 +138,10 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("good", F.expr("NOT base AND best >= least * grams"))
     )
     return (
-        verified.groupBy("row", "doc_id", "n_words")
+        verified.groupBy("row")
         .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("n_words").alias("n_words"),
             F.count_if("whole").cast("long").alias("n_base"),
             F.min(F.expr("CASE WHEN whole THEN CAST(start AS BIGINT) END")).alias("first_word"),
             F.max(F.expr("CASE WHEN whole THEN CAST(start AS BIGINT) END")).alias("last_word"),

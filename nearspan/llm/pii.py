@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -241,17 +243,36 @@ def model() -> tuple[Booster, dict[str, float]]:
     return booster, least
 
 
+class SpanSet:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def add(self, a: int, b: int) -> bool:
+        """Takes a span in, if it overlaps none."""
+        at = bisect_left(self.starts, b)
+        if at and self.ends[at - 1] > a:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
 def all_spans(text: str, learned: tuple[Booster, dict[str, float]]) -> tuple[list, list]:
     """(base spans, all spans), each by start, then kind as listed."""
     base = base_spans(text)
     booster, least = learned
-    proposed = [c for c in candidates(text) if all(c[2] <= a or c[1] >= b for _, a, b in base)]
+    starts = [a for _, a, _ in base]
+    ends = list(accumulate((b for _, _, b in base), max))
+    # A span meets a base span if one of those that begin before its end reaches beyond its start.
+    proposed = [c for c in candidates(text) if not (at := bisect_left(starts, c[2])) or ends[at - 1] <= c[1]]
     if not proposed:
         return base, base
     p = booster.probability(np.array([_features(text, *c) for c in proposed]))
-    chosen = list(base)
+    chosen, taken = list(base), SpanSet()
     for _, a, b, kind in sorted((-q, a, -b, k) for q, (k, a, b) in zip(p, proposed, strict=True) if q >= least.get(k, 1.1)):
-        if all(-b <= x or a >= y for _, x, y in chosen):
+        if taken.add(a, -b):
             chosen.append((kind, a, -b))
     return base, sorted(chosen, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

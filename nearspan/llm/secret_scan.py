@@ -7,7 +7,9 @@ are listed in ``OWN``.
 
 Defined cases: a null or empty text has no spans; ids may be null or repeated, each row is
 scanned on its own; offsets count code points, ends are exclusive; a base match that fails
-its length test is dropped, and the search goes on behind it.
+its length test is dropped, and the search goes on behind it; a very long text is scanned
+whole, in time that grows with its length; an empty table gives an empty result; other columns,
+of any name, are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "slack", "google", "
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_JSON, _NAME = json.JSONDecoder(), re.compile(r'\{\s*"[^"\x00-\x1f]*"\s*:')
 _WORD = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 # Prefixes and shapes that the issuers publish.
 OWN = {
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")),
     "npm": (("npm_",), re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")),
-    "jwt": (("eyJ",), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")),
+    "jwt": (("eyJ",), re.compile(r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")),  # what follows the first part
     "slack": (("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(r"xox[bpar]-[0-9]{8,}-[A-Za-z0-9-]{16,}")),
     "google": (("AIza",), re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])")),
     "stripe": (("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{24,}")),
@@ -56,15 +59,47 @@ def checksum_ok(kind: str, token: str) -> bool:
     if kind in ("github", "npm"):
         body, check = token[4:-6], token[-6:]
         return _base62(zlib.crc32(body.encode()), 6) == check
-    if kind == "jwt":
-        try:
-            head = token.split(".")[0]
-            return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-        except (binascii.Error, ValueError, TypeError):
-            return False
     return True
 
 
+class TokenRun:
+    """The tokens of three parts whose first part ends where one run of its characters does.
+
+    Where that is, and whether the other parts follow, is found once for all starts in the run;
+    headers are decoded once for each place a start may have within four characters.
+    """
+
+    RUN = re.compile(r"[A-Za-z0-9_-]*")
+
+    def __init__(self, text: str, start: int):
+        self.text, self.stop = text, self.RUN.match(text, start).end()
+        rest = OWN["jwt"][1].match(text, self.stop)
+        self.end, self.decoded = rest.end() if rest else None, {}
+
+    def ends_at(self, start: int) -> int | None:
+        """The end of the token that begins here, if its header is an object that names an algorithm."""
+        if self.end is None or self.stop - start < 11:
+            return None
+        at = (self.stop - start) % 4
+        if at not in self.decoded:
+            head = self.text[start : self.stop]
+            try:
+                # A character for each byte, so that places can be reckoned.
+                self.decoded[at] = start, base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)).decode("latin-1").rstrip()
+            except (binascii.Error, ValueError):
+                self.decoded[at] = start, ""
+        first, header = self.decoded[at]
+        begin = (start - first) // 4 * 3
+        # An object ends in a brace and begins with a name; most starts in a run fail here, before anything is parsed.
+        if not header.endswith("}") or not _NAME.match(header, begin):
+            return None
+        try:
+            made, stop = _JSON.raw_decode(header, begin)
+        except (ValueError, RecursionError):
+            return None
+        return self.end if isinstance(made, dict) and "alg" in made and stop == len(header) else None
+
+
 class Scanner:
     def __init__(self):
         import ahocorasick
@@ -89,7 +124,7 @@ class Scanner:
         found: list[tuple[int, int, str, int]] = []
         # Lower-casing A-Z alone keeps offsets; the full mapping may change lengths.
         low = text.lower() if text.isascii() else text.translate(self.lower)
-        ends = dict.fromkeys(KINDS, 0)
+        ends, run = dict.fromkeys(KINDS, 0), None
         hits = sorted((end - n + 1, kind) for end, (n, kind) in self.automaton.iter(low))
         for start, kind in hits:
             if start < ends[kind]:
@@ -106,6 +141,14 @@ class Scanner:
                     ends[kind] = m.end()
                     if m.end() - start >= 20:
                         found.append((start, 1, kind, m.end()))
+            elif kind == "jwt":
+                if text.startswith("eyJ", start):
+                    if run is None or start >= run.stop:
+                        run = TokenRun(text, start)
+                    end = run.ends_at(start)
+                    if end:
+                        ends[kind] = end
+                        found.append((start, KINDS.index(kind), kind, end))
             else:
                 m = OWN[kind][1].match(text, start)
                 if m and checksum_ok(kind, m[0]):

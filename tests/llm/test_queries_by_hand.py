@@ -1,6 +1,8 @@
 """Whole queries against slow versions: scans row by row, table sums, a grammar walked without transducers."""
 
+import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearspan.llm import pii, quality_model, secret_scan, toxicity
-from nearspan.llm.decontaminate import MAX_ERRORS, MIN_WORDS, find_leaks
+from nearspan.llm.decontaminate import MAX_ERRORS, find_leaks
 
 from .test_rules import ODD, documents
 from .test_spans import plain_base
@@ -53,6 +55,14 @@ def test_pii_query(spark, rows):
     assert sum(len(r["spans"]) > 0 for r in got.values()) >= len(PERSONAL)
 
 
+def names_algorithm(token):
+    head = token.split(".")[0]
+    try:
+        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, TypeError):
+        return False
+
+
 def test_secret_query(spark, rows):
     got = {r["doc_id"]: r for r in secret_scan.scan_secrets(documents(spark, rows)).collect()}
     for i, t in enumerate(rows):
@@ -63,8 +73,10 @@ def test_secret_query(spark, rows):
         base = [(k, a, b) for a, _, k, b in sorted(all_)]
         for k, (_, expression) in secret_scan.OWN.items():
             at = 0
+            if k == "jwt":
+                expression = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
             while m := expression.search(t, at):
-                good = secret_scan.checksum_ok(k, m[0])
+                good = names_algorithm(m[0]) if k == "jwt" else secret_scan.checksum_ok(k, m[0])
                 all_ += [(m.start(), secret_scan.KINDS.index(k), k, m.end())] * good
                 at = m.end() if good else m.start() + 1
         assert got[i]["spans"] == joined((k, a, b) for a, _, k, b in sorted(all_))
@@ -174,7 +186,7 @@ def test_leak_query_over_a_whole_table(spark):
         for j, w in enumerate(d):
             place.setdefault(w, []).append(j)
         for item_id, m in items:
-            k = int(MAX_ERRORS * len(m)) if len(m) >= MIN_WORDS else 0
+            k = int(MAX_ERRORS * len(m))
             # A match keeps at least so many words of the item.
             if not m or sum(w in place for w in m) < len(m) - k:
                 continue
