@@ -5,7 +5,8 @@ itself (tag, attribute tokens, depth), its subtree (text, link density, tags) an
 siblings; boosted trees give the log-odds that it belongs to the article. Decoding takes
 the labelling of highest total log-odds in which no kept node has a dropped ancestor, so
 decisions never contradict each other. The trees learn from pages written by
-``example_page``, a fixed pseudo-random grammar of page layouts with known articles.
+``example_page``, a fixed pseudo-random grammar of page layouts with known articles; pages whose
+markup names none of its boxes have trees of their own, learned from ``bare_page``.
 
 Defined cases: a null or empty page, or one without text to keep, gives the empty string;
 broken markup is closed where the next block begins or the page ends; what stands in
@@ -50,6 +51,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_RIGHTS = re.compile(r"\u00a9|\bcopyright\b|\(c\)|\brights reserved\b", re.I)
 _OPENING = re.compile(r"<[A-Za-z/!?]")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _SAME = {t: re.compile(rf"<(/?){t}(?![A-Za-z0-9:-])", re.I) for t in DROPPED}
@@ -193,6 +195,15 @@ def describe(root: Node) -> tuple[list[Node], list[int], np.ndarray, list[str]]:
         up = parents[i]
         bad_above[i] = bad_above[up] or int(nodes[up].bad > 0 or nodes[up].role > 0 or nodes[up].tag in ("nav", "header", "footer", "aside", "form"))
         article_above[i] = article_above[up] or int(nodes[up].tag in ("article", "main"))
+    # Words of ownership in a short stretch, and how much text stands before.
+    marks, before, seen = [0] * n, [0] * n, 0
+    for i in range(n):
+        before[i] = seen
+        seen += len(texts[i])
+        marks[i] = int(bool(texts[i]) and len(texts[i]) < 400 and bool(_RIGHTS.search(texts[i])))
+    for i in range(n - 1, 0, -1):
+        if marks[i] and size[parents[i]] < 400:
+            marks[parents[i]] = 1
     order: dict[int, int] = {}
     for i in range(1, n):
         place[i] = order.get(parents[i], 0)
@@ -223,6 +234,11 @@ def describe(root: Node) -> tuple[list[Node], list[int], np.ndarray, list[str]]:
                 place[i] / max(1, len(up.children)),
                 x.tag in ("nav", "header", "footer", "aside", "form", "head"),
                 x.tag in ("article", "main"),
+                # From here on for pages without names.
+                marks[i],
+                before[i] / total,
+                links[parents[i]] / max(1, size[parents[i]]) if i else 0.0,
+                math.log1p(size[parents[i]]) if i else 0.0,
             )
         )
     return nodes, parents, np.array(rows, float), texts
@@ -309,29 +325,93 @@ def example_page(r: random.Random) -> tuple[str, set[str]]:
     return page + r.choice(("", "</body></html>")), kept
 
 
-@lru_cache(1)
-def model() -> Booster:
-    r, x, y = random.Random(3), [], []
-    for _ in range(700):
-        page, kept = example_page(r)
+def bare_page(r: random.Random) -> tuple[str, set[str]]:
+    """A page whose boxes have no names: menus are links, notices and rights are words, the rest is the article."""
+    syllables = ("er", "an", "th", "ti", "lo", "ma", "den", "es", "ou", "que", "ch", "ing")
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    prose = lambda a, b: " ".join(word() + ("," if r.random() < 0.08 else "") for _ in range(r.randint(a, b))).strip(",").capitalize()
+    kept: set[str] = set()
+
+    def keep(text: str) -> str:
+        kept.add(text)
+        return text
+
+    kind = r.choice(("div", "table", "flat"))
+    link = lambda: f'<a href="/{word()}">{" ".join(word() for _ in range(r.randint(1, 2))).capitalize()}</a>'
+    listed = lambda k: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(k)) + "</ul>"
+    rowed = lambda k: r.choice((" | ", " ", " &middot; ", " - ")).join(link() for _ in range(k))
+
+    def box(inside: str) -> str:
+        if kind == "table":
+            return f"<table><tr><td>{inside}</td></tr></table>"
+        if kind == "div" or not inside.startswith("<"):
+            return f"<div>{inside}</div>"
+        return inside
+
+    def block() -> str:
+        x = r.randrange(12)
+        if x == 0:
+            return f"<h2>{keep(prose(1, 6))}</h2>"
+        if x == 1:
+            return "<ul>" + "".join(f"<li>{keep(prose(3, 12))}.</li>".replace(".</li>", "</li>") for _ in range(r.randint(2, 4))) + "</ul>"
+        if x == 2:
+            return f"<blockquote><p>{keep(prose(5, 30) + '.')}</p></blockquote>"
+        if x == 3:
+            return f"<p>{keep(prose(2, 5) + '.')}</p>"
+        return f"<p>{keep(prose(6, 90) + '.')}</p>"
+
+    inner = (f"<h1>{keep(prose(2, 9))}</h1>" if r.random() < 0.7 else "") + "".join(block() for _ in range(r.choice((1, 2, 2, 3, 5, 9))))
+    rights = r.choice(("Copyright {} {}", "&copy; {} {}", "{1} &copy; {0}", "Copyright (c) {} by {}. All rights reserved.")).format(r.randint(1995, 2026), word().capitalize())
+    menu = lambda: box(r.choice((listed, rowed))(r.randint(2, 9)))
+    before = [menu() for _ in range(r.choice((0, 1, 1, 1, 2)))]
+    after = [menu() for _ in range(r.choice((0, 0, 0, 1)))]
+    if r.random() < 0.8:
+        after.append(box(r.choice((rights, rights, f"<p>{rights}</p>", rowed(r.randint(2, 5)) + " " + rights))))
+    body = "".join([*before, box(inner) if r.random() < 0.8 else inner, *after])
+    if r.random() < 0.4:
+        return body, kept
+    return f"<html><head><title>{prose(1, 9)}</title></head><body>{body}</body></html>", kept
+
+
+#: Features of a node that the trees for named pages look at.
+NAMED_FEATURES = 20
+
+
+def _fitted(write, pages: int, seed: int, width: int | None) -> Booster:
+    r, x, y = random.Random(seed), [], []
+    for _ in range(pages):
+        page, kept = write(r)
         nodes, parents, rows, texts = describe(parse(page))
         good = [t in kept and bool(t) for t in texts]
         for i in range(len(nodes) - 1, 0, -1):
             good[parents[i]] = good[parents[i]] or good[i]
         for i in range(len(nodes)):
             if nodes[i].tag != "#text" or texts[i]:
-                x.append(rows[i])
+                x.append(rows[i][:width])
                 y.append(float(good[i]))
     return Booster(rounds=80, depth=4, rate=0.25).fit(np.array(x), np.array(y))
 
 
-def main_texts(pages: list[str | None], trees: Booster) -> list[str]:
+@lru_cache(1)
+def model() -> tuple[Booster, Booster]:
+    """Trees for pages that name any of their boxes, and for those that name none."""
+    return _fitted(example_page, 700, 3, NAMED_FEATURES), _fitted(bare_page, 500, 4, None)
+
+
+def names_boxes(nodes: list[Node]) -> bool:
+    return any(n.bad or n.good or n.role or n.tag in ("nav", "header", "footer", "aside", "article", "main") for n in nodes)
+
+
+def main_texts(pages: list[str | None], trees: tuple[Booster, Booster]) -> list[str]:
     """The main text of each page; the nodes of all pages are scored together."""
     parsed = [describe(parse(p)) if p else None for p in pages]
     rows = [d[2] for d in parsed if d]
     if not rows:
         return [""] * len(pages)
-    odds, at, out = trees.score(np.concatenate(rows)), 0, []
+    every = np.concatenate(rows)
+    named = np.concatenate([np.full(len(d[2]), names_boxes(d[0])) for d in parsed if d])
+    odds, at, out = np.empty(len(every)), 0, []
+    odds[named], odds[~named] = trees[0].score(every[named][:, :NAMED_FEATURES]), trees[1].score(every[~named])
     for d in parsed:
         if d is None:
             out.append("")

@@ -150,3 +150,19 @@ def test_decoding_never_contradicts_itself():
             if all(not s >> i & 1 or i == 0 or s >> parents[i] & 1 for i in range(12))
         )
         assert abs(sum(odds[i] for i, k in enumerate(kept) if k) - best) < 1e-9
+
+
+def test_html_of_pages_without_names():
+    from nearspan.llm.html_extract import bare_page
+
+    trees, r, exact = model(), random.Random(77), 0
+    for _ in range(100):
+        page, kept = bare_page(r)
+        exact += set(main_texts([page], trees)[0].split("\n")) - {""} == kept
+    assert exact >= 95
+    prose = "<p>The committee met on Tuesday, and it decided, after a long debate, to build the bridge.</p><p>Work begins in May.</p>"
+    pages = [
+        f"<div><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></div><div>{prose}</div><div>Copyright 2020 Foo</div>",
+        f"<table><tr><td><a href=/a>Home</a> | <a href=/b>News</a> | <a href=/c>Contact</a></td></tr></table><table><tr><td>{prose}</td></tr></table><table><tr><td>&copy; 2020 Foo Inc. All rights reserved.</td></tr></table>",
+    ]
+    assert main_texts(pages, trees) == [re.sub("</p><p>", "\n", prose)[3:-4]] * 2
