@@ -9,7 +9,9 @@ An item of fewer than five words may differ by no word: it is its own single pie
 
 Defined cases: null texts and items, and those without words, match nothing; null ids
 stay; repeated items are matched once each; words are runs of letters and digits in lower
-case; of equally good places the first counts; an empty table of items matches nothing.
+case; of equally good places the first counts; an empty table of items matches nothing, and an
+empty table of documents gives an empty result; other columns, whatever their names, pass
+through or are not looked at; a very long text is read whole.
 
 A benchmark of at most ``BROADCAST_BYTES`` of text is one automaton that every task gets. A
 larger one never passes through the driver: hashes of pieces are joined with those of the

@@ -10,7 +10,9 @@ fold; only their features reach the driver. Labels, lang, source and doc_id are
 
 Defined cases: a null or empty text has zero features and is scored like any other; with no
 labelled rows every score is 0.5; ids may be null (never held out, never trained on) or
-repeated (each row is scored on its own).
+repeated (each row is scored on its own, and learned from once); an empty table gives an empty
+result; other columns, whatever their names, are never looked at; a very long text is read whole;
+of equal values all fall into one bin, and of equally good splits the first is taken.
 """
 
 from __future__ import annotations

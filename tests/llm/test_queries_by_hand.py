@@ -33,22 +33,25 @@ def rows(spark):
     return [*texts, *ODD, *SECRETS, *PERSONAL, *PERSONAL]
 
 
-def test_pii_query(spark, rows):
+def plain_spans(t):
+    """(base spans, all spans) of a text: all proposals by plain searches, taken one by one, the likeliest that meets nothing taken yet."""
     trees, least = pii.model()
+    base = plain_base(t)
+    left = [(k, m.start(), m.end()) for k, e in pii.GENERATORS.items() for m in e.finditer(t)] if len(t) < 5000 else pii.candidates(t)
+    p = {c: trees.probability(np.array([pii._features(t, *c)]))[0] for c in left}
+    taken = list(base)
+    while True:
+        free = [c for c in left if p[c] >= least[c[0]] and all(c[2] <= a or c[1] >= b for _, a, b in taken)]
+        if not free:
+            return base, sorted(taken, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2]))
+        taken.append(min(free, key=lambda c: (-p[c], c[1], -c[2], c[0])))
+
+
+def test_pii_query(spark, rows):
     got = {r["doc_id"]: r for r in pii.find_pii(documents(spark, rows)).collect()}
     for i, t in enumerate(rows):
-        t = t or ""
-        base = plain_base(t)
-        # All proposals by plain searches, taken one by one: the likeliest that meets nothing taken yet.
-        left = [(k, m.start(), m.end()) for k, e in pii.GENERATORS.items() for m in e.finditer(t)] if len(t) < 5000 else pii.candidates(t)
-        p = {c: trees.probability(np.array([pii._features(t, *c)]))[0] for c in left}
-        taken = list(base)
-        while True:
-            free = [c for c in left if p[c] >= least[c[0]] and all(c[2] <= a or c[1] >= b for _, a, b in taken)]
-            if not free:
-                break
-            taken.append(min(free, key=lambda c: (-p[c], c[1], -c[2], c[0])))
-        assert got[i]["spans"] == joined(sorted(taken, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2])))
+        base, taken = plain_spans(t or "")
+        assert got[i]["spans"] == joined(taken)
         assert got[i]["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest()
         count = Counter(k for k, _, _ in base)
         assert [got[i][f"n_{k}"] for k in pii.BASE] == [count[k] for k in pii.BASE]
@@ -172,25 +175,21 @@ def test_toxicity_query_walks_the_grammar(spark):
         assert abs(got[i]["score"] - p[i]) < 1e-9 and got[i]["predicted"] == int(p[i] >= 0.3) and got[i]["held_out"] == fold(i + 10**6)
 
 
-def test_leak_query_over_a_whole_table(spark):
-    """Errors and spans by the full table of edit distances, item by item."""
-    docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
-    got = {}
-    for r in find_leaks(docs, items).collect():
-        got.setdefault((r["doc_id"], r["item_id"]), []).append(r)
-    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    docs, items = [(r["doc_id"], split(r["text"])) for r in docs.collect()], [(r["item_id"], split(r["text"])) for r in items.collect()]
+def split_words(t):
+    return re.findall(r"[^\W_]+", (t or "").lower())
+
+
+def plain_leaks(docs, items):
+    """{(id, item): errors} from full tables of edit distances; docs and items are pairs of id and words."""
     want = {}
     for doc_id, d in docs:
-        place = {}
-        for j, w in enumerate(d):
-            place.setdefault(w, []).append(j)
+        place = set(d)
         for item_id, m in items:
             k = int(MAX_ERRORS * len(m))
             # A match keeps at least so many words of the item.
             if not m or sum(w in place for w in m) < len(m) - k:
                 continue
-            row, best = np.zeros(len(d) + 1, int), None
+            row = np.zeros(len(d) + 1, int)
             for i, a in enumerate(m):
                 new = np.minimum(row[:-1] + np.array([a != b for b in d], int), row[1:] + 1)
                 out = [i + 1]
@@ -200,6 +199,17 @@ def test_leak_query_over_a_whole_table(spark):
             best = int(row.min()) if len(d) else len(m)
             if best <= k:
                 want[doc_id, item_id] = best
+    return want
+
+
+def test_leak_query_over_a_whole_table(spark):
+    """Every document against every item by full tables of edit distances; spans are checked by their own distance."""
+    docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {}
+    for r in find_leaks(docs, items).collect():
+        got.setdefault((r["doc_id"], r["item_id"]), []).append(r)
+    docs, items = [(r["doc_id"], split_words(r["text"])) for r in docs.collect()], [(r["item_id"], split_words(r["text"])) for r in items.collect()]
+    want = plain_leaks(docs, items)
     assert {k: v[0]["errors"] for k, v in got.items()} == want and want and all(len(v) == 1 for v in got.values())
     by_id, item = dict(docs), dict(items)
     for (doc_id, item_id), (r,) in got.items():

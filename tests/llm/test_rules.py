@@ -53,14 +53,14 @@ def test_base_counts_in_sql(spark):
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
-def test_ratio_is_the_multinomials(spark, some):
-    """Rebuilt from the texts with python alone but for the hash, which Spark gives word by word."""
-    docs, split = documents(spark, some), [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in some]
+def plain_ratios(spark, texts):
+    """The ratio of every text, rebuilt with python alone but for the hash, which Spark gives word by word."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     pairs = sorted({(x, y) for w in split for x, y in zip(w, w[1:] + [None] * bool(w), strict=True)}, key=str)
     rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", F.xxhash64("x").alias("one"), F.xxhash64(F.xxhash64("x"), F.when(F.col("y").isNotNull(), F.xxhash64("y"))).alias("two")).collect()
     one, two = {r["x"]: r["one"] % q.BUCKETS for r in rows}, {(r["x"], r["y"]): r["two"] % q.BUCKETS for r in rows}
     raw, target, grams = Counter(), Counter(), []
-    for t, w in zip(some, split, strict=True):
+    for t, w in zip(texts, split, strict=True):
         g = [one[x] for x in w] + [two[p] for p in zip(w, w[1:] + [None] * bool(w), strict=True)] if w else []
         grams.append(g)
         raw.update(g)
@@ -70,9 +70,12 @@ def test_ratio_is_the_multinomials(spark, some):
             target.update(g)
     assert sum(target.values())
     R, T = sum(raw.values()) + q.BUCKETS, sum(target.values()) + q.BUCKETS
-    got = {r["doc_id"]: r for r in q.quality_rules(docs).collect()}
-    for i, g in enumerate(grams):
-        want = sum(math.log((target[x] + 1) / T) - math.log((raw[x] + 1) / R) for x in g) / max(1, len(g))
+    return [sum(math.log((target[x] + 1) / T) - math.log((raw[x] + 1) / R) for x in g) / max(1, len(g)) for g in grams]
+
+
+def test_ratio_is_the_multinomials(spark, some):
+    got = {r["doc_id"]: r for r in q.quality_rules(documents(spark, some)).collect()}
+    for i, want in enumerate(plain_ratios(spark, some)):
         assert abs(got[i]["ratio"] - want) < 1e-4
         assert got[i]["kept"] == (not got[i]["base_failed"] and got[i]["ratio"] >= q.MIN_RATIO)
 
@@ -190,5 +193,10 @@ def test_license_scan_edges(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_fold():
-    assert [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(4)].count(True) >= 0
+def test_fold(spark):
+    """The held-out rows are those whose id, as text, has a crc32 of 2 modulo 4; null ids are not."""
+    from nearspan.llm.common import held_out
+
+    rows = spark.createDataFrame([(i,) for i in [None, *range(400), -7]], "doc_id long")
+    got = {r["doc_id"] for r in rows.where(held_out(F.col("doc_id"))).collect()}
+    assert got == {i for i in [*range(400), -7] if zlib.crc32(str(i).encode()) % 4 == 2} and 80 < len(got) < 120
