@@ -3,7 +3,8 @@
 Defined cases: rows with a null or empty text, or too few words, fail the first stage; ids
 may be null or repeated, rows are told apart by themselves (of a class of near copies one row
 stays, repeated rows being such a class); other columns, of any name, pass through all stages
-but the last; an empty benchmark removes nothing; an empty table gives an empty result.
+but the last; an empty benchmark removes nothing; an empty table gives an empty result; a very
+long text goes through all stages whole; of equal rows the one that is read first stays.
 """
 
 from __future__ import annotations
