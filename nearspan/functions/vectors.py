@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 UNROLLED = 8
 
 
-def as_vector(v: Column | str) -> Column:
-    return F.transform(F.col(v) if isinstance(v, str) else v, lambda x: x.cast("double"))
-
-
 def parse_vector(s: Column) -> Column:
     """'[1.0, 2.0]' as an array of doubles."""
     return F.transform(F.split(F.regexp_replace(s, r"[\[\]\s]", ""), ","), lambda x: x.cast("double"))
@@ -93,11 +89,6 @@ def latency(out_ts: Column, *in_ts: Column) -> Column:
     return out_ts - (F.greatest(*in_ts) if len(in_ts) > 1 else in_ts[0])
 
 
-def contains_word(title: Column, words: list[str], ignored: str = "Episode") -> Column:
-    """Whether any word of a title, but for the ignored one, is among the words."""
-    return F.exists(F.split(title, r"\s+"), lambda w: (w != ignored) & w.isin(words))
-
-
 def register(spark: SparkSession, dim: int | None = None) -> None:
     """angular_distance(a, b) for SQL texts, as a SQL function (no Python in the plan)."""
     spark.sql(

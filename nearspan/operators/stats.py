@@ -25,8 +25,13 @@ def windowed(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("window_start", window_start(F.col(ts), seconds))
 
 
-def bernoulli(df: DataFrame, p: float, seed: int = 0) -> DataFrame:
-    """Rows kept with probability p, by a hash of the row: the same rows at every run."""
+def bernoulli(df: DataFrame, p: float, seed: int = 0, key: str | None = None) -> DataFrame:
+    """Rows kept with probability p, by a hash of the row: the same rows at every run.
+
+    With ``key`` by the MD5 of that column and the seed, which other engines compute alike.
+    """
+    if key is not None:
+        return df.where(F.conv(F.substring(F.md5(F.concat_ws(":", key, F.lit(seed))), 1, 8), 16, 10).cast("long") < int(p * (1 << 32)))
     return df.where(F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1_000_000)) < int(p * 1_000_000))
 
 
@@ -35,11 +40,21 @@ def result_ticks(results: DataFrame) -> DataFrame:
     return results.select("out_ts", "machine", F.lit(1).alias("n"))
 
 
+def percentiles(latency: str = "latency") -> Column:
+    """All nearest-rank percentiles as one array: one buffer of values and counts a key, merged from the tasks' own."""
+    ranks = ", ".join(f"{p}D" for p in PERCENTILES.values())
+    return F.expr(f"percentile_disc(array({ranks})) WITHIN GROUP (ORDER BY {latency})")
+
+
+def percentile_columns(array: str) -> list[Column]:
+    return [F.get(array, F.lit(i)).cast("long").alias(n) for i, n in enumerate(PERCENTILES)]
+
+
 def latency_percentiles(df: DataFrame, keys: list[str], latency: str = "latency", sample: float | None = None) -> DataFrame:
     """Nearest-rank percentiles; with ``sample`` of a fixed pseudo-random share of the rows."""
     if sample is not None:
         df = bernoulli(df, sample)
-    return df.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {latency})").cast("long").alias(n) for n, p in PERCENTILES.items()])
+    return df.groupBy(*keys).agg(percentiles(latency).alias("__p")).select(*keys, *percentile_columns("__p"))
 
 
 def latency_sums(df: DataFrame, keys: list[str], latency: str = "latency") -> DataFrame:

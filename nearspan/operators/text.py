@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Serialised bytes up to which a vocabulary is broadcast; a larger one is shuffled.
+#: Measured bytes up to which a vocabulary is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
 
 
-def _sized(vocabulary: DataFrame) -> DataFrame:
-    """The vocabulary, marked for broadcasting where its estimated size is small enough."""
-    size = int(str(vocabulary._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(vocabulary) if size <= BROADCAST_BYTES else vocabulary
+def _sized(vocabulary: DataFrame) -> tuple[DataFrame, bool]:
+    """The vocabulary, marked for broadcasting where its measured size is small enough, and whether it is."""
+    size = F.lit(16) + F.octet_length("word") + (F.size("vec") * 8 if "vec" in vocabulary.columns else F.lit(0))
+    small = (vocabulary.agg(F.sum(size)).collect()[0][0] or 0) <= BROADCAST_BYTES
+    return (F.broadcast(vocabulary) if small else vocabulary), small
 
 
 def tokens(texts: DataFrame, key: str, text: str, pattern: str = " ") -> DataFrame:
@@ -22,19 +23,25 @@ def tokens(texts: DataFrame, key: str, text: str, pattern: str = " ") -> DataFra
 def text_vectors(texts: DataFrame, vocabulary: DataFrame, dim: int, key: str = "id", text: str = "text", pattern: str = " ") -> DataFrame:
     """Mean vector of a text's known words, with multiplicity; a zero vector if none is known.
 
-    Word counts are taken before the lookup, so that the shuffle carries each word once a text.
+    Words are looked up before anything moves, so unknown ones never do, and a text's words stand
+    together, so that one row a text is shuffled, already summed. A vocabulary too large to be
+    broadcast is joined after the words are counted by text.
     """
-    counts = tokens(texts, key, text, pattern).groupBy(key, "word").agg(F.count("*").alias("n"))
-    known = counts.join(_sized(vocabulary.select("word", "vec")), "word")
+    known, small = _sized(vocabulary.select("word", "vec"))
+    rows = texts.select(key, text)
+    if small:
+        looked = tokens(rows, key, text, pattern).join(known, "word").withColumn("n", F.lit(1))
+    else:
+        looked = tokens(rows, key, text, pattern).groupBy(key, "word").agg(F.count("*").alias("n")).join(known, "word")
     sums = [F.sum(F.col("n") * F.get("vec", F.lit(i))) for i in range(dim)]
-    means = known.groupBy(key).agg(F.array(*[s / F.sum("n") for s in sums]).alias("vec"), F.sum("n").alias("n_known"))
+    means = looked.groupBy(key).agg(F.array(*[s / F.sum("n") for s in sums]).alias("vec"), F.sum("n").alias("n_known"))
     zero = F.array(*[F.lit(0.0)] * dim)
     return texts.select(key).join(means, key, "left").select(key, F.coalesce("vec", zero).alias("vec"), F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"))
 
 
 def with_known_word(texts: DataFrame, vocabulary: DataFrame, key: str = "id", text: str = "text", ignored: str = "Episode") -> DataFrame:
     """The texts that hold a word of the vocabulary other than the ignored one."""
-    found = tokens(texts, key, text, r"\s+").where(F.col("word") != ignored).distinct().join(_sized(vocabulary.select("word").distinct()), "word", "left_semi")
+    found = tokens(texts, key, text, r"\s+").where(F.col("word") != ignored).distinct().join(_sized(vocabulary.select("word").distinct())[0], "word", "left_semi")
     return texts.join(found.select(key).distinct(), key, "left_semi")
 
 

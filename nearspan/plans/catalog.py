@@ -57,6 +57,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{path}/{uuid.uuid4().hex}"
 
 
+def stateful(run):
+    """A query that runs streams, with as many state partitions as cores, or fewer where the session has fewer."""
+
+    def wrapped(spark, sf_dir):
+        key = "spark.sql.shuffle.partitions"
+        before = spark.conf.get(key)
+        spark.conf.set(key, str(min(int(before), max(2, spark.sparkContext.defaultParallelism))))
+        try:
+            return run(spark, sf_dir)
+        finally:
+            spark.conf.set(key, before)
+
+    return wrapped
+
+
 def vectors(spark, sf_dir, dim=DIM) -> DataFrame:
     e = F.transform(F.slice("embedding", 1, dim), lambda x: x.cast("double"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_ts"), (F.col("vec_id") * 1000).alias("ingest_ts"), F.col("vec_id").alias("id"), e.alias("vec"))
@@ -76,6 +91,7 @@ def monitored(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "click", "outer").when(F.col("event_type") == "error", "outlier").otherwise("inner").alias("gtype"),
         F.floor(F.col("value") * 100).cast("long").alias("latency"),
         (F.col("event_type") == "view").alias("match"),
+        "event_id",
         (40 + 8 * (F.col("event_id") % 7)).cast("long").alias("bytes"),
     )
 
@@ -110,7 +126,8 @@ def groups(spark, sf_dir) -> DataFrame:
     return grouped_rows(with_window(tagged(vectors(spark, sf_dir, 2), None), 100), LOW, 2, PARTS)
 
 
-def streamed(two: bool, grouped: bool):
+def streamed(two: bool, grouped: bool, threshold: float = LOW, dim: int = 2):
+    @stateful
     def run(spark, sf_dir):
         from nearspan.streaming.join import stream_grouped, stream_partitioned, with_state_store
 
@@ -118,13 +135,13 @@ def streamed(two: bool, grouped: bool):
             schema = table(spark, sf_dir, "embeddings").schema
             raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")  # a pattern fits a file and a folder
             raw = raw if rest is None else raw.where(F.col("vec_id") % 2 == rest)
-            e = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
+            e = F.transform(F.slice("embedding", 1, dim), lambda x: x.cast("double"))
             return raw.select(F.col("vec_id").alias("event_ts"), F.col("vec_id").alias("ingest_ts"), F.col("vec_id").alias("id"), e.alias("vec"))
 
         l, r = (source(0), source(1)) if two else (source(None), None)
         if grouped:
             with_state_store(spark)
-        out = (stream_grouped if grouped else stream_partitioned)(l, r, threshold=LOW, dim=2, window_s=1_000_000)
+        out = (stream_grouped if grouped else stream_partitioned)(l, r, threshold=threshold, dim=dim, window_s=1_000_000)
         folder = shared_folder(spark)
         writer = out.select("left_id", "right_id").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         query = writer.trigger(availableNow=True).start()
@@ -144,6 +161,7 @@ def vector_stream(spark, sf_dir, where: str = "true") -> DataFrame:
 def join_outputs(name: str):
     """One of the outputs of a running grouped join over all embeddings, windows of 100 of them."""
 
+    @stateful
     def run(spark, sf_dir):
         from nearspan.streaming.join import split, stream_outputs, with_state_store, write_outputs
 
@@ -157,6 +175,7 @@ def join_outputs(name: str):
     return run
 
 
+@stateful
 def stream_migrated(spark, sf_dir):
     """The grouped join stopped half-way, every third group given to another machine, and run on from its state."""
     from nearspan.streaming.join import exported_leaders, exported_state, migrated, split, stream_outputs, with_state_store, write_outputs
@@ -178,24 +197,94 @@ def stream_migrated(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("left_id", "right_id", "part", "group_id", "machine")
 
 
+@stateful
 def stream_counts(spark, sf_dir):
+    """Counts of all windows so far: every batch writes them anew."""
     from nearspan.streaming.sinks import windowed_counts
 
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.timestamp_millis(F.expr(MILLIS)))
-    out = windowed_counts(events, WINDOW_S, "event_type")
-    folder, name = shared_folder(spark), f"counts_{uuid.uuid4().hex}"
-    out.writeStream.format("memory").queryName(name).option("checkpointLocation", folder).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out, folder = windowed_counts(events, WINDOW_S, "event_type"), shared_folder(spark)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    out.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
 
+def monitored_stream(spark, sf_dir) -> DataFrame:
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    return monitored(raw).withColumn("space_id", F.col("part"))
 
+
+def appended(make):
+    """A stream of closed windows of the monitored rows, appended to files and read from there."""
+
+    @stateful
+    def run(spark, sf_dir):
+        from nearspan.streaming import monitor
+        from nearspan.streaming.join import with_state_store
+        from nearspan.streaming.sinks import to_files
+
+        with_state_store(spark)
+        out, folder = make(monitor, monitor.timed(monitored_stream(spark, sf_dir), WINDOW_S)), shared_folder(spark)
+        to_files(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+    return run
+
+
+@stateful
+def stream_rebalanced(spark, sf_dir):
+    """The whole loop: a join is monitored, windows that are complete are judged, groups move, the join runs on from its state."""
+    from nearspan.streaming import control
+    from nearspan.streaming.join import split, stream_outputs, with_state_store, write_outputs
+
+    with_state_store(spark)
+    folder = shared_folder(spark)
+    half = table(spark, sf_dir, "embeddings").agg(F.expr("CAST(div(max(vec_id), 2) AS BIGINT)")).collect()[0][0] or 0
+    first = stream_outputs(vector_stream(spark, sf_dir, f"vec_id <= {half}"), threshold=LOW, dim=2, window_s=100, every=1)
+    write_outputs(first, f"{folder}/first", f"{folder}/first-state").awaitTermination()
+    messages = control.monitored(control.file_reader(spark, f"{folder}/first"), folder, 100)
+    start = None
+    for window in control.complete_windows(spark, messages, folder)[-1:]:
+        start = control.rebalanced(spark, messages, window, f"{folder}/first-state", folder, tolerance=0.0)
+    if start is None:  # in balance, or no window was complete: the state as it is
+        from nearspan.streaming.join import exported_state
+
+        exported_state(spark, f"{folder}/first-state").write.parquet(f"{folder}/start")
+        start = spark.read.parquet(f"{folder}/start")
+    then = stream_outputs(vector_stream(spark, sf_dir, f"vec_id > {half}"), threshold=LOW, dim=2, window_s=100, every=1, initial=start)
+    write_outputs(then, f"{folder}/then", f"{folder}/then-state").awaitTermination()
+    schema = split()["results"](then).schema
+    return spark.read.schema(schema).parquet(f"{folder}/first/results/*", f"{folder}/then/results/*").where("match").select("left_id", "right_id", "part", "group_id")
+
+
+def stream_replayed(spark, sf_dir):
+    """The stored embeddings replayed 100 a second, a fifth of them a batch, and stopped and started half-way."""
+    from nearspan.sources import replay as r
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dim"))
+    folder, total = shared_folder(spark), rows.count()
+    block = max(1, -(-total // 5))
+    r.stored_blocks(r.numbered(rows, f"{folder}/numbered", "vec_id"), f"{folder}/blocks", block)
+    for until in (total // 2, total):
+        out = r.replay(spark, f"{folder}/blocks", 100, block)
+        query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
+        while query.isActive and not r.replayed_all(query, until, block):
+            query.awaitTermination(0.2)
+        query.stop()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@stateful
 def stream_statistics(spark, sf_dir):
     """All messages of the five metrics over the whole stream of events: metric, window, keys, value."""
-    from nearspan.streaming.sinks import from_messages, write_statistics
+    from nearspan.streaming.join import with_state_store
+    from nearspan.streaming.monitor import write_statistics
+    from nearspan.streaming.sinks import from_messages
 
-    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    with_state_store(spark)
     folder = shared_folder(spark)
-    for q in write_statistics(monitored(raw).withColumn("space_id", F.col("part")), "job", WINDOW_S, f"{folder}/out", f"{folder}/state", "complete"):
+    for q in write_statistics(monitored_stream(spark, sf_dir), "job", WINDOW_S, f"{folder}/out", f"{folder}/state"):
         q.awaitTermination()
     values = {"latency-percentiles-per-machine": "p99", "final-comps-per-machine": "comparisons", "final-comps-per-group": "cost", "size-per-group": "bytes", "throughput": "n"}
     sent, out = spark.read.parquet(f"{folder}/out"), None
@@ -295,11 +384,14 @@ QUERIES = {
     "stream_self_grouped": streamed(False, True),
     "stream_twoway_join": streamed(True, False),
     "stream_twoway_grouped": streamed(True, True),
+    "stream_self_high_join": streamed(False, False, HIGH, DIM),
     "stream_result_rows": join_outputs("results"),
     "stream_group_side": join_outputs("group_side"),
     "stream_throughput_ticks": join_outputs("throughput"),
     "stream_compared": join_outputs("compared"),
     "stream_migrated": stream_migrated,
+    "stream_rebalanced": stream_rebalanced,
+    "stream_replayed": stream_replayed,
     "stream_window_counts": stream_counts,
     "cosine_distance_join": lambda s, d: grid_join(with_window(tagged(vectors(s, d), None), None), True, math.acos(1 - 0.7) / math.pi).select(
         F.col("left_id").alias("l_id"), F.col("right_id").alias("r_id"), F.round(1 - F.cos(F.col("distance") * F.pi()), 6).alias("cosine_distance")
@@ -310,6 +402,11 @@ QUERIES = {
     "group_side_output": lambda s, d: group_side(groups(s, d)),
     "throughput_ticks": lambda s, d: throughput_ticks(vectors(s, d)),
     "stream_statistics": stream_statistics,
+    "stream_join_costs": appended(lambda m, r: m.running_costs(r, WINDOW_S).drop("at")),
+    "stream_comparisons_collected": appended(lambda m, r: m.collected_windows(m.comparisons(r, WINDOW_S), WINDOW_S, "machine", "comparisons").select("window_start", F.expr("array_join(transform(items, x -> concat(x.machine, ':', x.comparisons)), ',')").alias("items"))),
+    "stream_latency_avg": appended(lambda m, r: m.running(m.per_window(r, WINDOW_S, "machine", total=F.sum("latency"), n=F.count("*")), "machine", "total", "n").select("machine", "window_start", F.expr("div(total, n)").alias("avg_ms"), F.expr("div(div(total, n), 1000)").alias("avg_s"))),
+    "stream_group_numbers": appended(lambda m, r: m.running(m.per_window(r, WINDOW_S, "part", groups=F.max("group_id").cast("long")), "part", "groups", maximum=True).select("part", "window_start", "groups")),
+    "stream_window_costs": appended(lambda m, r: m.window_costs(r, WINDOW_S)),
     "space_partition": lambda s, d: spaces(s, d).select("id", "home_part", "part", "ptype", "machine"),
     "partition_sizes": lambda s, d: stats.record_counts(spaces(s, d), ["part"]),
     "partition_record_types": lambda s, d: stats.type_counts(spaces(s, d), "part", "ptype", ["pInner", "pOuter"]),
@@ -323,7 +420,7 @@ QUERIES = {
     "pair_norms": lambda s, d: vectors(s, d).select("id", F.round(v.norm(F.col("vec")), 6).alias("norm"), F.round(v.euclidean_distance(F.col("vec"), F.array(*[F.lit(0.1)] * DIM)), 6).alias("euclid"), v.record_bytes(F.col("vec"), F.lit("inner"), F.lit("pInner"), F.lit("single")).alias("bytes")),
     "parsed_lines": lines_query,
     "latency_percentiles": machine_windows,
-    "latency_percentiles_sampled": lambda s, d: stats.latency_percentiles(results(s, d), ["window_start", "machine"], sample=0.5),
+    "latency_percentiles_sampled": lambda s, d: stats.latency_percentiles(stats.bernoulli(results(s, d), 0.5, key="event_id"), ["window_start", "machine"]),
     "latency_sums": lambda s, d: stats.latency_sums(results(s, d), ["window_start", "machine"]),
     "latency_avg": lambda s, d: stats.average_latency(stats.latency_sums(results(s, d), ["window_start", "machine"]), "machine", "window_start"),
     "comparisons_per_machine": lambda s, d: stats.weighted_comparisons(results(s, d), ["window_start", "machine"]),
@@ -356,7 +453,7 @@ QUERIES = {
     "rebalance_imlp_m": rebalanced("imlp_m"),
     "rebalance_best": rebalanced(None),
     "migrated_state": migrated,
-    "text_embedding_mean": lambda s, d: text.text_vectors(texts(s, d), vocabulary(s, d), 4).select("id", "n_known", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"v{i}") for i in range(4)]),
+    "text_embedding_mean": lambda s, d: coordinates(text.text_vectors(texts(s, d), vocabulary(s, d), DIM), "n_known"),
     "text_embedding_whole": lambda s, d: coordinates(text.text_vectors(texts(s, d), vocabulary(s, d), DIM), "n_known"),
     "vocab_filter": lambda s, d: text.with_known_word(texts(s, d), vocabulary(s, d), ignored="is").select("id"),
     "clean_dataset": lambda s, d: text.clean_dataset(texts(s, d), vocabulary(s, d), "text").select("id", F.length("text").cast("long").alias("n_chars")),
@@ -424,6 +521,9 @@ _COST = """k AS (SELECT window_start, group_id, machine, part AS space_id, count
 s AS (SELECT *, coalesce(sum(i) OVER w, 0) AS si, coalesce(sum(o) OVER w, 0) AS so, coalesce(sum(l) OVER w, 0) AS sl FROM k WINDOW w AS (PARTITION BY group_id, machine, space_id ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cost AS (SELECT window_start, group_id, machine, space_id, CAST(l * (so + sl + si) + o * (si + sl) + i * (so + sl) + l * (o + i) + o * i + l * (l - 1) // 2 AS BIGINT) AS cost FROM s)"""
 _VOCABULARY = "voc AS (SELECT chr(CAST(97 + vec_id % 26 AS INTEGER)) || chr(CAST(97 + (vec_id // 26) % 26 AS INTEGER)) || CASE WHEN vec_id < 676 THEN '' ELSE CAST(vec_id // 676 AS VARCHAR) END AS word, embedding::DOUBLE[] AS vec FROM embeddings)"
+#: What a stream has told of: windows whose end lies two windows before its last record.
+_CLOSED = f"window_start + {WINDOW_S * 1000} <= (SELECT epoch_ms(max(ts)) FROM events) - {2 * WINDOW_S * 1000}"
+_TAKEN = "CAST('0x' || substr(md5(event_id || ':0'), 1, 8) AS UBIGINT) < 2147483648"
 _RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 #: The partitioned join's comparisons, and which failed ones the sample takes.
@@ -440,6 +540,7 @@ ORACLE_SQL = {
     "sim_twoway_brute": _pairs_sql(HIGH, DIM, True),
     "sim_twoway_partitioned": _pairs_sql(LOW, 2, True),
     "sim_twoway_grouped": _pairs_sql(LOW, 2, True),
+    "stream_self_high_join": _pairs_sql(HIGH, DIM, distance=False),
     "stream_self_join": _pairs_sql(LOW, 2, distance=False),
     "stream_self_grouped": _pairs_sql(LOW, 2, distance=False),
     "stream_twoway_join": _pairs_sql(LOW, 2, True, distance=False),
@@ -450,12 +551,19 @@ ORACLE_SQL = {
     "join_result_rows": f"WITH {_space_sql()}, {_SAMPLED} SELECT greatest(l_id, r_id) * 1000 AS in_ts, l_id AS left_id, r_id AS right_id, machine, part, distance < {LOW} AS match FROM pp WHERE distance < {LOW} OR hit",
     "join_result_split": f"WITH {_space_sql()}, {_SAMPLED} SELECT greatest(l_id, r_id) * 1000 AS ts, distance < {LOW} AS match FROM pp WHERE distance < {LOW} OR hit",
     "throughput_ticks": "SELECT vec_id * 1000 AS ingest_ts, CAST(1 AS BIGINT) AS n FROM embeddings",
-    "stream_statistics": f"""WITH {_RESULTS}, {_P}, {_COST}, z AS (SELECT CAST(NULL AS BIGINT) AS nil)
+    "stream_statistics": f"""WITH {_RESULTS}, {_P}, {_COST}, z AS (SELECT CAST(NULL AS BIGINT) AS nil), m AS (
 SELECT 'latency-percentiles-per-machine' AS metric, window_start, CAST(machine AS BIGINT) AS machine, nil AS group_id, nil AS space_id, p99 AS measured FROM p, z
 UNION ALL SELECT 'final-comps-per-machine', window_start, CAST(machine AS BIGINT), nil, nil, CAST(sum(CASE WHEN match THEN 1 ELSE {stats.FAILURE_WEIGHT} END) AS BIGINT) FROM r, z GROUP BY window_start, machine, nil
 UNION ALL SELECT 'final-comps-per-group', window_start, CAST(machine AS BIGINT), CAST(group_id AS BIGINT), CAST(space_id AS BIGINT), cost FROM cost
 UNION ALL SELECT 'size-per-group', window_start, CAST(machine AS BIGINT), CAST(group_id AS BIGINT), CAST(part AS BIGINT), CAST(sum(bytes) AS BIGINT) FROM r GROUP BY window_start, machine, group_id, part
-UNION ALL SELECT 'throughput', window_start, nil, nil, nil, count(*) FROM r, z GROUP BY window_start, nil""",
+UNION ALL SELECT 'throughput', window_start, nil, nil, nil, count(*) FROM r, z GROUP BY window_start, nil)
+SELECT * FROM m WHERE {_CLOSED}""",
+    "stream_join_costs": f"WITH {_RESULTS}, {_COST} SELECT * FROM cost WHERE {_CLOSED}",
+    "stream_comparisons_collected": f"WITH {_RESULTS}, c AS (SELECT window_start, machine, CAST(sum(CASE WHEN match THEN 1 ELSE {stats.FAILURE_WEIGHT} END) AS BIGINT) AS n FROM r GROUP BY 1, 2) SELECT window_start, string_agg(machine || ':' || n, ',' ORDER BY machine) AS items FROM c WHERE {_CLOSED} GROUP BY 1",
+    "stream_latency_avg": f"WITH {_RESULTS}, a AS (SELECT window_start, machine, sum(latency) AS t, count(*) AS n FROM r GROUP BY 1, 2), b AS (SELECT machine, window_start, CAST(sum(t) OVER w AS BIGINT) // CAST(sum(n) OVER w AS BIGINT) AS avg_ms FROM a WINDOW w AS (PARTITION BY machine ORDER BY window_start {_RUNNING})) SELECT machine, window_start, avg_ms, avg_ms // 1000 AS avg_s FROM b WHERE {_CLOSED}",
+    "stream_group_numbers": f"WITH {_RESULTS}, g AS (SELECT part, window_start, max(group_id) AS groups FROM r GROUP BY 1, 2), h AS (SELECT part, window_start, CAST(max(groups) OVER (PARTITION BY part ORDER BY window_start {_RUNNING}) AS BIGINT) AS groups FROM g) SELECT * FROM h WHERE {_CLOSED}",
+    "stream_window_costs": f"WITH {_RESULTS}, {_COST}, g AS (SELECT part, window_start, max(group_id) AS m, count(*) AS n FROM r GROUP BY 1, 2), h AS (SELECT part, window_start, n, max(m) OVER (PARTITION BY part ORDER BY window_start {_RUNNING}) AS groups FROM g), c AS (SELECT window_start, space_id AS part, CAST(sum(cost) AS BIGINT) AS cost FROM cost GROUP BY 1, 2), t AS (SELECT window_start, part, CAST(groups * n + cost AS BIGINT) AS total_cost FROM h JOIN c USING (window_start, part)) SELECT * FROM t WHERE {_CLOSED}",
+    "latency_percentiles_sampled": f"WITH {_RESULTS.replace('FROM events', 'FROM events WHERE ' + _TAKEN)}, {_P} SELECT * FROM p",
     "space_partition": f"WITH {_space_sql()} SELECT id, home_part, part, ptype, machine FROM sp",
     "partition_sizes": f"WITH {_space_sql()} SELECT part, count(*) AS n FROM sp GROUP BY 1",
     "partition_record_types": f"WITH {_space_sql()} SELECT part, count(*) FILTER (WHERE ptype = 'pInner') AS pInner, count(*) FILTER (WHERE ptype = 'pOuter') AS pOuter FROM sp GROUP BY 1",
@@ -486,7 +594,7 @@ UNION ALL SELECT 'throughput', window_start, nil, nil, nil, count(*) FROM r, z G
     "window_costs": f"WITH {_RESULTS}, {_COST}, g AS (SELECT part, window_start, max(group_id) AS m, count(*) AS n FROM r GROUP BY 1, 2), h AS (SELECT part, window_start, n, max(m) OVER (PARTITION BY part ORDER BY window_start {_RUNNING}) AS groups FROM g), c AS (SELECT window_start, space_id AS part, CAST(sum(cost) AS BIGINT) AS cost FROM cost GROUP BY 1, 2) SELECT window_start, part, CAST(groups * n + cost AS BIGINT) AS total_cost FROM h JOIN c USING (window_start, part)",
     "lb_input": f"WITH {_RESULTS}, {_COST} SELECT machine, group_id, machine AS origin_machine, part AS space_id, CAST(sum(cost) AS BIGINT) AS load, any_value(size) AS size FROM (SELECT group_id, machine, part, CAST(sum(bytes) AS BIGINT) AS size FROM r GROUP BY ALL) JOIN (SELECT group_id, machine, space_id AS part, cost FROM cost) USING (group_id, machine, part) GROUP BY 1, 2, 3, 4",
     "migrated_state": f"WITH {_RESULTS} SELECT group_id, CASE WHEN group_id % 3 = 0 THEN CAST((machine + 13) % 128 AS INTEGER) ELSE machine END AS machine, part AS space_id, CAST(sum(bytes) AS BIGINT) AS bytes FROM r GROUP BY r.group_id, r.machine, r.part",
-    "text_embedding_mean": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS word FROM documents), m AS (SELECT id, count(*) AS n, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(4))} FROM t JOIN voc USING (word) GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_known, {', '.join(f'round(coalesce(v{i}, 0), 6) AS v{i}' for i in range(4))} FROM documents LEFT JOIN m ON id = doc_id",
+    "text_embedding_mean": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS word FROM documents), m AS (SELECT id, count(*) AS n, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(DIM))} FROM t JOIN voc USING (word) GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_known, {', '.join(f'round(coalesce(v{i}, 0), 6) AS v{i}' for i in range(DIM))} FROM documents LEFT JOIN m ON id = doc_id",
     "text_embedding_whole": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS word FROM documents), m AS (SELECT id, count(*) AS n, {', '.join(f'avg(vec[{i + 1}]) AS v{i}' for i in range(DIM))} FROM t JOIN voc USING (word) GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_known, {', '.join(f'round(coalesce(v{i}, 0), 6) AS v{i}' for i in range(DIM))} FROM documents LEFT JOIN m ON id = doc_id",
     "vocab_filter": f"WITH {_VOCABULARY}, t AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) SELECT DISTINCT id FROM t JOIN voc USING (word) WHERE word <> 'is'",
     "clean_dataset": f"WITH {_VOCABULARY}, f AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^0-9A-Za-z_\\s]', '', 'g') AS x FROM documents), t AS (SELECT id, unnest(regexp_split_to_array(x, '\\s+')) AS word FROM f) SELECT id, length(x) AS n_chars FROM f WHERE id IN (SELECT id FROM t JOIN voc USING (word) WHERE word <> 'Episode')",
@@ -502,6 +610,8 @@ UNION ALL SELECT 'throughput', window_start, nil, nil, nil, count(*) FROM r, z G
     # A window is told of once the stream's time, that of its last record, has passed its end.
     "stream_compared": f"{_GROUPS_SQL} SELECT win, machine, part, group_id, distance < {LOW} AS match, count(*) AS n FROM gp WHERE (win + 1) * 100 <= (SELECT max(vec_id) FROM embeddings) GROUP BY ALL",
     "stream_migrated": f"{_GROUPS_SQL}, h AS (SELECT max(vec_id) // 2 AS half FROM embeddings) SELECT l_id AS left_id, r_id AS right_id, gp.part, group_id, CASE WHEN group_id % 3 = 0 AND lead <= half AND l_id > half THEN CAST((machine + 13) % 128 AS INTEGER) ELSE machine END AS machine FROM gp JOIN ld ON ld.part = gp.part AND ld.g = gp.group_id, h WHERE distance < {LOW}",
+    "stream_rebalanced": f"{_GROUPS_SQL} SELECT l_id AS left_id, r_id AS right_id, part, group_id FROM gp WHERE distance < {LOW}",
+    "stream_replayed": "SELECT n // 100 AS event_ts, n AS number, vec_id, dim FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, vec_id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings)",
     "group_record_types": f"""{_GROUPS_SQL} SELECT part, count(*) FILTER (WHERE gtype = 'inner') AS "inner", count(*) FILTER (WHERE gtype = 'outer') AS "outer", count(*) FILTER (WHERE gtype = 'outlier') AS outlier FROM gr GROUP BY part""",
     "between_groups": f"""{_GROUPS_SQL}, b AS (SELECT l.part, l.group_id, CASE WHEN l.gtype = 'inner' THEN r.home_group ELSE l.home_group END AS other_group, {_ANGLE.format(a='l.vec', b='r.vec')} < {LOW} AS match
   FROM gr l JOIN gr r ON l.win = r.win AND l.part = r.part AND l.group_id = r.group_id AND l.id > r.id

@@ -14,14 +14,10 @@ def _schema(text: str) -> T.StructType:
 
 
 INPUT = _schema("event_ts long, ingest_ts long, id long, vec array<double>")
-SPACE_PARTITIONED = _schema("part int, ptype string, home_part int, event_ts long, ingest_ts long, id long, vec array<double>")
-JOINT = T.StructType([*SPACE_PARTITIONED.fields, T.StructField("origin", T.StringType())])
 GROUPED = _schema(
     "group_id int, gtype string, part int, ptype string, home_part int, home_group int, event_ts long, ingest_ts long, id long, vec array<double>, machine int, origin string"
 )
 RESULT = _schema("out_ts long, in_ts long, left_id long, right_id long, machine int, part int, group_id int, match boolean")
-RESULT_PARTITIONED = _schema("out_ts long, in_ts long, left_id long, right_id long, part int, match boolean")
 GROUP_SIDE = _schema("ts long, machine int, space_id int, group_id int, gtype string, bytes long")
 THROUGHPUT = _schema("ingest_ts long, n long")
 ASSIGNMENT = _schema("machine int, group_id int, origin_machine int, space_id int, load long, size long")
-LEADER_STATE = _schema("part int, group_id int, id long, event_ts long, vec array<double>, machine int")

@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearspan.sources import generators as g
+from nearspan.sources.replay import replay, stored_blocks
 from nearspan.sources.text import read_embeddings, read_vectors
 
 
-def replayed(spark: SparkSession, path: str, rate: int) -> DataFrame:
-    """A file of stored embeddings, one a line, replayed at a rate."""
-    return g.embedding_stream(spark, read_embeddings(spark, path), rate, "id", "vec")
+def replayed(spark: SparkSession, path: str, rate: int, store: str, block: int | None = None) -> DataFrame:
+    """A file of stored embeddings, one a line, at a rate: a table, or with ``block`` a paced stream.
+
+    The lines' numbers, and the blocks of the stream, are kept under ``store``.
+    """
+    rows = read_embeddings(spark, path, f"{store}/lines")
+    if block is None:
+        return g.embedding_stream(spark, rows, rate, "id", "vec")
+    stored_blocks(rows.withColumnRenamed("id", "number"), f"{store}/blocks", block)
+    out = replay(spark, f"{store}/blocks", rate, block)
+    return out.select("event_ts", F.col("event_ts").alias("ingest_ts"), F.col("number").alias("id"), "vec")
 
 
 GENERATORS = {

@@ -44,11 +44,38 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get(parts, F.lit(0)).alias("word"), F.transform(F.split(F.trim(F.get(parts, F.lit(1))), " +"), lambda x: x.cast("double")).alias("vec"))
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """One '[v1, v2, ...]' a line as id, vec; ids number the lines of the scan."""
+def read_embeddings(spark: SparkSession, path: str, store: str | None = None) -> DataFrame:
+    """One '[v1, v2, ...]' a line as id, vec; ids ascend with the lines of the scan.
+
+    With a folder to ``store`` them in they are 0, 1, ..., however the files are split.
+    """
+    if store is not None:
+        from nearspan.sources.replay import numbered_lines
+
+        return numbered_lines(spark, path, store).select(F.col("number").alias("id"), parse_vector(F.col("value")).alias("vec"))
     return spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("id"), parse_vector(F.col("value")).alias("vec"))
 
 
+def read_column(spark: SparkSession, path: str, column: int | str) -> DataFrame:
+    """One column of a tab-separated file with a header, by place or name, as id, text.
+
+    Quotes are characters like others; ids ascend with the lines of the scan.
+    """
+    rows = spark.read.csv(path, sep="\t", header=True, quote="", escape="")
+    name = rows.columns[column] if isinstance(column, int) else column
+    return rows.select(F.monotonically_increasing_id().alias("id"), F.col(f"`{name}`").alias("text"))
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    """A text column as lines of text files."""
+    df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").write.mode("overwrite").text(path)
+
+
+def write_embeddings(df: DataFrame, path: str, vec: str = "vec") -> None:
+    """Vectors as '[v1, v2, ...]' lines, which ``read_embeddings`` takes back."""
+    write_lines(df.select(F.concat(F.lit("["), F.array_join(F.transform(vec, lambda x: x.cast("string")), ", "), F.lit("]")).alias("value")), "value", path)
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     """Rows as vector lines."""
     body = F.concat(F.lit("["), F.array_join(F.transform("vec", lambda x: x.cast("string")), ", "), F.lit("]"))

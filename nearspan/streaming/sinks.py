@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from nearspan.operators.stats import FAILURE_WEIGHT, PERCENTILES, join_costs
-
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, schema: T.StructType, group: str | None = None) -> DataFrame:
     """A topic of JSON values; needs the Kafka connector on the cluster."""
@@ -34,10 +32,6 @@ def from_messages(df: DataFrame, metric: str, schema: T.StructType) -> DataFrame
     return df.where(F.substring_index("key", "_", -1) == metric).select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
-def to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    return df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-
-
 def to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -64,61 +58,11 @@ def windowed_counts(df: DataFrame, seconds: int, *keys: str, ts: str = "ts") ->
     return df.withWatermark(ts, f"{2 * seconds} seconds").groupBy(w, *keys).agg(F.count("*").alias("n")).select(F.unix_millis("window.start").alias("window_start"), *keys, "n")
 
 
-def statistics(results: DataFrame, seconds: int) -> dict[str, DataFrame]:
-    """The five windowed metrics of a stream of monitored results, by the name their messages carry.
-
-    results have ts (milliseconds), machine, group_id, space_id, gtype, latency, match and bytes.
-    """
-    timed = results.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", f"{2 * seconds} seconds")
-    window = F.window("at", f"{seconds} seconds")
-
-    def per(*keys: str, **values) -> DataFrame:
-        made = timed.groupBy(window, *keys).agg(*[x.alias(n) for n, x in values.items()])
-        return made.select(F.unix_millis("window.start").alias("window_start"), *keys, *values)
-
-    group = ("group_id", "machine", "space_id")
-    percentiles = {n: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency)").cast("long") for n, p in PERCENTILES.items()}
-    return {
-        "latency-percentiles-per-machine": per("machine", **percentiles),
-        "final-comps-per-machine": per("machine", comparisons=F.sum(F.when(F.col("match"), 1).otherwise(FAILURE_WEIGHT)).cast("long")),
-        "final-comps-per-group": per(*group, "gtype", n=F.count("*")),
-        "size-per-group": per(*group, bytes=F.sum("bytes")),
-        "throughput": per(n=F.count("*")),
-    }
-
-
-def write_statistics(results: DataFrame, job: str, seconds: int, path: str, checkpoint: str, mode: str = "append") -> list[StreamingQuery]:
-    """Starts a query for each metric that writes its messages under ``path``.
-
-    In ``append`` mode a window is written once, when it is complete; in ``complete`` mode
-    every batch writes all windows so far anew. The groups' counts become join costs when
-    they are written, which takes all windows of a group, so that metric is always complete.
-    """
-    queries = []
-    for metric, df in statistics(results, seconds).items():
-        cost = metric == "final-comps-per-group"
-
-        def write(batch: DataFrame, number: int, metric=metric, cost=cost) -> None:
-            made = join_costs(batch, ["group_id", "machine", "space_id"]) if cost else batch
-            whole = cost or mode == "complete"
-            # A repeated batch overwrites its own folder.
-            as_messages(made, job, metric).write.mode("overwrite").parquet(f"{path}/metric={metric}/batch={0 if whole else number}")
-
-        writer = df.writeStream.foreachBatch(write).outputMode("complete" if cost else mode).option("checkpointLocation", f"{checkpoint}/{metric}")
-        queries.append(writer.trigger(availableNow=True).start())
-    return queries
-
-
 def write_windows(df: DataFrame, path: str) -> None:
     """A metric as JSON files, a folder for each window."""
     df.write.mode("overwrite").partitionBy("window_start").json(path)
 
 
-def late_rows(batch: DataFrame, watermark_ms: int, ts: str = "event_ts") -> tuple[DataFrame, DataFrame]:
-    """A batch's rows in time, and those that are late, for an output of their own."""
-    return batch.where(F.col(ts) >= watermark_ms), batch.where(F.col(ts) < watermark_ms)
-
-
 class JobManager:
     """Named streaming queries: start, stop, status and progress."""
 

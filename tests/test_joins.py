@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearspan.operators.grouping import Grouper, group_leaders
+from nearspan.operators.grouping import Grouper, Units, group_leaders
 from nearspan.operators.join import grouped_rows, similarity_join, tagged, with_window
 from nearspan.operators.space import Lcg, random_centroids, space_partition
 
@@ -86,7 +86,7 @@ def test_kernel_in_any_order_of_arrival(seed):
     for k, (a, ga, ta, _) in enumerate(sent):
         for b, gb, tb, _ in sent[:k]:
             if ga == gb and not ta == tb == "outer" and a["id"] != b["id"]:
-                u, v = Grouper._unit(a["vec"]), Grouper._unit(b["vec"])
+                u, v = Units.of(a["vec"]), Units.of(b["vec"])
                 if math.acos(max(-1, min(1, float(u @ v)))) / math.pi < t:
                     pairs.append((max(a["id"], b["id"]), min(a["id"], b["id"])))
     inner = {x["id"] for x in rows if x["ptype"] == "pInner"}
@@ -111,6 +111,42 @@ def test_plan_prunes_with_an_equi_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_comparisons_of_a_record_do_not_grow_with_the_table(spark):
+    """Reference points are taken from the data, as many as they ask for."""
+    from nearspan.operators.join import _routed
+
+    each = []
+    for n in (5_000, 50_000):
+        some = [F.rand(k) * 2 - 1 for k in (1, 2, 3)]
+        df = spark.range(n).select("id", F.col("id").alias("event_ts"), F.col("id").alias("ingest_ts"), F.array(*some).alias("vec"))
+        sizes = [r["n"] for r in _routed(with_window(tagged(df, None), None), 0.005, 3, None).groupBy("win", "part").agg(F.count("*").alias("n")).collect()]
+        each.append(sum(x * x for x in sizes) / n)
+    assert each[1] < 2 * each[0]
+
+
+@pytest.mark.parametrize("dim", [2, 5])
+def test_routing_by_product_equals_routing_by_expressions(spark, dim, monkeypatch):
+    from nearspan.operators import space
+
+    g = np.random.default_rng(dim)
+    rows = frame(spark, [(i, g.normal(size=dim).tolist()) for i in range(300)] + [(300, [0.0] * dim)])
+    made = {}
+    for k in (0, 99):
+        monkeypatch.setattr(space, "WRITTEN_OUT", k)
+        made[k] = sorted(tuple(r) for r in space_partition(rows, random_centroids(12, dim), 0.03).select("id", "home_part", "part", "ptype", "machine").collect())
+    assert made[0] == made[99] and {r[0] for r in made[0]} == set(range(300))
+
+
+def test_groups_live_on_across_windows(spark):
+    """A leader of the first window draws the records of later ones; a stored copy reaches only its own window."""
+    rows = [(0, [1.0, 0.0]), (11, [1.0, 0.001]), (12, [0.0, 1.0]), (25, [1.0, 0.002]), (26, [0.0, -1.0])]
+    df = with_window(tagged(frame(spark, rows), None), 10)
+    got = grouped_rows(df, 0.05, 2, 1).where("ptype = 'pInner' AND home_group = group_id").select("id", "win", "group_id").collect()
+    of = {r["id"]: r["group_id"] for r in got}
+    assert of[0] == of[11] == of[25] and len({of[0], of[12], of[26]}) == 3
+    assert {r["id"] for r in group_leaders(grouped_rows(df, 0.05, 2, 1)).collect()} == {0, 12, 26}
+
+
 def test_one_output_row_has_the_later_ingest_time(spark):
     df = similarity_join(frame(spark, LEFT), frame(spark, RIGHT), threshold=0.1, dim=2, strategy="brute")
     assert all(r["in_ts"] == max(r["left_id"], r["right_id"]) for r in df.select("in_ts", "left_id", "right_id", F.lit(1)).collect())
