@@ -11,8 +11,10 @@ pairs of blocks, so that a dense place is shared by many tasks. ``auto`` takes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +26,10 @@ from nearspan.shipping import ship
 
 #: Dimensions from which reference points no longer prune at useful thresholds.
 HIGH_DIMENSION = 16
-#: Records of one block of the grid.
-CELL_ROWS = 2048
+#: Records of one block of the grid, at least, and its blocks, at most.
+CELL_ROWS, BLOCKS = 512, 24
+#: Records of either side of one matrix product.
+TILE_ROWS = 1024
 #: Records of one block of a partition; a partition with more is dealt into pairs of blocks.
 PART_ROWS = 2048
 #: Reference points: one for every so many records, at least and at most so many.
@@ -58,39 +62,58 @@ def _distance(dim: int | None) -> Column:
 _PAIRS = T.StructType([T.StructField(n, t) for n, t in (("win", T.LongType()), ("left_id", T.LongType()), ("right_id", T.LongType()), ("distance", T.DoubleType()), ("in_ts", T.LongType()))])
 
 
-def _close_pairs(pdf: pd.DataFrame, threshold: float, self_join: bool) -> pd.DataFrame:
-    """The pairs of one cell within the threshold: one matrix product, angles only where they may matter."""
-    diagonal = self_join and pdf["cell_l"].iloc[0] == pdf["cell_r"].iloc[0]
-    l, r = (pdf, pdf) if diagonal else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
-    if not len(l) or not len(r):
-        return pd.DataFrame(columns=_PAIRS.names)
-    cos = np.stack(l["unit"].to_numpy()) @ np.stack(r["unit"].to_numpy()).T
-    i, j = np.nonzero(cos >= np.cos(np.pi * min(threshold, 1.0)) - 1e-9)
-    d = np.arccos(np.clip(cos[i, j], -1, 1)) / np.pi
-    a, b = l["id"].to_numpy()[i], r["id"].to_numpy()[j]
-    stay = (d < threshold) & ((a > b) if diagonal else (a != b) if self_join else True)
-    stay &= ~(l["copy"].to_numpy()[i] & r["copy"].to_numpy()[j])
-    i, j, d, a, b = i[stay], j[stay], d[stay], a[stay], b[stay]
-    left, right = (np.maximum(a, b), np.minimum(a, b)) if self_join else (a, b)
-    in_ts = np.maximum(l["ingest_ts"].to_numpy()[i], r["ingest_ts"].to_numpy()[j])
-    return pd.DataFrame({"win": pdf["win"].iloc[0], "left_id": left, "right_id": right, "distance": d, "in_ts": in_ts})
+def _close_pairs(cell: pa.Table, threshold: float, self_join: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of one cell within the threshold: a matrix product a tile, angles only where they may matter."""
+    side, ids, copy, came = (cell[c].to_numpy() for c in ("side", "id", "copy", "ingest_ts"))
+    units = cell["unit"].combine_chunks().flatten().to_numpy().reshape(cell.num_rows, -1)
+    diagonal = self_join and cell["cell_l"][0] == cell["cell_r"][0]
+    l, r = (np.arange(len(ids)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    least, win = np.cos(np.pi * min(threshold, 1.0)) - 1e-9, cell["win"][0].as_py()
+    for top in range(0, len(l), TILE_ROWS):
+        for start in range(0, min(top + 1, len(r)) if diagonal else len(r), TILE_ROWS):
+            x, y = l[top : top + TILE_ROWS], r[start : start + TILE_ROWS]
+            cos = units[x] @ units[y].T
+            i, j = np.nonzero(cos >= least)
+            d, i, j = np.arccos(np.clip(cos[i, j], -1, 1)) / np.pi, x[i], y[j]
+            stay = (d < threshold) & ~(copy[i] & copy[j])
+            if self_join:
+                stay &= (ids[i] != ids[j]) & ((i > j) if diagonal else True)
+            i, j, d = i[stay], j[stay], d[stay]
+            a, b = ids[i], ids[j]
+            left, right = (np.maximum(a, b), np.minimum(a, b)) if self_join else (a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(d), win), left, right, d, np.maximum(came[i], came[j]))], names=_PAIRS.names)
 
 
 def in_blocks(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Adds n, the number of blocks of about so many rows that a record's keys ask for, and its block."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
-    # One row for each of the keys' values; only its size decides whether it is broadcast.
-    return df.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("id", "origin"), F.col("n")).cast("int"))
+    # Only keys of more than a block are listed, one row for so many records: their list can always be
+    # broadcast, so that the records of a key, however many, never have to meet in one task.
+    many = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("n")).where("n > 1")
+    df = df.join(F.broadcast(many), keys, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    return df.withColumn("block", F.pmod(F.xxhash64("id", "origin"), F.col("n")).cast("int"))
+
+
+def _blocks_of_keys(df: DataFrame, keys: list[str], rows: int, most: int) -> DataFrame:
+    """Adds homes and copies, the numbers of a key's blocks of either kind, and a record's block.
+
+    A block holds so many rows, or more where a key would have more than ``most`` blocks of records
+    at home or four times as many of copies: what is sent to the cells of a key grows no faster than its records.
+    """
+    counts = df.groupBy(*keys).agg(F.count_if(~F.col("copy")).alias("h"), F.count_if("copy").alias("c")).where(F.col("h") + F.col("c") > rows)
+    blocks = lambda n, limit: F.least(F.ceil(F.col(n) / rows), F.lit(limit)).cast("int")
+    many = counts.select(*keys, F.greatest(blocks("h", most), F.lit(1)).alias("homes"), blocks("c", 4 * most).alias("copies"))
+    df = df.join(F.broadcast(many), keys, "left").withColumns({"homes": F.coalesce("homes", F.lit(1)), "copies": F.coalesce("copies", F.lit(0))})
+    return df.withColumn("block", F.expr("IF(copy AND copies > 0, homes + pmod(xxhash64(id, origin), copies), pmod(xxhash64(id, origin), homes))").cast("int"))
 
 
 def _cell_pairs(df: DataFrame, keys: list[str], self_join: bool, threshold: float) -> DataFrame:
     """Pairs of records with equal keys, at most one of them a copy, from the cells of a grid of blocks.
 
-    Every pair of blocks is one cell (for a self-join those on and below the diagonal), and a
-    record is sent to the cells of its block.
+    Every pair of blocks is one cell (for a self-join those on and below the diagonal; two blocks of
+    copies have none), and a record is sent to the cells of its block.
     """
     ship(df.sparkSession)
-    one = df.withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    one = df.withColumn("other", F.explode(F.expr("sequence(0, homes - 1 + IF(block < homes, copies, 0))")))
     if self_join:
         # In its own row of the grid a block is side 0, in another's side 1.
         dealt = one.withColumn("side", F.when(F.col("other") <= F.col("block"), 0).otherwise(1))
@@ -98,22 +121,25 @@ def _cell_pairs(df: DataFrame, keys: list[str], self_join: bool, threshold: floa
     else:
         dealt = one.withColumn("side", F.when(F.col("origin") == "left", 0).otherwise(1))
         dealt = dealt.withColumn("cell_l", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other"))).withColumn("cell_r", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block")))
-    kernel = lambda pdf: _close_pairs(pdf, threshold, self_join)
-    return dealt.select("win", *[k for k in keys if k != "win"], "cell_l", "cell_r", "side", "copy", "id", "unit", "ingest_ts").groupBy(*keys, "cell_l", "cell_r").applyInPandas(kernel, _PAIRS)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _close_pairs(pa.Table.from_batches(batches), threshold, self_join)
+
+    return dealt.select("win", *[k for k in keys if k != "win"], "cell_l", "cell_r", "side", "copy", "id", "unit", "ingest_ts").groupBy(*keys, "cell_l", "cell_r").applyInArrow(kernel, _PAIRS)
 
 
 def grid_join(df: DataFrame, self_join: bool, threshold: float, cells: int | None = None) -> DataFrame:
     """All pairs of a window within the threshold: win, left_id, right_id, distance, in_ts.
 
-    Records are dealt to blocks by a hash of the id, so many that one holds ``CELL_ROWS`` of a
-    window's records or so, however large the table; no side is broadcast. ``cells`` sets
-    the number of blocks of every window.
+    Records are dealt to blocks by a hash of the id, ``CELL_ROWS`` of a window's records to one, or
+    more beyond ``BLOCKS`` blocks, so that a record is sent to so many cells at most; no side is
+    broadcast. ``cells`` sets the number of blocks of every window.
     """
     df = df.withColumn("unit", unit(F.col("vec"))).where("unit IS NOT NULL").withColumn("copy", F.lit(False)).select("win", "id", "unit", "ingest_ts", "origin", "copy")
     if cells is None:
-        df = in_blocks(df, ["win"], CELL_ROWS)
+        df = _blocks_of_keys(df, ["win"], CELL_ROWS, BLOCKS)
     else:
-        df = df.withColumn("n", F.lit(cells)).withColumn("block", F.pmod(F.xxhash64("id", "origin"), F.lit(cells)).cast("int"))
+        df = df.withColumns({"homes": F.lit(cells), "copies": F.lit(0), "block": F.pmod(F.xxhash64("id", "origin"), F.lit(cells)).cast("int")})
     return _cell_pairs(df, ["win"], self_join, threshold)
 
 
@@ -126,27 +152,33 @@ def reference_points(df: DataFrame, dim: int, points: int | None) -> list[list[f
 
     Points taken from the data are dense where the data are, so a partition's records, and with
     them the comparisons of one record, do not grow with the table up to ``POINTS[1]`` points;
-    beyond, partitions grow and are dealt into more pairs of blocks.
+    beyond, partitions grow and are dealt into more pairs of blocks. In high dimensions a record has
+    a copy in every other partition or so, so there are no more than ``BLOCKS`` of them.
     """
     if points:
         return random_centroids(points, dim)
     rows = df.count()
-    return sampled_points(df, min(max(-(-rows // POINT_ROWS), POINTS[0]), POINTS[1]), rows) or random_centroids(1, dim)
+    most = POINTS[1] if dim < HIGH_DIMENSION else BLOCKS
+    return sampled_points(df, min(max(-(-rows // POINT_ROWS), POINTS[0]), most), rows) or random_centroids(1, dim)
 
 
-def _routed(df: DataFrame, threshold: float, dim: int, points: int | None) -> DataFrame:
-    routed = space_partition(df, reference_points(df, dim, points), threshold).withColumn("unit", unit(F.col("vec")))
-    return in_blocks(routed.select("win", "part", "ptype", "home_part", "machine", "id", "unit", "ingest_ts", "origin"), ["win", "part"], PART_ROWS)
+def _routed(df: DataFrame, threshold: float, dim: int, points: int | list[list[float]] | None) -> DataFrame:
+    at = points if isinstance(points, list) else reference_points(df, dim, points)
+    return space_partition(df, at, threshold, as_unit=True).select("win", "part", "ptype", "home_part", "machine", "id", "unit", "ingest_ts", "origin")
 
 
 def partitioned_join(df: DataFrame, self_join: bool, threshold: float, dim: int, points: int | None) -> DataFrame:
     """The pairs of the partitioned join: routed once, then a matrix product for each pair of blocks of a partition."""
-    return _cell_pairs(_routed(df, threshold, dim, points).withColumn("copy", F.col("ptype") == "pOuter"), ["win", "part"], self_join, threshold)
+    at = reference_points(df, dim, points)
+    # Where copies are many already, a partition is dealt into few blocks.
+    most = BLOCKS if dim < HIGH_DIMENSION else max(2, BLOCKS // len(at))
+    routed = _routed(df, threshold, dim, at).withColumn("copy", F.col("ptype") == "pOuter")
+    return _cell_pairs(_blocks_of_keys(routed, ["win", "part"], PART_ROWS, most), ["win", "part"], self_join, threshold)
 
 
 def partitioned_pairs(df: DataFrame, self_join: bool, threshold: float, dim: int, points: int | None) -> DataFrame:
     """All candidate pairs of the partitioned join, with their distance: what is compared, not only what matches."""
-    l, r = _sides(_routed(df, threshold, dim, points), self_join)
+    l, r = _sides(in_blocks(_routed(df, threshold, dim, points), ["win", "part"], PART_ROWS), self_join)
     # Each pair of blocks is a key of its own: the left record goes along its row, the right one down its column.
     l = l.withColumn("l_other", F.explode(F.expr("sequence(0, l_n - 1)")))
     r = r.withColumn("r_other", F.explode(F.expr("sequence(0, r_n - 1)")))

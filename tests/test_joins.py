@@ -150,3 +150,46 @@ def test_groups_live_on_across_windows(spark):
 def test_one_output_row_has_the_later_ingest_time(spark):
     df = similarity_join(frame(spark, LEFT), frame(spark, RIGHT), threshold=0.1, dim=2, strategy="brute")
     assert all(r["in_ts"] == max(r["left_id"], r["right_id"]) for r in df.select("in_ts", "left_id", "right_id", F.lit(1)).collect())
+
+
+@pytest.mark.parametrize("two", [False, True])
+@pytest.mark.parametrize("strategy", ["brute", "partitioned"])
+def test_blocks_of_homes_and_copies_give_each_pair_once(spark, two, strategy, monkeypatch):
+    from nearspan.operators import join
+
+    for name, value in (("CELL_ROWS", 16), ("PART_ROWS", 16), ("TILE_ROWS", 5), ("BLOCKS", 3)):
+        monkeypatch.setattr(join, name, value)
+    g = np.random.default_rng(9)
+    rows = [(i, g.normal(size=20).tolist()) for i in range(150)]
+    l, r = (rows[::2], rows[1::2]) if two else (rows, rows)
+    want = {(i, j) for i, a in l for j, b in r if (two or i > j) and math.acos(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) / math.pi < 0.45}
+    assert found(similarity_join(frame(spark, l), frame(spark, r) if two else None, threshold=0.45, dim=20, strategy=strategy)) == want
+
+
+def test_what_a_record_is_sent_to_does_not_grow_with_the_table(spark):
+    """Neither the cells of the grid nor, where nothing is pruned, the copies and their cells."""
+    from nearspan.operators import join
+
+    for strategy in ("brute", "partitioned"):
+        each = []
+        for n in (30_000, 120_000):
+            near = F.array(*[F.lit(1.0) + F.rand(k) / 9 for k in range(join.HIGH_DIMENSION)])
+            df = with_window(tagged(spark.range(n).select("id", F.col("id").alias("event_ts"), F.col("id").alias("ingest_ts"), near.alias("vec")), None), None).withColumn("copy", F.lit(False))
+            dealt = join._blocks_of_keys(df, ["win"], join.CELL_ROWS, join.BLOCKS) if strategy == "brute" else join._blocks_of_keys(df.withColumn("copy", F.rand(1) < 0.9), ["win"], join.PART_ROWS, 2)
+            each.append(dealt.agg(F.avg(F.expr("homes + IF(block < homes, copies, 0)"))).collect()[0][0])
+        assert each[1] < 1.5 * each[0]
+
+
+def test_no_key_brings_all_records_of_a_window_together(spark):
+    """The number of a window's blocks is told by broadcast; no join or shuffle has the window as its key."""
+    rows = frame(spark, [(i, [1.0, i / 50]) for i in range(50)])
+    plan = similarity_join(rows, rows, threshold=0.1, dim=2, strategy="brute")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_points_of_a_table_of_copies(spark):
+    """Reference points are found however few of the vectors differ."""
+    from nearspan.operators.space import sampled_points
+
+    df = spark.range(20_000).select(F.array(F.lit(1.0), (F.col("id") % 40).cast("double")).alias("vec"))
+    assert len(sampled_points(df, 39, 20_000)) == 39
