@@ -311,3 +311,35 @@ def test_a_column_of_titles_is_cleaned_and_written(spark, tmp_path):
 def test_vocabularies_of_any_size_give_the_same_means(spark, monkeypatch, limit):
     monkeypatch.setattr(text, "BROADCAST_BYTES", limit)
     test_text_vectors(spark)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_an_exchange_is_the_best_of_all(seed):
+    """Ranges of ordered loads find what a look at every pair of groups finds; groups are many, so pairs cannot all be looked at."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    loads, sizes = r.integers(0, 60, 80), r.integers(0, 40, 80)
+    one, two = (balance._Held(np.arange(k, 80, 2), loads, sizes) for k in (0, 1))
+    fee, back = r.integers(0, 3, 40).astype(float), r.integers(0, 3, 40).astype(float)
+    for gap in (0, 1, 7, 40, 300):
+        for level in (5, 30, 80):
+            rank = [
+                (abs(a - b - gap / 2) + fee[i] + (back[j] if j >= 0 else 0), j >= 0, i, j)
+                for i, (a, s) in enumerate(zip(one.load, one.size, strict=True))
+                for j, (b, t) in [(-1, (0, 0)), *enumerate(zip(two.load, two.size, strict=True))]
+                if 0 < a - b < gap and s <= level and t <= level and s + t <= level
+            ]
+            want = min(rank, default=None)
+            got = balance._best_exchange(one, two, fee, back, gap, level)
+            assert got == (want and (one.ids[want[2]], two.ids[want[3]] if want[3] >= 0 else -1))
+
+
+def test_balancing_many_groups_takes_seconds():
+    import time
+
+    for name in ("greedy", "imlp_c", "imlp_m"):
+        plan = balance.Plan({m: [balance.Group((10 * i + m, m, m), 100 + (i * 37 + m) % 91, 50 + i % 13) for i in range(2000 + 5 * m)] for m in range(10)})
+        began = time.monotonic()
+        made = balance.ALGORITHMS[name](plan)
+        assert made.imbalance < plan.imbalance and time.monotonic() - began < 60
