@@ -30,6 +30,17 @@ def timed(records: DataFrame, seconds: int, ts: str = "ts", late_s: int | None =
     return records.withColumn("at", F.timestamp_millis(ts)).withWatermark("at", f"{2 * seconds if late_s is None else late_s} seconds")
 
 
+def closing_mark(records: DataFrame, folder: str, last: int, seconds: int, ts: str = "ts") -> DataFrame:
+    """A stream that has an end, its last record at ``last``, with a mark of that end.
+
+    The mark is a record of nulls, so late that all windows of real records close, and in a window
+    of its own that never does: every window is told of, and the mark itself is not.
+    """
+    spark = records.sparkSession
+    spark.range(1).select(*[(F.lit(last + 4000 * seconds) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in records.schema]).write.mode("overwrite").parquet(folder)
+    return records.unionByName(spark.readStream.schema(records.schema).parquet(folder))
+
+
 def per_window(records: DataFrame, seconds: int, *keys: str, **values: Column) -> DataFrame:
     """Aggregates in tumbling windows of timed records, with the window's start in milliseconds and its own time."""
     made = records.groupBy(F.window("at", f"{seconds} seconds"), *keys).agg(*[x.alias(n) for n, x in values.items()])

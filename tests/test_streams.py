@@ -205,3 +205,13 @@ def test_rates_are_gathered_by_a_listener(spark, tmp_path):
         spark.streams.removeListener(rates)
     rows = rates.table(spark).where("name = 'rated' AND rows > 0").orderBy("batch").collect()
     assert [r["rows"] for r in rows] == [5, 5, 5] and all(r["processed_rate"] > 0 for r in rows)
+
+
+def test_statistics_tell_of_every_window_to_the_end(spark):
+    """The last windows of a stream that ends are told of as well, and nothing of the mark that closes them."""
+    from nearspan.plans.catalog import QUERIES, WINDOW_S, table
+
+    d = "/root/testdata/sf0.001"
+    got = {r[0] for r in QUERIES["stream_statistics"](spark, d).where("metric = 'throughput'").select("window_start").collect()}
+    want = {r[0] for r in table(spark, d, "events").selectExpr(f"div(timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts), {WINDOW_S * 1000}) * {WINDOW_S * 1000}").distinct().collect()}
+    assert got == want
