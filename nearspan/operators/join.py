@@ -147,17 +147,21 @@ def _found(pairs: DataFrame, threshold: float, *more: str) -> DataFrame:
     return pairs.where(F.col("distance") < threshold).select(F.col("l_win").alias("win"), F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "distance", F.greatest("l_ingest_ts", "r_ingest_ts").alias("in_ts"), *more)
 
 
-def reference_points(df: DataFrame, dim: int, points: int | None) -> list[list[float]]:
+def reference_points(df: DataFrame, dim: int, points: int | None, lasting: bool = False) -> list[list[float]]:
     """So many random points, or else vectors of the table itself, one for every ``POINT_ROWS`` of it.
 
     Points taken from the data are dense where the data are, so a partition's records, and with
     them the comparisons of one record, do not grow with the table up to ``POINTS[1]`` points;
     beyond, partitions grow and are dealt into more pairs of blocks. In high dimensions a record has
-    a copy in every other partition or so, so there are no more than ``BLOCKS`` of them.
+    a copy in every other partition or so, so there are no more than ``BLOCKS`` of them. Windows of
+    at most a block of records have one for all, unless partitions are ``lasting``, through all windows.
     """
     if points:
         return random_centroids(points, dim)
-    rows = df.count()
+    rows, windows, largest = df.groupBy("win").count().agg(F.sum("count"), F.count("*"), F.max("count")).collect()[0]
+    if windows > 1 and largest <= PART_ROWS and not lasting:
+        return random_centroids(1, dim)
+    rows = rows or 0
     most = POINTS[1] if dim < HIGH_DIMENSION else BLOCKS
     return sampled_points(df, min(max(-(-rows // POINT_ROWS), POINTS[0]), most), rows) or random_centroids(1, dim)
 
@@ -189,7 +193,7 @@ def partitioned_pairs(df: DataFrame, self_join: bool, threshold: float, dim: int
 
 def grouped_rows(df: DataFrame, threshold: float, dim: int, centroids: int | None) -> DataFrame:
     """The routed and grouped records of a join."""
-    return assign_groups(space_partition(df, reference_points(df, dim, centroids), threshold), threshold, window="win")
+    return assign_groups(space_partition(df, reference_points(df, dim, centroids, lasting=True), threshold), threshold, window="win")
 
 
 def grouped_pairs(grouped: DataFrame, self_join: bool, dim: int, trust_inner: bool = False) -> DataFrame:

@@ -193,3 +193,11 @@ def test_points_of_a_table_of_copies(spark):
 
     df = spark.range(20_000).select(F.array(F.lit(1.0), (F.col("id") % 40).cast("double")).alias("vec"))
     assert len(sampled_points(df, 39, 20_000)) == 39
+
+
+def test_a_small_window_is_one_key(spark):
+    from nearspan.operators.join import reference_points
+
+    rows = [(i, [1.0, i / 9]) for i in range(300)]
+    assert len(reference_points(with_window(tagged(frame(spark, rows), None), 100), 2, None)) == 1
+    assert len(reference_points(with_window(tagged(frame(spark, rows), None), 100), 2, None, lasting=True)) == 10
