@@ -215,3 +215,13 @@ def test_statistics_tell_of_every_window_to_the_end(spark):
     got = {r[0] for r in QUERIES["stream_statistics"](spark, d).where("metric = 'throughput'").select("window_start").collect()}
     want = {r[0] for r in table(spark, d, "events").selectExpr(f"div(timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts), {WINDOW_S * 1000}) * {WINDOW_S * 1000}").distinct().collect()}
     assert got == want
+
+
+def test_a_streams_partitions_are_small(spark):
+    """What a record meets in the running join is a hundredth of the stream, not a tenth or more."""
+    from nearspan.operators.space import random_centroids, space_partition
+    from nearspan.plans.catalog import LOW, STREAM_POINTS, vectors
+
+    rows = vectors(spark, "/root/testdata/sf0.1", 2)
+    sizes = [r["count"] for r in space_partition(rows, random_centroids(STREAM_POINTS, 2), LOW).groupBy("part").count().collect()]
+    assert max(sizes) < rows.count() / 20 and sum(n * n for n in sizes) < rows.count() ** 2 / 50
