@@ -225,3 +225,24 @@ def test_a_streams_partitions_are_small(spark):
     rows = vectors(spark, "/root/testdata/sf0.1", 2)
     sizes = [r["count"] for r in space_partition(rows, random_centroids(STREAM_POINTS, 2), LOW).groupBy("part").count().collect()]
     assert max(sizes) < rows.count() / 20 and sum(n * n for n in sizes) < rows.count() ** 2 / 50
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_a_high_dimensional_stream_is_joined_by_cells(spark, tmp_path, two):
+    """Over several batches, windows and one or two inputs, and in matrix products: 1,500 vectors of 64 dimensions a window."""
+    sj.with_state_store(spark)
+    r = random.Random(4)
+    rows = [(i, i, i, [r.gauss(0, 1) + (k == i % 49) * 7 for k in range(64)] if i % 97 else [0.0] * 64) for i in range(3000)]
+    for k in range(0, 3000, 1000):
+        written(spark, rows[k : k + 1000], SCHEMA, tmp_path / "in")
+    source = files(spark, SCHEMA, tmp_path / "in").withColumns({"event_ts": F.col("event_ts") * 10})
+    sides = (source.where("id % 2 = 0"), source.where("id % 2 = 1")) if two else (source, None)
+    out = sj.stream_brute(*sides, threshold=0.3, window_s=15, blocks=3)
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("win", "left_id", "right_id", "in_ts").collect()))
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"event_ts": F.col("event_ts") * 10})
+    l, r = (df.where("id % 2 = 0"), df.where("id % 2 = 1")) if two else (df, None)
+    want = batch.similarity_join(l, r, threshold=0.3, dim=64, window=15_000, strategy="brute").select("win", "left_id", "right_id", "in_ts")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 100
+    # Of closed windows nothing is held.
+    assert {x["win"] for x in sj._state(spark, str(tmp_path / "state"), "held").select("key.win").distinct().collect()} == {1}
