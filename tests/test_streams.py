@@ -246,3 +246,25 @@ def test_a_high_dimensional_stream_is_joined_by_cells(spark, tmp_path, two):
     assert got == sorted(map(tuple, want.collect())) and len(got) > 100
     # Of closed windows nothing is held.
     assert {x["win"] for x in sj._state(spark, str(tmp_path / "state"), "held").select("key.win").distinct().collect()} == {1}
+
+
+def test_many_windows_cost_few_calls_of_the_running_join(spark, tmp_path):
+    """400 windows of one batch: a key for each slot of groups, not for each group of a window, and one timer a key."""
+    sj.with_state_store(spark)
+    r = random.Random(9)
+    rows = [(i * 1000, i, i, [r.gauss(0, 1), r.gauss(0, 1)]) for i in range(2000)]
+    written(spark, rows, SCHEMA, tmp_path / "in")
+    out = sj.stream_outputs(files(spark, SCHEMA, tmp_path / "in"), threshold=0.05, dim=2, window_s=5, centroids=4, every=1)
+    query = sj.write_outputs(out, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    first = query.recentProgress[0]["stateOperators"]
+    # What is kept of each key: the list of its records, the list of its counts, and a timer or two.
+    assert sum(x["numRowsTotal"] for x in first) < 20_000 and sum(x["customMetrics"].get("numRegisteredTimers", 0) for x in first) <= sj.SLOTS + 4
+    got = outputs(spark, tmp_path / "out", "results")
+    df = batch.with_window(batch.tagged(spark.createDataFrame(rows, SCHEMA), None), 5000)
+    pairs = batch.grouped_pairs(batch.grouped_rows(df, 0.05, 2, 4), True, 2)
+    columns = ["in_ts", "left_id", "right_id", "machine", "part", "group_id", "match"]
+    plain = lambda d: sorted(map(tuple, d.collect()))
+    assert plain(got.select(*columns)) == plain(batch.result_rows(pairs, 0.05, 1).select(*columns)) != []
+    seen = pairs.groupBy("l_win", "l_part", "l_group_id", (F.col("distance") < 0.05).alias("match")).count().where("l_win < 399")
+    assert plain(outputs(spark, tmp_path / "out", "compared").select("win", "part", "group_id", "match", "n")) == plain(seen)
