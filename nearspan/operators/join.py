@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearspan.functions.vectors import record_bytes, unit, unit_distance
+from nearspan.functions.pairhash import Digits, md5_heads
+from nearspan.functions.vectors import machine_label, record_bytes, unit, unit_distance
 from nearspan.operators.grouping import assign_groups
 from nearspan.operators.space import random_centroids, sampled_points, space_partition
 from nearspan.shipping import ship
@@ -30,6 +31,8 @@ HIGH_DIMENSION = 16
 CELL_ROWS, BLOCKS = 512, 24
 #: Records of either side of one matrix product.
 TILE_ROWS = 1024
+#: Records of either side of one block of pairs that are hashed.
+HASHED_ROWS = (16, 1024)
 #: Records of one block of a partition; a partition with more is dealt into pairs of blocks.
 PART_ROWS = 2048
 #: Reference points: one for every so many records, at least and at most so many.
@@ -106,11 +109,54 @@ def _blocks_of_keys(df: DataFrame, keys: list[str], rows: int, most: int) -> Dat
     return df.withColumn("block", F.expr("IF(copy AND copies > 0, homes + pmod(xxhash64(id, origin), copies), pmod(xxhash64(id, origin), homes))").cast("int"))
 
 
-def _cell_pairs(df: DataFrame, keys: list[str], self_join: bool, threshold: float) -> DataFrame:
+_RESULTS = T.StructType([*_PAIRS.fields, T.StructField("part", T.IntegerType())])
+
+
+def _results(cell: pa.Table, threshold: float, self_join: bool, every: int) -> Iterator[pa.RecordBatch]:
+    """What one cell compares: the matches, and of the rest those whose pair has a hash divisible by ``every``."""
+    cell = cell.sort_by("id")
+    side, ids, copy, came = (cell[c].to_numpy() for c in ("side", "id", "copy", "ingest_ts"))
+    units = cell["unit"].combine_chunks().flatten().to_numpy().reshape(cell.num_rows, -1)
+    diagonal = self_join and cell["cell_l"][0] == cell["cell_r"][0]
+    digits, win, part = Digits(ids), cell["win"][0].as_py(), cell["part"][0].as_py()
+    least = np.cos(np.pi * min(threshold, 1.0)) - 1e-9
+
+    def found(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of left records x and right ones y, either sorted by their ids."""
+        cos = units[x] @ units[y].T
+        hit = np.empty(cos.shape, bool)
+        for n in np.unique(digits.lengths[x]):  # where the right number stands depends on the left one's length
+            some = digits.lengths[x] == n
+            hit[some] = md5_heads(digits.first(x[some]), digits.second(y, int(n))) % np.uint32(every) == 0
+        i, j = np.nonzero(hit | (cos >= least))
+        d, hit, i, j = np.arccos(np.clip(cos[i, j], -1, 1)) / np.pi, hit[i, j], x[i], y[j]
+        stay = (hit | (d < threshold)) & ~(copy[i] & copy[j])
+        if self_join:
+            stay &= ids[i] > ids[j]
+        i, j, d = i[stay], j[stay], d[stay]
+        if len(d):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(d), win), ids[i], ids[j], d, np.maximum(came[i], came[j]), np.full(len(d), part, "i4"))], names=_RESULTS.names)
+
+    one, other = (np.arange(len(ids)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    few, many = HASHED_ROWS
+    for top in range(0, len(one), few):
+        x = one[top : top + few]
+        for start in range(0, len(other), many):
+            y = other[start : start + many]
+            # The greater id of a self-join is the left one, whichever block it is in.
+            low, high = (y[ids[y] < ids[x[-1]]], y[ids[y] > ids[x[0]]] if not diagonal else y[:0]) if self_join else (y, y[:0])
+            if len(low):
+                yield from found(x, low)
+            if len(high):
+                yield from found(high, x)
+
+
+def _cell_pairs(df: DataFrame, keys: list[str], self_join: bool, threshold: float, every: int | None = None) -> DataFrame:
     """Pairs of records with equal keys, at most one of them a copy, from the cells of a grid of blocks.
 
     Every pair of blocks is one cell (for a self-join those on and below the diagonal; two blocks of
-    copies have none), and a record is sent to the cells of its block.
+    copies have none), and a record is sent to the cells of its block. ``every``: also that share of
+    the failed comparisons, and the partition.
     """
     ship(df.sparkSession)
     one = df.withColumn("other", F.explode(F.expr("sequence(0, homes - 1 + IF(block < homes, copies, 0))")))
@@ -125,7 +171,16 @@ def _cell_pairs(df: DataFrame, keys: list[str], self_join: bool, threshold: floa
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _close_pairs(pa.Table.from_batches(batches), threshold, self_join)
 
-    return dealt.select("win", *[k for k in keys if k != "win"], "cell_l", "cell_r", "side", "copy", "id", "unit", "ingest_ts").groupBy(*keys, "cell_l", "cell_r").applyInArrow(kernel, _PAIRS)
+    dealt = dealt.select("win", *[k for k in keys if k != "win"], "cell_l", "cell_r", "side", "copy", "id", "unit", "ingest_ts")
+    if every is None:
+        return dealt.groupBy(*keys, "cell_l", "cell_r").applyInArrow(kernel, _PAIRS)
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _results(pa.Table.from_batches(batches), threshold, self_join, every)
+
+    # Few bytes, but much work: so many tasks whatever the size of the table.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return dealt.repartition(tasks, *keys, "cell_l", "cell_r").groupBy(*keys, "cell_l", "cell_r").applyInArrow(results, _RESULTS)
 
 
 def grid_join(df: DataFrame, self_join: bool, threshold: float, cells: int | None = None) -> DataFrame:
@@ -191,6 +246,16 @@ def partitioned_pairs(df: DataFrame, self_join: bool, threshold: float, dim: int
     return l.join(r, on & (F.col("l_id") > F.col("r_id")) if self_join else on).withColumn("distance", _distance(dim))
 
 
+def partitioned_results(df: DataFrame, self_join: bool, threshold: float, dim: int, points: int, every: int = SAMPLE_EVERY) -> DataFrame:
+    """The matches of the partitioned join and the sampled share of its failed comparisons, as columns of candidate pairs.
+
+    What ``sampled_failures`` and ``result_rows`` take of all candidate pairs, of which none leaves its cell otherwise.
+    """
+    routed = _routed(df, threshold, dim, points).withColumn("copy", F.col("ptype") == "pOuter")
+    found = _cell_pairs(_blocks_of_keys(routed, ["win", "part"], PART_ROWS, BLOCKS), ["win", "part"], self_join, threshold, every)
+    return found.select(F.col("left_id").alias("l_id"), F.col("right_id").alias("r_id"), "distance", F.col("part").alias("l_part"), machine_label(F.col("part"), points).alias("l_machine"), F.col("in_ts").alias("l_ingest_ts"), F.col("in_ts").alias("r_ingest_ts"))
+
+
 def grouped_rows(df: DataFrame, threshold: float, dim: int, centroids: int | None) -> DataFrame:
     """The routed and grouped records of a join."""
     return assign_groups(space_partition(df, reference_points(df, dim, centroids, lasting=True), threshold), threshold, window="win")
@@ -258,7 +323,7 @@ def result_rows(pairs: DataFrame, threshold: float, every: int | None = None) ->
     """
     group = F.col("l_group_id") if "l_group_id" in pairs.columns else F.lit(None).cast("int")
     match = F.col("distance") < threshold
-    kept = match if every is None else match | (F.pmod(pair_hash("l_id", "r_id"), F.lit(every)) == 0)
+    kept = match if every is None else F.lit(True) if every == 1 else match | (F.pmod(pair_hash("l_id", "r_id"), F.lit(every)) == 0)
     return pairs.where(kept).select(
         F.unix_millis(F.current_timestamp()).alias("out_ts"),
         F.greatest("l_ingest_ts", "r_ingest_ts").alias("in_ts"),

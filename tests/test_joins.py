@@ -201,3 +201,29 @@ def test_a_small_window_is_one_key(spark):
     rows = [(i, [1.0, i / 9]) for i in range(300)]
     assert len(reference_points(with_window(tagged(frame(spark, rows), None), 100), 2, None)) == 1
     assert len(reference_points(with_window(tagged(frame(spark, rows), None), 100), 2, None, lasting=True)) == 10
+
+
+def test_sampled_results_are_those_of_all_candidate_pairs(spark, monkeypatch):
+    """Blocks of a partition, copies, ids of several lengths, one and two inputs: no pair leaves its cell but those asked for."""
+    import hashlib
+    import random
+
+    import numpy as np
+
+    from nearspan.functions.pairhash import Digits, md5_heads
+    from nearspan.operators import join
+
+    ids = np.array([0, 7, 10, 99, 12345, 2**62, 999_999, 1_000_000])
+    digits = Digits(ids)
+    for k, a in enumerate(ids):
+        heads = md5_heads(digits.first(np.array([k])), digits.second(np.arange(len(ids)), int(digits.lengths[k])))[0]
+        assert heads.tolist() == [int(hashlib.md5(f"{a}:{b}".encode()).hexdigest()[:8], 16) for b in ids]
+    monkeypatch.setattr(join, "PART_ROWS", 64)
+    r, schema = random.Random(8), "event_ts long, ingest_ts long, id long, vec array<double>"
+    rows = spark.createDataFrame([(i, i, i * 7, [r.gauss(0, 1), r.gauss(0, 1)]) for i in range(400)], schema)
+    columns = ["in_ts", "left_id", "right_id", "machine", "part", "match"]
+    for right in (None, rows):
+        df = join.with_window(join.tagged(rows, right), None)
+        got = join.result_rows(join.partitioned_results(df, right is None, 0.02, 2, 3, 5), 0.02, 1).select(*columns).collect()
+        want = join.result_rows(join.partitioned_pairs(df, right is None, 0.02, 2, 3), 0.02, 5).select(*columns).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {x["match"] for x in got} == {True, False}
