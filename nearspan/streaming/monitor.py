@@ -23,6 +23,8 @@ from nearspan.shipping import ship
 from nearspan.streaming.sinks import as_messages
 
 GROUP = ("group_id", "machine", "space_id")
+#: Keys that groups are dealt to for their costs, many times as many as cores.
+SLOTS = 512
 
 
 def timed(records: DataFrame, seconds: int, ts: str = "ts", late_s: int | None = None) -> DataFrame:
@@ -48,24 +50,32 @@ def per_window(records: DataFrame, seconds: int, *keys: str, **values: Column) -
 
 
 class CostProcessor(StatefulProcessor):
-    """Join costs of one group: what came in a window against what the group held and against itself.
+    """Join costs of a slot's groups: what came in a window against what the group held and against itself.
 
-    State is three numbers: inner, outer and outlier records so far.
+    State is three numbers a group: inner, outer and outlier records so far. A key is a slot, not one
+    of the many small groups, so what a call costs is paid once a slot and batch.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "i long, o long, l long")
+        self.held = handle.getListState("held", "group_id int, machine int, space_id int, i long, o long, l long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        si, so, sl = self.held.get() or (0, 0, 0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("window_start").itertuples():
-            i, o, l = int(r.i), int(r.o), int(r.l)
-            cost = l * (so + sl + si) + o * (si + sl) + i * (so + sl) + l * (o + i) + o * i + l * (l - 1) // 2
-            out.append((int(r.window_start), r.at, *(int(k) for k in key), cost))
-            si, so, sl = si + i, so + o, sl + l
-        self.held.update((si, so, sl))
-        yield pd.DataFrame(out, columns=["window_start", "at", *GROUP, "cost"])
+        names = [*GROUP, *"iol"]
+        # What a group holds stands before its windows; a group's columns may be null.
+        every = pd.concat(list(rows), ignore_index=True)[["window_start", "at", *names]].assign(came=True)
+        held = pd.DataFrame([tuple(x) for x in self.held.get()], columns=names)
+        if len(held):
+            every = pd.concat([held.assign(window_start=0, at=every["at"].iloc[0], came=False), every], ignore_index=True)
+        every = every.astype({c: "Int32" for c in GROUP}).sort_values([*GROUP, "came", "window_start"], ignore_index=True)
+        group = every.groupby(list(GROUP), sort=False, dropna=False)
+        now = group[["i", "o", "l"]].cumsum()
+        i, o, l = (every[c] for c in "iol")
+        si, so, sl = (now[c] - every[c] for c in "iol")
+        cost = l * (so + sl + si) + o * (si + sl) + i * (so + sl) + l * (o + i) + o * i + l * (l - 1) // 2
+        last = group.tail(1).index
+        so_far = pd.concat([every.loc[last, list(GROUP)], now.loc[last]], axis=1).astype(object)
+        self.held.put(list(so_far.where(so_far.notna(), None).itertuples(index=False, name=None)))
+        yield every.assign(cost=cost).loc[every["came"], ["window_start", "at", *GROUP, "cost"]]
 
     def close(self) -> None:
         pass
@@ -75,9 +85,9 @@ def running_costs(records: DataFrame, seconds: int) -> DataFrame:
     """window_start, at, group, machine, space and cost of every closed window."""
     ship(records.sparkSession)
     count = {c: F.count_if(F.col("gtype") == kind) for c, kind in (("i", "inner"), ("o", "outer"), ("l", "outlier"))}
-    counts = per_window(records, seconds, *GROUP, **count)
+    counts = per_window(records, seconds, *GROUP, **count).withColumn("slot", F.pmod(F.xxhash64(*GROUP), F.lit(SLOTS)).cast("int"))
     schema = "window_start long, at timestamp, group_id int, machine int, space_id int, cost long"
-    return counts.groupBy(*GROUP).transformWithStateInPandas(CostProcessor(), schema, "Append", "None", eventTimeColumnName="at")
+    return counts.groupBy("slot").transformWithStateInPandas(CostProcessor(), schema, "Append", "None", eventTimeColumnName="at")
 
 
 class RunningProcessor(StatefulProcessor):

@@ -268,3 +268,22 @@ def test_many_windows_cost_few_calls_of_the_running_join(spark, tmp_path):
     assert plain(got.select(*columns)) == plain(batch.result_rows(pairs, 0.05, 1).select(*columns)) != []
     seen = pairs.groupBy("l_win", "l_part", "l_group_id", (F.col("distance") < 0.05).alias("match")).count().where("l_win < 399")
     assert plain(outputs(spark, tmp_path / "out", "compared").select("win", "part", "group_id", "match", "n")) == plain(seen)
+
+
+def test_many_groups_cost_few_calls_of_the_running_costs(spark, tmp_path):
+    """Groups over two batches and a restart, some without a number: a key for each slot of groups, not for each group."""
+    sj.with_state_store(spark)
+    r = random.Random(5)
+    rows = [(k * 10_000 + r.randrange(10_000), g % 10, g if g % 97 else None, g % 10, r.choice(["inner", "outer", "outlier"]), 1, True, 8) for k in range(8) for g in range(3000) for _ in range(r.randrange(3))]
+    for some in (lambda k: k < 4, lambda k: k >= 4):
+        written(spark, [x for x in rows if some(x[0] // 10_000)], EVENTS, tmp_path / "in")
+        out = monitor.running_costs(monitor.timed(files(spark, EVENTS, tmp_path / "in"), 10, late_s=0), 10).drop("at")
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        [kept] = [x["numRowsTotal"] for x in query.recentProgress[-1]["stateOperators"] if x["operatorName"].startswith("transformWithState")]
+        assert 0 < kept <= monitor.SLOTS
+    keys = ["group_id", "machine", "space_id"]
+    df = stats.windowed(spark.createDataFrame(rows, EVENTS), "ts", 10)
+    want = stats.join_costs(stats.record_counts(df, ["window_start", *keys, "gtype"]), keys).where("window_start < 70000")
+    plain = lambda d: sorted(map(str, d.select("window_start", *keys, "cost").collect()))
+    assert plain(spark.read.parquet(str(tmp_path / "out"))) == plain(want) != []
